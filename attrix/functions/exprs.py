@@ -128,18 +128,28 @@ def guarded_corr(a, b) -> Column:
 
 
 def sig_round(x, digits: int = 9) -> Column:
-    """Round to ``digits`` significant digits.  Used by the comparison
-    harness so that floating sums from different summation orders hash
-    equal; the same formula is emitted as SQL by :func:`sig_round_sql`."""
+    """Round to ``digits`` significant digits, half up.
+
+    Used by the comparison harness so that floating sums from different
+    summation orders hash equal.  Only IEEE operations with exactly
+    representable powers of ten are used (``floor(x·10^k + 0.5) / 10^k``),
+    so Spark and the SQL twin emitted by :func:`sig_round_sql` produce the
+    same bits for the same input."""
     x = col_(x).cast("double")
-    e = F.floor(F.log10(F.abs(x)))
-    scaled = F.round(x / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e)
-    return F.when(x.isNull() | F.isnan(x) | (x == 0), x).otherwise(scaled)
+    k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
+    up = F.pow(F.lit(10.0), k)
+    down = F.pow(F.lit(10.0), -k)
+    pos = F.floor(x * up + F.lit(0.5)).cast("double") / up
+    neg = F.floor(x / down + F.lit(0.5)).cast("double") * down
+    r = F.when(k >= 0, pos).otherwise(neg)
+    return F.when(x.isNull() | F.isnan(x) | (x == 0) | F.isnan(F.abs(x) - F.abs(x)), x).otherwise(r)
 
 
 def sig_round_sql(expr: str, digits: int = 9) -> str:
-    e = f"floor(log10(abs({expr})))"
+    k = f"({digits - 1} - floor(log10(abs({expr}))))"
     return (
-        f"(CASE WHEN ({expr}) IS NULL OR isnan({expr}) OR ({expr}) = 0 THEN ({expr})::DOUBLE "
-        f"ELSE round(({expr}) / pow(10.0, {e}), {digits - 1}) * pow(10.0, {e}) END)"
+        f"(CASE WHEN ({expr}) IS NULL OR isnan({expr}) OR ({expr}) = 0 OR isinf({expr}) "
+        f"THEN ({expr})::DOUBLE WHEN {k} >= 0 "
+        f"THEN floor(({expr}) * pow(10.0, {k}) + 0.5) / pow(10.0, {k}) "
+        f"ELSE floor(({expr}) / pow(10.0, -{k}) + 0.5) * pow(10.0, -{k}) END)"
     )

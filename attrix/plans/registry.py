@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "attrix.plans.q_attribution",
+    "attrix.plans.q_overview",
 ]
 
 
