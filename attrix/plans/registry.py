@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "attrix.plans.q_attribution",
     "attrix.plans.q_overview",
+    "attrix.plans.q_profile",
 ]
 
 
