@@ -8,6 +8,7 @@ MODULES = [
     "attrix.plans.q_attribution",
     "attrix.plans.q_overview",
     "attrix.plans.q_profile",
+    "attrix.plans.q_ml_basic",
 ]
 
 
