@@ -9,6 +9,7 @@ MODULES = [
     "attrix.plans.q_overview",
     "attrix.plans.q_profile",
     "attrix.plans.q_ml_basic",
+    "attrix.plans.q_models",
 ]
 
 
