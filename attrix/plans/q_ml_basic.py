@@ -11,11 +11,9 @@ from attrix.ml import basics as B
 from attrix.plans.common import finalize, rounded_sql, table
 
 Z_FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
-LI_KEY = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-
-
 def _li_keyed(s, sf):
-    return table(s, sf, "lineitem").withColumn("row_key", LI_KEY)
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return table(s, sf, "lineitem").withColumn("row_key", key)
 
 
 def rule_predictions(s, sf):
