@@ -10,6 +10,7 @@ MODULES = [
     "attrix.plans.q_profile",
     "attrix.plans.q_ml_basic",
     "attrix.plans.q_models",
+    "attrix.plans.q_forecast",
 ]
 
 
