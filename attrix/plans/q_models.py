@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attrix.ml import isoforest
 from attrix.ml import models as M
+from attrix.ml.basics import anomaly_summary
+from attrix.operators.normality import shapiro_wilk
 from attrix.plans.common import finalize, table
 
 PART_F = ["p_size", "p_retailprice"]
@@ -78,7 +81,17 @@ def _feat_importance(s, sf):
     return finalize(imp)
 
 
+def _iso(s, sf):
+    return isoforest.isolation_forest(table(s, sf, "customer"), CUST_F, 0.05, keep=["c_custkey"])
+
+
 QUERIES = {
+    "shapiro": lambda s, sf: finalize(shapiro_wilk(table(s, sf, "part"), "p_retailprice")),
+    "shapiro_lineitem": lambda s, sf: finalize(shapiro_wilk(table(s, sf, "lineitem"),
+                                                            "l_extendedprice")),
+    "isoforest": lambda s, sf: finalize(_iso(s, sf)),
+    "isoforest_summary": lambda s, sf: finalize(anomaly_summary(_iso(s, sf),
+                                                                table(s, sf, "customer"))),
     "kmeans": _kmeans,
     "bisecting": _bisecting,
     "silhouette": _silhouette,
