@@ -397,3 +397,70 @@ def feature_importance(df: DataFrame, target: str, features: list[str],
     r2 = regression_metrics(model.transform(X).select("label", "prediction")).select(
         F.col("r2").alias("train_r2"), F.col("n").alias("rows"))
     return imp, r2
+
+
+def silhouette_exact(labelled: DataFrame, features: list[str], cluster_col: str = "cluster",
+                     block_rows: int = 4096) -> DataFrame:
+    """Exact Euclidean silhouette (the reference's metric) on z-scored
+    features, noise (−1) removed, 0 with fewer than two clusters.
+
+    The scaled points are written by Spark into the shared checkpoint
+    folder; each task keeps its own block of points and streams all points
+    block by block, accumulating per-cluster distance sums (k numbers per
+    point).  O(n²) distance evaluations — what the exact score costs — but
+    memory stays bounded and only one value per point is emitted."""
+    import uuid
+
+    import numpy as np
+    import pandas as pd
+
+    from attrix.session import ensure_checkpoint_dir
+
+    spark = labelled.sparkSession
+    src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
+    stats = scaler_stats(src, features)
+    d = len(features)
+    pts = src.select(F.col(cluster_col).cast("long").alias("c"),
+                     *[e.alias(f"z{i}") for i, e in enumerate(scaled_cols(features, stats))])
+    sizes = {r[0]: r[1] for r in pts.groupBy("c").count().collect()}  # one row per cluster
+    if len(sizes) < 2:
+        return spark.createDataFrame([(0.0, len(sizes))], "silhouette double, clusters long")
+    folder = ensure_checkpoint_dir(spark)
+    path = f"{folder.rstrip('/')}/silhouette-{uuid.uuid4().hex}"
+    pts.write.parquet(path)
+    local = path[len("file:"):] if path.startswith("file:") else path
+    labels = sorted(sizes)
+    pos = {c: j for j, c in enumerate(labels)}
+    cnt = np.array([sizes[c] for c in labels], dtype=float)
+    zc = [f"z{i}" for i in range(d)]
+
+    def fn(batches):
+        import pyarrow.dataset as ds
+
+        for b in batches:
+            if b.empty:
+                continue
+            Q = b[zc].to_numpy(dtype=float)
+            own = np.array([pos[c] for c in b["c"]])
+            sums = np.zeros((len(Q), len(labels)))
+            for rb in ds.dataset(local, format="parquet").to_batches(batch_size=block_rows):
+                t = rb.to_pandas()
+                X = t[zc].to_numpy(dtype=float)
+                cj = np.array([pos[c] for c in t["c"]])
+                dist = np.sqrt(np.maximum((Q * Q).sum(1)[:, None] - 2 * Q @ X.T
+                                          + (X * X).sum(1)[None, :], 0.0))
+                for j in range(len(labels)):
+                    m = cj == j
+                    if m.any():
+                        sums[:, j] += dist[:, m].sum(axis=1)
+            n_own = cnt[own]
+            a = np.where(n_own > 1, sums[np.arange(len(Q)), own] / np.maximum(n_own - 1, 1), 0.0)
+            means = sums / cnt[None, :]
+            means[np.arange(len(Q)), own] = np.inf
+            bb = means.min(axis=1)
+            s = np.where(n_own > 1, (bb - a) / np.maximum(np.maximum(a, bb), 1e-300), 0.0)
+            yield pd.DataFrame({"s": s})
+
+    per_point = pts.mapInPandas(fn, "s double")
+    return per_point.agg(F.avg("s").alias("silhouette")).withColumn(
+        "clusters", F.lit(len(sizes)).cast("long"))

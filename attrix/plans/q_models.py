@@ -81,6 +81,13 @@ def _feat_importance(s, sf):
     return finalize(imp)
 
 
+def _dbscan(s, sf):
+    from attrix.ml.dbscan import dbscan
+
+    return finalize(dbscan(table(s, sf, "customer"), CUST_F, eps=0.5, min_samples=5,
+                           keep=["c_custkey"]))
+
+
 def _iso(s, sf):
     return isoforest.isolation_forest(table(s, sf, "customer"), CUST_F, 0.05, keep=["c_custkey"])
 
@@ -93,6 +100,10 @@ QUERIES = {
     "isoforest_summary": lambda s, sf: finalize(anomaly_summary(_iso(s, sf),
                                                                 table(s, sf, "customer"))),
     "kmeans": _kmeans,
+    "dbscan": lambda s, sf: _dbscan(s, sf),
+    "silhouette_exact": lambda s, sf: finalize(M.silhouette_exact(
+        M.cluster(table(s, sf, "part"), PART_F, "kmeans", k=3, keep=["p_partkey"],
+                  restarts=3).labelled, PART_F)),
     "bisecting": _bisecting,
     "silhouette": _silhouette,
     "linreg": _reg("linear"),

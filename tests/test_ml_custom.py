@@ -87,3 +87,71 @@ def test_isolation_forest_ranks_planted_outliers_first(spark):
     assert sorted(worst) == [1000, 1001, 1002]
     n_anom = out.where("is_anomaly").count()
     assert 5 <= n_anom <= 15
+
+
+def _dbscan_brute(X, eps, min_samples):
+    n = len(X)
+    d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(2))
+    nb = d <= eps
+    core = nb.sum(1) >= min_samples
+    lab = -np.ones(n, dtype=int)
+    c = 0
+    for i in range(n):
+        if not core[i] or lab[i] >= 0:
+            continue
+        stack = [i]
+        lab[i] = c
+        while stack:
+            j = stack.pop()
+            for k in np.flatnonzero(nb[j]):
+                if lab[k] < 0:
+                    lab[k] = c
+                    if core[k]:
+                        stack.append(k)
+        c += 1
+    return lab, core
+
+
+def _partition(labels):
+    groups = {}
+    for i, l in enumerate(labels):
+        if l >= 0:
+            groups.setdefault(l, set()).add(i)
+    return sorted(map(frozenset, groups.values()), key=min), {i for i, l in enumerate(labels) if l < 0}
+
+
+@pytest.mark.parametrize("slabs", [1, 3, 8])
+def test_dbscan_matches_bruteforce(spark, slabs):
+    from attrix.ml.dbscan import dbscan
+
+    rng = np.random.default_rng(7)
+    centers = np.array([[0, 0], [6, 6], [0, 8]])
+    X = np.vstack([c + rng.normal(0, 0.3, (20, 2)) for c in centers] + [[[15, -5]], [[-9, 12]]])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(X)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    out = dbscan(df, ["a", "b"], eps=0.5, min_samples=5, keep=["id"], slabs=slabs)
+    got = dict((r["id"], r["cluster"]) for r in out.collect())
+    Z = (X - X.mean(0)) / X.std(0)
+    ref, _ = _dbscan_brute(Z, 0.5, 5)
+    assert _partition([got[i] for i in range(len(X))]) == _partition(ref)
+    assert got[60] == -1 and got[61] == -1
+
+
+def test_silhouette_exact_matches_numpy(spark):
+    from attrix.ml.models import silhouette_exact
+
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(5, 1, (25, 2)), rng.normal([0, 6], 1, (20, 2))])
+    lab = np.array([0] * 30 + [1] * 25 + [2] * 20)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(X, lab)],
+                               "a double, b double, cluster int")
+    got = silhouette_exact(df, ["a", "b"]).collect()[0]["silhouette"]
+    Z = (X - X.mean(0)) / X.std(0)
+    D = np.sqrt(((Z[:, None] - Z[None]) ** 2).sum(2))
+    s = []
+    for i in range(len(Z)):
+        own = lab == lab[i]
+        a = D[i, own].sum() / (own.sum() - 1)
+        b = min(D[i, lab == k].mean() for k in set(lab) if k != lab[i])
+        s.append((b - a) / max(a, b))
+    assert got == pytest.approx(np.mean(s), rel=1e-9)
