@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference reads one file fully and has no streaming surface (no
+watermarks, windows over event time, state or late data), so this package
+holds no operators by design.  Every operator in ``attrix`` is a plain
+``DataFrame -> DataFrame`` function; a user who needs one over a stream can
+call it inside ``foreachBatch`` on each micro-batch.
+"""
