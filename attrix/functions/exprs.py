@@ -134,22 +134,22 @@ def sig_round(x, digits: int = 9) -> Column:
     summation orders hash equal.  Only IEEE operations with exactly
     representable powers of ten are used (``floor(x·10^k + 0.5) / 10^k``),
     so Spark and the SQL twin emitted by :func:`sig_round_sql` produce the
-    same bits for the same input."""
+    same bits for the same input.  Kept deliberately small (one log10, one
+    pow) so it does not bloat generated code; NULL propagates, NaN/±Inf and
+    0 pass through."""
     x = col_(x).cast("double")
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
-    up = F.pow(F.lit(10.0), k)
-    down = F.pow(F.lit(10.0), -k)
-    pos = F.floor(x * up + F.lit(0.5)).cast("double") / up
-    neg = F.floor(x / down + F.lit(0.5)).cast("double") * down
-    r = F.when(k >= 0, pos).otherwise(neg)
-    return F.when(x.isNull() | F.isnan(x) | (x == 0) | F.isnan(F.abs(x) - F.abs(x)), x).otherwise(r)
+    p = F.pow(F.lit(10.0), F.abs(k))
+    r = F.when(k >= 0, F.floor(x * p + 0.5) / p).otherwise(F.floor(x / p + 0.5) * p)
+    return F.when((x == 0) | F.isnan(x - x), x).otherwise(r)
 
 
 def sig_round_sql(expr: str, digits: int = 9) -> str:
     k = f"({digits - 1} - floor(log10(abs({expr}))))"
+    p = f"pow(10.0, abs{k})"
     return (
-        f"(CASE WHEN ({expr}) IS NULL OR isnan({expr}) OR ({expr}) = 0 OR isinf({expr}) "
+        f"(CASE WHEN ({expr}) IS NULL OR ({expr}) = 0 OR isnan(({expr}) - ({expr})) "
         f"THEN ({expr})::DOUBLE WHEN {k} >= 0 "
-        f"THEN floor(({expr}) * pow(10.0, {k}) + 0.5) / pow(10.0, {k}) "
-        f"ELSE floor(({expr}) / pow(10.0, -{k}) + 0.5) * pow(10.0, -{k}) END)"
+        f"THEN floor(({expr}) * {p} + 0.5) / {p} "
+        f"ELSE floor(({expr}) / {p} + 0.5) * {p} END)"
     )

@@ -43,20 +43,21 @@ def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 def zscale(df: DataFrame, features: list[str], suffix: str = "_z",
            keep: list[str] | None = None) -> DataFrame:
     """Population z-scores ``(x − mean) / std_pop``; a constant column is
-    divided by 1 (it becomes 0).  Means and stds come from one aggregate
-    evaluated as a scalar subquery."""
+    divided by 1 (it becomes 0).
+
+    The 2·k statistics come from one aggregate and are read on the driver
+    (a bounded handful of numbers): every output row depends on them, so a
+    full pass is needed before the first row either way, and literal
+    constants keep the row projection small enough for the JIT."""
     src = complete_rows(df, features)
-    st = src.select(F.struct(*[
-        F.struct(F.avg(F.col(c).cast("double")).alias("m"),
-                 F.stddev_pop(F.col(c).cast("double")).alias("s")).alias(f"f{i}")
-        for i, c in enumerate(features)
-    ]).alias("st")).scalar()
+    row = src.agg(*[e for c in features for e in (
+        F.avg(F.col(c).cast("double")), F.stddev_pop(F.col(c).cast("double")))]).first()
     cols = [F.col(k) for k in (keep or [])]
     for i, c in enumerate(features):
-        m = st.getField(f"f{i}").getField("m")
-        s = st.getField(f"f{i}").getField("s")
-        cols.append(((F.col(c).cast("double") - m) /
-                     F.when(s == 0, F.lit(1.0)).otherwise(s)).alias(f"{c}{suffix}"))
+        m, s = row[2 * i], row[2 * i + 1]
+        m = 0.0 if m is None else float(m)
+        s = 1.0 if not s else float(s)
+        cols.append(((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"{c}{suffix}"))
     return src.select(*cols)
 
 
@@ -102,17 +103,16 @@ def binarize_target(df: DataFrame, target: str, max_classes: int = 5) -> DataFra
     ``max_classes`` distinct values becomes ``target > median`` (0/1),
     otherwise it is used as is.  Decided by an aggregate (scalar subquery)."""
     y = F.col(target)
-    info = df.select(F.struct(
-        F.count_distinct(y).alias("nd"),
-        F.percentile(y.cast("double"), 0.5).alias("med")).alias("i")).scalar()
     numeric = dict(df.dtypes)[target] in ("int", "bigint", "double", "float", "smallint")
     if not numeric:
         return df.withColumn("label", y.cast("string"))
-    return df.withColumn(
-        "label",
-        F.when(info.getField("nd") > max_classes,
-               (y.cast("double") > info.getField("med")).cast("int").cast("string"))
-        .otherwise(y.cast("string")))
+    # two scalars, read once: the distinct count is capped (limit) so a
+    # continuous target never builds a full distinct set
+    nd = df.select(y).where(y.isNotNull()).distinct().limit(max_classes + 1).count()
+    if nd <= max_classes:
+        return df.withColumn("label", y.cast("string"))
+    med = df.select(F.percentile(y.cast("double"), 0.5)).first()[0]
+    return df.withColumn("label", (y.cast("double") > F.lit(med)).cast("int").cast("string"))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label",

@@ -2,9 +2,8 @@
 all-null column removal.
 
 Frames are immutable: each operator returns a new frame and the original
-handle stays the "reset" snapshot.  Fill values come from scalar
-subqueries, so nothing but a handful of scalars is evaluated before the
-main job runs.
+handle stays the "reset" snapshot.  Fill values are a handful of scalars
+(one per column) read on the driver and applied as literals.
 """
 
 from __future__ import annotations
@@ -49,16 +48,17 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def fill_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill NULL/NaN of numeric columns with the column mean (integer
     columns become double, as the mean is fractional)."""
-    means = df.select(F.struct(*[
+    means = df.agg(*[
         F.avg(F.when(~_missing(df, c), F.col(f"`{c}`").cast("double"))).alias(f"a{i}")
         for i, c in enumerate(columns)
-    ]).alias("s")).scalar()
+    ]).first()   # one number per column
     out = []
     for c in df.columns:
         if c in columns:
             i = columns.index(c)
             x = F.col(f"`{c}`").cast("double")
-            out.append(F.when(_missing(df, c), means.getField(f"a{i}")).otherwise(x).alias(c))
+            fill = F.lit(means[f"a{i}"]).cast("double")
+            out.append(F.when(_missing(df, c), fill).otherwise(x).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return df.select(*out)
@@ -89,16 +89,12 @@ def mode_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def fill_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill NULLs of categorical columns with the column mode (ties →
     smallest); all-null columns are left as they are."""
-    modes = mode_values(df, columns)
-    row = modes.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"m{i}")
-                      for i, c in enumerate(columns)])
-    s = row.select(F.struct(*[F.col(f"m{i}") for i in range(len(columns))]).alias("s")).scalar()
+    modes = {r["column"]: r["mode"] for r in mode_values(df, columns).collect()}  # ≤ 1 row/column
     out = []
     for c in df.columns:
         if c in columns:
-            i = columns.index(c)
             dt = df.schema[c].dataType
-            out.append(F.coalesce(F.col(f"`{c}`"), s.getField(f"m{i}").cast(dt)).alias(c))
+            out.append(F.coalesce(F.col(f"`{c}`"), F.lit(modes.get(c)).cast(dt)).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return df.select(*out)

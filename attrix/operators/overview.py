@@ -7,6 +7,8 @@ map-side partial aggregation.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,16 +49,20 @@ def period_series(
 def latest_filter(df: DataFrame, date_col: str, grain: str = "day") -> DataFrame:
     """Rows of the latest day (``grain='raw'``: the latest timestamp).
 
-    The maximum is an uncorrelated scalar subquery; the row filter is a
-    range predicate on the raw column."""
+    The maximum is one scalar read on the driver; the row filter is then a
+    literal range predicate on the raw column, which Spark pushes into the
+    Parquet scan (row groups outside the day are skipped by their min/max
+    statistics)."""
     c = F.col(date_col)
     if grain == "day":
-        latest = df.select(F.max(F.to_date(c)).alias("m")).scalar()
-        lo = latest.cast("timestamp_ntz")
-        hi = F.date_add(latest, 1).cast("timestamp_ntz")
+        latest = df.select(F.max(F.to_date(c))).first()[0]
+        if latest is None:
+            return df.where(F.lit(False))
+        lo = F.lit(latest.isoformat()).cast("timestamp_ntz")
+        hi = F.lit((latest + timedelta(days=1)).isoformat()).cast("timestamp_ntz")
         return df.where((c >= lo) & (c < hi))
-    latest = df.select(F.max(c).alias("m")).scalar()
-    return df.where(c == latest)
+    latest = df.select(F.max(c)).first()[0]
+    return df.where(c == F.lit(latest))
 
 
 def latest_value_counts(
