@@ -17,9 +17,9 @@ regular expression, with the best-covering format chosen per column (a
 lenient parser would read ``12345`` as year 12345).  Years are limited to
 the span a nanosecond timestamp can hold (1678–2261).
 
-Everything is computed by ONE ``agg`` over the table (``profile_stats``),
-returned as a small long frame.  :func:`profile` reads that frame (one row
-per column) to build the typed projection.
+Facts come from one wide aggregate per chunk of columns plus one bounded
+exact-distinct pass (``profile_stats``), returned as a small frame with one
+row per column; :func:`profile` turns it into the typed projection.
 """
 
 from __future__ import annotations
@@ -77,15 +77,33 @@ def _parse(s: Column, regex: str, fmt: str) -> Column:
 def _text(c: str, dt) -> Column:
     s = F.col(f"`{c}`").cast("string")
     if isinstance(dt, T.StringType):
-        s = F.when(~F.trim(s).isin(NA_TOKENS[1:]) & (F.trim(s) != ""), F.trim(s))
-        s = F.regexp_replace(s, "T", " ")
+        t = F.trim(s)
+        # only digit-led strings can be dates: one cheap test gates the
+        # per-format regexes and parsers
+        s = F.when(F.substring(t, 1, 1).between("0", "9"), F.translate(t, "T", " "))
     return s
 
 
+def _int_date(c: str, fmt: str) -> Column:
+    """Integer columns as dates without string work: ``yyyy`` is a value in
+    the year range, ``yyyyMMdd`` an 8-digit value parsed only in range."""
+    v = F.col(f"`{c}`").cast("long")
+    if fmt == "yyyy":
+        return F.when(v.between(MIN_YEAR, MAX_YEAR),
+                      F.make_timestamp_ntz(v.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0),
+                                           F.lit(0)))
+    return F.when(v.between(MIN_YEAR * 10000 + 101, MAX_YEAR * 10000 + 1231),
+                  F.try_to_timestamp(v.cast("string"), F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+
+
+NUMBER_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _numeric_text(c: str) -> Column:
-    s = F.trim(F.col(f"`{c}`").cast("string"))
-    v = F.expr(f"try_cast(regexp_replace(trim(`{c}`), '[,%]', '') AS DOUBLE)")
-    return F.when(~F.isnan(v) & ~s.isin(NA_TOKENS), v)
+    # The shape test short-circuits the cast: a failed cast signals with an
+    # exception internally, which would cost far more than the regex.
+    cleaned = F.translate(F.trim(F.col(f"`{c}`").cast("string")), ",%", "")
+    return F.when(cleaned.rlike(NUMBER_RE), cleaned.cast("double"))
 
 
 def _kind(dt) -> str:
@@ -98,86 +116,109 @@ def _kind(dt) -> str:
     return "other"
 
 
-def profile_stats(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
-    """Per-column facts and the detected role, from ONE aggregate.
+SMALL_DISTINCT = 1000      # exact distinct counts are reported below this
+PRESCREEN = 2000           # HLL estimate under which the exact count is taken
+
+
+def _num_expr(c: str, kind: str) -> Column:
+    return F.col(f"`{c}`").cast("double") if kind == "numeric" else _numeric_text(c)
+
 
-    The table is unpivoted once into ``(idx, value…)`` rows (one struct per
-    column, ``explode``), so every parse expression appears once in the
-    generated code whatever the table width, and a single
-    ``groupBy(idx)`` computes all facts.  Columns of the result:
-    ``column, position, dtype, role, rows, non_null, n_distinct,
-    date_fraction, date_format, numeric_fraction`` (``n_distinct`` counts
-    numbers: parsed ones for text columns)."""
+def profile_stats(df: DataFrame, exclude: list[str] | None = None,
+                  chunk: int = 12) -> DataFrame:
+    """Per-column facts and the detected role.
+
+    Columns: ``column, position, dtype, role, rows, non_null, n_distinct,
+    date_fraction, date_format, numeric_fraction``.  ``n_distinct`` counts
+    numbers (parsed numbers for text columns) and is exact below
+    ``SMALL_DISTINCT``, NULL (= "large") above.
+
+    Pass 1 is one wide aggregate per chunk of ``chunk`` columns (Parquet
+    reads only a chunk's columns, so the passes together read each column
+    once); it carries counts, date-parse coverage per format, min/max and an
+    HLL cardinality sketch.  Pass 2 takes exact distinct counts only for the
+    columns the sketch shows to be small, with ``size(collect_set)`` whose
+    state is bounded by that pre-screen.  The result has one row per column
+    and is assembled on the driver."""
     exclude = set(exclude or [])
-    structs = []
-    for i, f in enumerate(df.schema.fields):
-        c, dt = f.name, f.dataType
-        col = F.col(f"`{c}`")
-        kind = "none" if (c.lower() in NO_ROLE_NAMES or c in exclude) else _kind(dt)
-        ts = col.cast("timestamp_ntz") if kind == "temporal" else F.lit(None).cast("timestamp_ntz")
-        if kind == "text" or (kind == "numeric" and isinstance(
-                dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))):
-            txt = _text(c, dt)
-        else:
-            txt = F.lit(None).cast("string")
-        if kind == "numeric":
-            num = col.cast("double")
-        elif kind == "text":
-            num = _numeric_text(c)
+    spark = df.sparkSession
+    fields = list(df.schema.fields)
+    info = []
+    for i, f in enumerate(fields):
+        kind = "none" if (f.name.lower() in NO_ROLE_NAMES or f.name in exclude) else _kind(f.dataType)
+        info.append((i, f.name, f.dataType, kind))
+    facts: dict[int, dict] = {i: {} for i, *_ in info}
+    rows_total = None
+    for start in range(0, len(info), chunk):
+        part = info[start:start + chunk]
+        aggs = [F.count(F.lit(1)).alias("rows")]
+        for i, c, dt, kind in part:
+            col = F.col(f"`{c}`")
+            aggs.append(F.count(col).alias(f"nn{i}"))
+            if kind == "none":
+                continue
+            if kind == "temporal":
+                p = col.cast("timestamp_ntz")
+                aggs += [F.count(p).alias(f"d{i}_n"), F.min(p).alias(f"lo{i}_n"),
+                         F.max(p).alias(f"hi{i}_n")]
+            elif kind == "text" or isinstance(dt, (T.IntegerType, T.LongType, T.ShortType)):
+                s = _text(c, dt)
+                for j, (rx, fmt) in enumerate(DATE_FORMATS):
+                    if kind != "text" and fmt not in ("yyyyMMdd", "yyyy"):
+                        continue
+                    p = _parse(s, rx, fmt) if kind == "text" else _int_date(c, fmt)
+                    aggs += [F.count(p).alias(f"d{i}_{j}"), F.min(p).alias(f"lo{i}_{j}"),
+                             F.max(p).alias(f"hi{i}_{j}")]
+            if kind in ("numeric", "text"):
+                v = _num_expr(c, kind)
+                aggs += [F.count(v).alias(f"nv{i}"),
+                         F.approx_count_distinct(v).alias(f"hll{i}")]
+        r = df.agg(*aggs).first().asDict()
+        rows_total = r["rows"]
+        for i, *_ in part:
+            facts[i] = {k: v for k, v in r.items()}
+    small = [(i, c, kind) for i, c, dt, kind in info
+             if kind in ("numeric", "text") and (facts[i].get(f"hll{i}") or 0) <= PRESCREEN]
+    exact = {}
+    if small:
+        r = df.agg(*[F.size(F.collect_set(_num_expr(c, kind))).alias(f"x{i}")
+                     for i, c, kind in small]).first()
+        exact = {i: r[f"x{i}"] for i, _, _ in small}
+
+    out = []
+    n = rows_total or 0
+    for i, c, dt, kind in info:
+        fa = facts[i]
+        nn = fa.get(f"nn{i}")
+        if kind == "none":
+            out.append((c, i, dt.simpleString(), "none", n, nn, None, None, None, None))
+            continue
+        cands = []
+        if kind == "temporal":
+            cands.append(("native", fa[f"d{i}_n"], fa[f"lo{i}_n"], fa[f"hi{i}_n"]))
+        for j, (_, fmt) in enumerate(DATE_FORMATS):
+            if f"d{i}_{j}" in fa:
+                cands.append((fmt, fa[f"d{i}_{j}"], fa[f"lo{i}_{j}"], fa[f"hi{i}_{j}"]))
+        best = max(cands, key=lambda t: t[1]) if cands else None   # first on ties
+        dfrac = (best[1] / n) if (best and n) else 0.0
+        thr = 0.5 if has_date_keyword(c) else 0.9
+        is_date = bool(best and n and dfrac > thr and best[2] is not None and best[2] < best[3])
+        nd = exact.get(i)
+        nd_report = nd if (nd is not None and nd < SMALL_DISTINCT) else None
+        nfrac = (fa.get(f"nv{i}", 0) / n) if (n and kind in ("numeric", "text")) else None
+        low = nd is not None and nd < 10 and n and nd / n < 0.05
+        if is_date:
+            role = "date"
+        elif kind == "numeric" or (kind == "text" and nfrac is not None and nfrac > 0.8):
+            role = "dimension" if low else "metric"
         else:
-            num = F.lit(None).cast("double")
-        structs.append(F.struct(
-            F.lit(i).alias("idx"), F.lit(c).alias("name"), F.lit(kind).alias("kind"),
-            F.lit(dt.simpleString()).alias("dtype"),
-            F.lit(0.5 if has_date_keyword(c) else 0.9).alias("thr"),
-            col.isNotNull().alias("nn"), ts.alias("ts"), txt.alias("s"), num.alias("num"),
-        ))
-    long = df.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("nn")).alias("non_null"),
-            F.count("ts").alias("d_native"), F.min("ts").alias("lo_native"),
-            F.max("ts").alias("hi_native"),
-            F.count("num").alias("nv"), F.count_distinct("num").alias("n_distinct")]
-    for j, (rx, fmt) in enumerate(DATE_FORMATS):
-        p = _parse(F.col("s"), rx, fmt)
-        aggs += [F.count(p).alias(f"d{j}"), F.min(p).alias(f"lo{j}"), F.max(p).alias(f"hi{j}")]
-    per = long.groupBy("idx", "name", "kind", "dtype", "thr").agg(*aggs)
-
-    # Best date source: native timestamps, else the format with the highest
-    # parse count (first in the list on ties).
-    keys = ["native"] + list(range(len(DATE_FORMATS)))
-    cnt = lambda k: F.col("d_native" if k == "native" else f"d{k}")
-    best = F.greatest(*[cnt(k) for k in keys])
-    fmt_name = lambda k: "native" if k == "native" else DATE_FORMATS[k][1]
-    best_fmt = F.lit(None).cast("string")
-    best_multi = F.lit(False)
-    for k in reversed(keys):
-        lo = F.col("lo_native" if k == "native" else f"lo{k}")
-        hi = F.col("hi_native" if k == "native" else f"hi{k}")
-        best_fmt = F.when(cnt(k) == best, F.lit(fmt_name(k))).otherwise(best_fmt)
-        best_multi = F.when(cnt(k) == best, lo < hi).otherwise(best_multi)
-    rows = F.col("rows").cast("double")
-    dfrac = best / rows
-    is_date = (F.col("kind") != "none") & (F.col("rows") > 0) & (dfrac > F.col("thr")) & \
-        F.coalesce(best_multi, F.lit(False))
-    nd = F.col("n_distinct")
-    low_card = (nd < 10) & (nd / rows < 0.05)
-    nfrac = F.col("nv") / rows
-    num_role = (
-        F.when(F.col("kind") == "numeric",
-               F.when(low_card, F.lit("dimension")).otherwise(F.lit("metric")))
-        .when((F.col("kind") == "text") & (nfrac > 0.8),
-              F.when(low_card, F.lit("dimension")).otherwise(F.lit("metric")))
-        .otherwise(F.lit("dimension"))
-    )
-    role = (F.when(F.col("kind") == "none", F.lit("none"))
-            .when(is_date, F.lit("date")).otherwise(num_role))
-    return per.select(
-        F.col("name").alias("column"), F.col("idx").alias("position"), "dtype",
-        role.alias("role"), "rows", "non_null", "n_distinct",
-        dfrac.alias("date_fraction"),
-        F.when(is_date, best_fmt).alias("date_format"),
-        F.when(F.col("kind").isin("numeric", "text"), nfrac).alias("numeric_fraction"),
-    )
+            role = "dimension"
+        out.append((c, i, dt.simpleString(), role, n, nn, nd_report, float(dfrac),
+                    best[0] if is_date else None, None if nfrac is None else float(nfrac)))
+    schema = ("column string, position int, dtype string, role string, rows long, "
+              "non_null long, n_distinct long, date_fraction double, date_format string, "
+              "numeric_fraction double")
+    return spark.createDataFrame(out, schema)
 
 
 def profile(df: DataFrame, exclude: list[str] | None = None) -> tuple[DataFrame, TableProfile]:
@@ -200,7 +241,10 @@ def profile(df: DataFrame, exclude: list[str] | None = None) -> tuple[DataFrame,
                 out.append(F.col(f"`{c}`").cast("timestamp_ntz").alias(c))
             else:
                 rx = next(rx for rx, f in DATE_FORMATS if f == fmt)
-                out.append(_parse(_text(c, dt), rx, fmt).alias(c))
+                if isinstance(dt, T.StringType):
+                    out.append(_parse(_text(c, dt), rx, fmt).alias(c))
+                else:
+                    out.append(_int_date(c, fmt).alias(c))
             continue
         if role in ("metric", "dimension") and isinstance(dt, T.StringType) and \
                 (r["numeric_fraction"] or 0) > 0.8:

@@ -53,7 +53,8 @@ def _profile_sql(tbl: str, cols: list[tuple[str, str, str]]) -> str:
             role_num = "'dimension'"
         is_date = f"(rows > 0 AND {best} / rows > {thr} AND COALESCE({multi}, false))"
         parts.append(f"""SELECT '{c}' AS column, {i} AS position, '{dtype}' AS dtype,
-  CASE WHEN {is_date} THEN 'date' ELSE {role_num} END AS role, rows, non_null, nd AS n_distinct,
+  CASE WHEN {is_date} THEN 'date' ELSE {role_num} END AS role, rows, non_null,
+  CASE WHEN nd < 1000 AND {'false' if kind == 'ts' else 'true'} THEN nd END AS n_distinct,
   ({best} / rows)::DOUBLE AS date_fraction, CASE WHEN {is_date} THEN {fmt} END AS date_format,
   {"NULL::DOUBLE" if kind == "ts" else "(nv / rows)::DOUBLE"} AS numeric_fraction
 FROM (SELECT count(*) AS rows, count({c}) AS non_null, count({num}) AS nv,
