@@ -105,3 +105,17 @@ def test_original_frame_unchanged_by_cleaning(spark):
     cleaning.drop_null_columns(df)
     cleaning.fill_mean(df, ["a"])
     assert df.columns == ["a", "b"]
+
+
+def test_exact_quantiles_iterative_and_ties(spark):
+    import numpy as np
+
+    from attrix.functions.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1, 3000), np.full(2000, 0.5)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.99]
+    got, _ = exact_quantiles(df, ["x"], probs, acc=100, max_collect=50)
+    for p in probs:
+        assert got[("x", p)] == pytest.approx(float(np.percentile(x, p * 100)), abs=1e-12)
