@@ -191,10 +191,9 @@ def auto_attribution(
     The per-dimension aggregates come out of a single aggregate over the
     long form ``(dimension, value)`` (one scan, one shuffle); NULL values
     are dropped per dimension, so a row with a NULL in one dimension still
-    counts for the others.  Totals per dimension use a window partitioned by the
-    dimension name (one row per dimension value); ``row_number ≤ top_n``
-    is planned with ``WindowGroupLimit`` so only the top rows per task
-    travel."""
+    counts for the others.  Per-dimension totals (≤ ``max_dims`` rows) are
+    broadcast to the detail rows; ``row_number ≤ top_n`` is planned with a
+    partial ``WindowGroupLimit`` so only the top rows per task travel."""
     dims = list(dims)[:max_dims]
     b = in_period(date_col, periods.base_start, periods.base_end, grain)
     t = in_period(date_col, periods.target_start, periods.target_end, grain)
@@ -214,18 +213,21 @@ def auto_attribution(
     )
     long = src.select(F.expr(stack_expr), metric, date_col).where(F.col("value").isNotNull())
     agg = long.groupBy("dimension", "value").agg(base.alias("base"), target.alias("target"))
-    wdim = Window.partitionBy("dimension")
-    tb = F.sum("base").over(wdim)
-    tt = F.sum("target").over(wdim)
-    detail = agg.select("dimension", "value", *_measures(F.col("base"), F.col("target"), tb, tt),
-                        F.lit(False).alias("is_total"))
+    # Per-dimension totals: at most ``max_dims`` rows, so broadcasting them
+    # is bounded; the aggregate's exchange is reused for both branches.
+    totals = agg.groupBy("dimension").agg(F.sum("base").alias("tb"), F.sum("target").alias("tt"),
+                                          F.count(F.lit(1)).alias("n_values"))
+    joined = agg.join(F.broadcast(totals.select("dimension", "tb", "tt")), "dimension")
+    detail = joined.select("dimension", "value",
+                           *_measures(F.col("base"), F.col("target"), F.col("tb"), F.col("tt")),
+                           F.lit(False).alias("is_total"))
     order = [F.abs(F.col("delta")).desc(), F.col("value").asc()]
+    # row_number ≤ top_n is planned as a partial WindowGroupLimit before the
+    # shuffle, so only top_n rows per dimension per task travel.
     detail = detail.withColumn(
         "rank", F.row_number().over(Window.partitionBy("dimension").orderBy(*order)).cast("long")
     )
     detail_top = detail.where(F.col("rank") <= top_n)
-    totals = agg.groupBy("dimension").agg(F.sum("base").alias("tb"), F.sum("target").alias("tt"),
-                                          F.count(F.lit(1)).alias("n_values"))
     total_rows = totals.select(
         "dimension", F.lit(TOTAL_LABEL).alias("value"),
         *_total_measures(F.col("tb"), F.col("tt")),
