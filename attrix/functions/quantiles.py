@@ -143,3 +143,101 @@ def _resolve_small(df, vals, small, out):
                 v1 = v
             cum += cnt
         out[(c, p)] = v0 + (v1 - v0) * (p * (n - 1) - r0)
+
+
+def grouped_exact_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
+                            acc: int = 10000, max_collect: int = MAX_COLLECT, bins: int = 1024,
+                            max_rounds: int = 12) -> dict:
+    """Exact per-group quantiles ``{(group_value, p): value}``.
+
+    Pass 1 sketches every group (``percentile_approx`` grouped, bounded per
+    group).  The brackets form a small table — one row per (group, p) — that
+    is broadcast and joined to the rows, so every pass is a plain grouped
+    aggregate: counts below / inside and min / max inside each bracket.  A
+    bracket with all-equal values is resolved directly; a small one is
+    resolved from its (value, count) pairs; a large one is split into
+    ``bins`` equal-width bins whose counts locate the wanted ranks and become
+    the next, narrower bracket.  No task ever holds a group's values."""
+    spark = df.sparkSession
+    x = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
+    src = df.select(F.col(group).cast("string").alias("g"), x.alias("x")).where(
+        F.col("g").isNotNull() & F.col("x").isNotNull())
+    w = 2.0 / acc
+    ps = [max(0.0, p - w) for p in probs] + [min(1.0, p + w) for p in probs]
+    first = src.groupBy("g").agg(F.count(F.lit(1)).alias("n"),
+                                 F.percentile_approx("x", ps, acc).alias("b")).collect()
+    out: dict = {}
+    entries = []   # (g, p, n, r0, r1, lo, hi)
+    for r in first:
+        for j, p in enumerate(probs):
+            pos = p * (r["n"] - 1)
+            entries.append((r["g"], p, r["n"], math.floor(pos), math.ceil(pos),
+                            r["b"][j], r["b"][len(probs) + j]))
+    for _round in range(max_rounds):
+        if not entries:
+            return out
+        table = spark.createDataFrame(
+            [(k, e[0], float(e[5]), float(e[6])) for k, e in enumerate(entries)],
+            "k int, g string, lo double, hi double")
+        long = src.join(F.broadcast(table), "g")       # ≤ #groups × #probs rows broadcast
+        inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
+        st = {r["k"]: r for r in long.groupBy("k").agg(
+            F.count(F.when(F.col("x") < F.col("lo"), 1)).alias("below"),
+            F.count(F.when(inside, 1)).alias("inside"),
+            F.min(F.when(inside, F.col("x"))).alias("mn"),
+            F.max(F.when(inside, F.col("x"))).alias("mx")).collect()}
+        small, big, nxt = [], [], []
+        for k, (g, p, n, r0, r1, lo, hi) in enumerate(entries):
+            s = st.get(k)
+            below = s["below"] if s else 0
+            ins = s["inside"] if s else 0
+            if not (below <= r0 and r1 < below + ins):
+                nxt.append((g, p, n, r0, r1, -math.inf, math.inf))
+            elif s["mn"] == s["mx"]:
+                out[(g, p)] = s["mn"]
+            elif ins <= max_collect:
+                small.append((k, g, p, n, r0, r1, below))
+            else:
+                big.append((k, g, p, n, r0, r1, below, s["mn"], s["mx"]))
+        if small:
+            keys = [t[0] for t in small]
+            rows = (long.where(inside & F.col("k").isin(keys)).groupBy("k", "x")
+                    .agg(F.count(F.lit(1)).alias("c")).collect())
+            by_k: dict = {}
+            for r in rows:
+                by_k.setdefault(r["k"], []).append((r["x"], r["c"]))
+            for k, g, p, n, r0, r1, below in small:
+                cum, v0, v1 = below, None, None
+                for v, c in sorted(by_k.get(k, [])):
+                    if v0 is None and cum <= r0 < cum + c:
+                        v0 = v
+                    if v1 is None and cum <= r1 < cum + c:
+                        v1 = v
+                    cum += c
+                out[(g, p)] = v0 + (v1 - v0) * (p * (n - 1) - r0)
+        if big:
+            keys = [t[0] for t in big]
+            span = {t[0]: (t[7], t[8]) for t in big}
+            lo_map = F.create_map(*[e for k in keys for e in (F.lit(k), F.lit(float(span[k][0])))])
+            hi_map = F.create_map(*[e for k in keys for e in (F.lit(k), F.lit(float(span[k][1])))])
+            lo_k, hi_k = lo_map[F.col("k")], hi_map[F.col("k")]
+            b = F.least(F.floor((F.col("x") - lo_k) / (hi_k - lo_k) * bins), F.lit(bins - 1))
+            hist = (long.where(inside & F.col("k").isin(keys)).groupBy("k", b.alias("bin"))
+                    .agg(F.count(F.lit(1)).alias("c")).collect())     # ≤ bins rows per bracket
+            by_k = {}
+            for r in hist:
+                by_k.setdefault(r["k"], []).append((r["bin"], r["c"]))
+            for k, g, p, n, r0, r1, below, mn, mx in big:
+                cum, b0, b1 = below, None, None
+                for bi, c in sorted(by_k.get(k, [])):
+                    if b0 is None and cum <= r0 < cum + c:
+                        b0 = bi
+                    if b1 is None and cum <= r1 < cum + c:
+                        b1 = bi
+                    cum += c
+                width = (mx - mn) / bins
+                new_lo = mn + b0 * width
+                new_hi = mx if b1 == bins - 1 else mn + (b1 + 1) * width
+                nxt.append((g, p, n, r0, r1, new_lo, new_hi))
+        entries = nxt
+    raise RuntimeError("grouped exact quantile did not converge")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.functions.exprs import guarded_corr
+from attrix.functions.quantiles import exact_quantiles, grouped_exact_quantiles
 
 
 def _group_sum(df: DataFrame, dims: list[str], metric: str) -> DataFrame:
@@ -46,37 +47,42 @@ def pie_top(df: DataFrame, dims: list[str], metric: str, n: int = 10) -> DataFra
 
 
 def box_summary(df: DataFrame, metric: str, dim: str | None = None, exact: bool = True,
-                accuracy: int = 100000) -> DataFrame:
+                accuracy: int = 10000) -> DataFrame:
     """Box-plot numbers per dimension value (or overall): quartiles with
     linear interpolation, whiskers at the most extreme values within
     1.5·IQR of the box, number of outliers.
 
-    ``exact=False`` swaps the exact ``percentile`` (which holds the value
-    counts of a group in one task at the final merge) for the bounded
-    ``percentile_approx`` sketch, the right choice for huge groups."""
-    keys = [F.col(dim).cast("string").alias(dim)] if dim else []
-    src = df.select(*keys, F.col(metric).cast("double").alias("m")).where(F.col("m").isNotNull())
-    if dim:
-        src = src.where(F.col(dim).isNotNull())
+    Quartiles are exact with bounded memory (iterative bracketing, see
+    ``functions.quantiles``) — a hot group never has its values gathered
+    in one task; ``exact=False`` uses the sketch quantiles directly.  The
+    quartiles form a small table (one row per group) that is broadcast to
+    the rows for the whisker / outlier pass."""
+    spark = df.sparkSession
     gk = [dim] if dim else []
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile("m", probs) if exact else F.percentile_approx("m", probs, accuracy)
-    stats = src.groupBy(*gk).agg(q.alias("q"), F.count(F.lit(1)).alias("n"),
-                                 F.min("m").alias("min"), F.max("m").alias("max"))
-    stats = stats.select(
-        *gk, "n", "min", "max",
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo_f = F.col("q1") - 1.5 * F.col("iqr")
-    hi_f = F.col("q3") + 1.5 * F.col("iqr")
-    # Second pass: whiskers and outliers need the fences.  The stats side has
-    # one row per group; the join is on the group key (broadcast by AQE when
-    # the group count is small, a shuffle join otherwise).
-    if dim:
-        joined = src.join(stats.select(dim, lo_f.alias("lo"), hi_f.alias("hi")), on=dim)
+    x = F.col(metric).cast("double")
+    src = df.select(*[F.col(d).cast("string").alias(d) for d in gk], x.alias("m")).where(
+        F.col("m").isNotNull() & ~F.isnan("m"))
+    for d in gk:
+        src = src.where(F.col(d).isNotNull())
+    probs = [0.25, 0.5, 0.75]
+    base = src.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("min"),
+                                F.max("m").alias("max"))
+    if exact and dim:
+        qs = grouped_exact_quantiles(src, dim, "m", probs, accuracy)
+        groups = sorted({g for g, _ in qs})
+        qrows = [(g, qs[(g, 0.25)], qs[(g, 0.5)], qs[(g, 0.75)]) for g in groups]
+    elif exact:
+        qs, _ = exact_quantiles(src, ["m"], probs, accuracy)
+        qrows = [(qs[("m", 0.25)], qs[("m", 0.5)], qs[("m", 0.75)])]
     else:
-        fences = stats.select(F.struct(lo_f.alias("lo"), hi_f.alias("hi")).alias("f")).scalar()
-        joined = src.select("m", fences.getField("lo").alias("lo"), fences.getField("hi").alias("hi"))
+        qrows = [tuple(([r[dim]] if dim else []) + list(r["q"])) for r in src.groupBy(*gk).agg(
+            F.percentile_approx("m", probs, accuracy).alias("q")).collect()]
+    qschema = (f"`{dim}` string, " if dim else "") + "q1 double, median double, q3 double"
+    q = spark.createDataFrame(qrows, qschema).withColumn("iqr", F.col("q3") - F.col("q1"))
+    fences = q.select(*gk, (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"),
+                      (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))
+    # one row per group: a bounded broadcast
+    joined = src.join(F.broadcast(fences), on=gk) if dim else src.crossJoin(F.broadcast(fences))
     wh = joined.groupBy(*gk).agg(
         F.min(F.when(F.col("m") >= F.col("lo"), F.col("m"))).alias("whisker_low"),
         F.max(F.when(F.col("m") <= F.col("hi"), F.col("m"))).alias("whisker_high"),
@@ -84,8 +90,12 @@ def box_summary(df: DataFrame, metric: str, dim: str | None = None, exact: bool
             "outliers"),
     )
     if dim:
-        return stats.join(wh, on=dim)
-    return stats.withColumn("k", F.lit(1)).join(wh.withColumn("k", F.lit(1)), "k").drop("k")
+        return base.join(q, dim).join(wh, dim).select(
+            dim, "n", "min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
+            "outliers")
+    return base.crossJoin(q).crossJoin(wh).select(
+        "n", "min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
+        "outliers")
 
 
 def scatter_ols(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:

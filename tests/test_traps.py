@@ -119,3 +119,20 @@ def test_exact_quantiles_iterative_and_ties(spark):
     got, _ = exact_quantiles(df, ["x"], probs, acc=100, max_collect=50)
     for p in probs:
         assert got[("x", p)] == pytest.approx(float(np.percentile(x, p * 100)), abs=1e-12)
+
+
+def test_grouped_exact_quantiles_refinement(spark):
+    import numpy as np
+
+    from attrix.functions.quantiles import grouped_exact_quantiles
+
+    rng = np.random.default_rng(12)
+    a = rng.normal(0, 1, 2000)
+    b = np.concatenate([rng.exponential(2.0, 1500), np.full(1500, 1.0)])
+    rows = [("a", float(v)) for v in a] + [("b", float(v)) for v in b]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.25, 0.5, 0.75]
+    got = grouped_exact_quantiles(df, "g", "x", probs, acc=50, max_collect=40, bins=16)
+    for g, arr in (("a", a), ("b", b)):
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(float(np.percentile(arr, p * 100)), abs=1e-12)
