@@ -111,7 +111,9 @@ def binarize_target(df: DataFrame, target: str, max_classes: int = 5) -> DataFra
     nd = df.select(y).where(y.isNotNull()).distinct().limit(max_classes + 1).count()
     if nd <= max_classes:
         return df.withColumn("label", y.cast("string"))
-    med = df.select(F.percentile(y.cast("double"), 0.5)).first()[0]
+    from attrix.functions.quantiles import exact_quantiles
+
+    med = exact_quantiles(df, [target], [0.5])[0][(target, 0.5)]
     return df.withColumn("label", (y.cast("double") > F.lit(med)).cast("int").cast("string"))
 
 
