@@ -11,8 +11,9 @@ statistics around rank ``p·(n−1)`` are found by iterative bracketing:
 2. One aggregate counts, per bracket, the rows below it, inside it, and the
    inside min/max.  A bracket whose rows all share one value is resolved on
    the spot (a value holding a third of all rows costs nothing extra).
-   Brackets still holding more than ``max_collect`` rows go back to step 1
-   — each round shrinks them ~acc/4 times, so two rounds cover 10¹¹ rows.
+   Brackets still holding more than ``max_collect`` rows (or, on floating
+   edges, missing the ranks) are narrowed by equal-width histograms of the
+   bracket (``grouped_exact_quantiles``), which always converges.
 3. Small brackets are resolved exactly from their distinct values and
    counts (one filtered, map-side-combined ``groupBy`` per column, unioned
    into one job), walked on the driver.
@@ -50,7 +51,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], acc:
         aggs.append(F.percentile_approx(vals[c], ps, acc).alias(f"b{i}"))
     row = df.agg(*aggs, *(extra_aggs or [])).first()
     out: dict = {}
-    # entry: [column, p, n, r0, r1, lo, hi]
+    # entry: (column, p, n, r0, r1, lo, hi)
     entries = []
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
@@ -62,59 +63,34 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], acc:
             pos = p * (n - 1)
             entries.append([c, p, n, math.floor(pos), math.ceil(pos), b[j],
                             b[len(probs) + j]])
-    for _round in range(max_rounds):
-        if not entries:
-            break
-        stats = []
-        for k, (c, p, n, r0, r1, lo, hi) in enumerate(entries):
-            x = vals[c]
-            inside, lo_c = _in(x, lo, hi)
-            stats += [F.count(F.when(x < lo_c, 1)).alias(f"below{k}"),
-                      F.count(F.when(inside, 1)).alias(f"in{k}"),
-                      F.min(F.when(inside, x)).alias(f"mn{k}"),
-                      F.max(F.when(inside, x)).alias(f"mx{k}")]
-        st = df.agg(*stats).first()
-        small, refine = [], []
-        for k, e in enumerate(entries):
-            c, p, n, r0, r1, lo, hi = e
-            below, inside = st[f"below{k}"], st[f"in{k}"]
-            if not (below <= r0 and r1 < below + inside):
-                # the sketch missed (floating edges): fall back to everything
-                if lo is None and hi is None:
-                    raise RuntimeError("quantile bracket lost")   # cannot happen
-                refine.append([c, p, n, r0, r1, None, None, None])
-                continue
-            if st[f"mn{k}"] == st[f"mx{k}"]:
-                out[(c, p)] = st[f"mn{k}"]        # all tied: exact already
-            elif inside <= max_collect:
-                small.append((c, p, n, r0, r1, lo, hi, below))
-            else:
-                refine.append([c, p, n, r0, r1, lo, hi, (below, inside)])
-        if small:
-            _resolve_small(df, vals, small, out)
-        nxt = []
-        if refine:
-            aggs = []
-            for k, (c, p, n, r0, r1, lo, hi, info) in enumerate(refine):
-                if info is None:
-                    nxt.append([c, p, n, r0, r1, None, None])
-                    continue
-                below, inside = info
-                q0 = (r0 - below) / max(inside - 1, 1)
-                q1 = (r1 - below) / max(inside - 1, 1)
-                x = vals[c]
-                cond, _ = _in(x, lo, hi)
-                aggs.append(F.percentile_approx(
-                    F.when(cond, x), [max(0.0, q0 - w), min(1.0, q1 + w)], acc).alias(f"r{k}"))
-            if aggs:
-                rr = df.agg(*aggs).first()
-                for k, (c, p, n, r0, r1, lo, hi, info) in enumerate(refine):
-                    if info is not None:
-                        b = rr[f"r{k}"]
-                        nxt.append([c, p, n, r0, r1, b[0], b[1]])
-        entries = nxt
-    if entries:
-        raise RuntimeError("exact quantile did not converge")
+    stats = []
+    for k, (c, p, n, r0, r1, lo, hi) in enumerate(entries):
+        x = vals[c]
+        inside, lo_c = _in(x, lo, hi)
+        stats += [F.count(F.when(x < lo_c, 1)).alias(f"below{k}"),
+                  F.count(F.when(inside, 1)).alias(f"in{k}"),
+                  F.min(F.when(inside, x)).alias(f"mn{k}"),
+                  F.max(F.when(inside, x)).alias(f"mx{k}")]
+    st = df.agg(*stats).first() if stats else None
+    small, hard = [], set()
+    for k, (c, p, n, r0, r1, lo, hi) in enumerate(entries):
+        below, inside = st[f"below{k}"], st[f"in{k}"]
+        if not (below <= r0 and r1 < below + inside) or inside > max_collect:
+            hard.add(c)              # sketch missed or bracket still large
+        elif st[f"mn{k}"] == st[f"mx{k}"]:
+            out[(c, p)] = st[f"mn{k}"]        # all tied: exact already
+        else:
+            small.append((c, p, n, r0, r1, lo, hi, below))
+    small = [t for t in small if t[0] not in hard]
+    if small:
+        _resolve_small(df, vals, small, out)
+    # rare path: deterministic histogram narrowing (always converges)
+    for c in sorted(hard):
+        g = grouped_exact_quantiles(df.select(F.lit("all").alias("_g"), F.col(c)), "_g", c,
+                                    probs, acc, max_collect)
+        for p in probs:
+            out[(c, p)] = g.get(("all", p))
+    del max_rounds
     return out, row
 
 
