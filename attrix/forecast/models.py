@@ -20,12 +20,13 @@ from pyspark.sql.window import Window
 from attrix.forecast import solvers
 from attrix.forecast.prepare import FEATURES, feature_table, prepare_series
 from attrix.ml.basics import regression_metrics
-from attrix.session import ensure_checkpoint_dir
+from attrix.session import ensure_checkpoint_dir, ship_package
 
 SERIES = "_series"
 
 
 def _keys(df: DataFrame, series_keys):
+    ship_package(df.sparkSession)
     if series_keys:
         return df, list(series_keys)
     return df.withColumn(SERIES, F.lit("all")), [SERIES]

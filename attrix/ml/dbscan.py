@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from attrix.ml.basics import complete_rows, require_rows
 from attrix.ml.models import scaler_stats
-from attrix.session import ensure_checkpoint_dir
+from attrix.session import ensure_checkpoint_dir, ship_package
 
 BLOCK = 2048
 
@@ -139,6 +139,7 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     keep = list(keep or [])
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     src = complete_rows(df, features)
     require_rows(src, "clustering")
     d = len(features)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.ml.basics import complete_rows, require_rows
+from attrix.session import ship_package
 
 EULER = 0.5772156649015329
 
@@ -76,6 +77,7 @@ def _grow(pdf: pd.DataFrame, d: int, max_depth: int, seed: int) -> pd.DataFrame:
 def fit(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256,
         seed: int = 42) -> tuple[pd.DataFrame, int]:
     """Grow the forest; returns the node table (bounded) and the sample size."""
+    ship_package(df.sparkSession)
     src = complete_rows(df, features).select(
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
     n = src.count()
@@ -128,6 +130,7 @@ def score(df: DataFrame, features: list[str], nodes: pd.DataFrame, psi: int,
     """``score`` = −2^(−E[h]/c(ψ)) (higher = more normal), per row."""
     keep = list(keep or [])
     spark = df.sparkSession
+    ship_package(spark)
     bc = spark.sparkContext.broadcast(nodes)
     cpsi = float(c_factor(np.array([psi]))[0])
     src = complete_rows(df, features).select(*keep, *features)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attrix.session import ensure_checkpoint_dir
+from attrix.session import ensure_checkpoint_dir, ship_package
 
 
 def _scaled(df: DataFrame, features, stats):
@@ -40,7 +40,7 @@ def knn_candidates(train: DataFrame, test_path: str, d: int, k: int,
     zc = [f"z{i}" for i in range(d)]
 
     def topk(batches):
-        import pyarrow.parquet as pq
+        import pyarrow.dataset as ds
 
         parts = [b for b in batches]
         if not parts:
@@ -51,16 +51,8 @@ def knn_candidates(train: DataFrame, test_path: str, d: int, k: int,
         X = tr[zc].to_numpy(dtype=np.float64)
         y = tr["label"].to_numpy()
         kk = min(k, len(X))
-        pf = pq.ParquetFile(test_path) if not test_path.endswith("/") else None
-        files = [pf] if pf is not None else []
-        if pf is None:
-            import pyarrow.dataset as ds
-
-            dataset = ds.dataset(test_path, format="parquet")
-            scanner = dataset.to_batches(batch_size=block_rows, columns=["_tid", *zc])
-        else:
-            scanner = pf.iter_batches(batch_size=block_rows, columns=["_tid", *zc])
-        del files
+        scanner = ds.dataset(test_path, format="parquet").to_batches(
+            batch_size=block_rows, columns=["_tid", *zc])
         for rb in scanner:
             tb = rb.to_pandas()
             if tb.empty:
@@ -88,6 +80,7 @@ def knn_classify(train: DataFrame, test: DataFrame, features: list[str], label:
         raise ValueError("kNN needs a row key to join votes back to test rows")
     spark = train.sparkSession
     folder = ensure_checkpoint_dir(spark)
+    ship_package(spark)
     path = f"{folder.rstrip('/')}/knn-test-{uuid.uuid4().hex}"
     test_z = test.select(F.col(key).cast("string").alias("_tid"),
                          F.col(label).cast("string").alias("label"), *_scaled(test, features, stats))

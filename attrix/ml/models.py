@@ -414,9 +414,10 @@ def silhouette_exact(labelled: DataFrame, features: list[str], cluster_col: str
     import numpy as np
     import pandas as pd
 
-    from attrix.session import ensure_checkpoint_dir
+    from attrix.session import ensure_checkpoint_dir, ship_package
 
     spark = labelled.sparkSession
+    ship_package(spark)
     src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
     stats = scaler_stats(src, features)
     d = len(features)

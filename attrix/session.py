@@ -61,3 +61,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict:
     """Lazy parquet handles for the fixture tables (no data is read here)."""
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``attrix`` importable in Python workers (``applyInPandas`` /
+    ``mapInPandas`` functions reference its modules).
+
+    The package's sources are zipped once per SparkContext and distributed
+    with ``addPyFile`` (Spark's file server puts them on every executor's
+    Python path).  A deployment that installs the package on the executors
+    does not need this; calling it anyway is harmless."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import attrix
+
+    root = os.path.dirname(os.path.abspath(attrix.__file__))
+    staging = tempfile.mkdtemp(prefix="attrix-pkg-")
+    path = os.path.join(staging, "attrix.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
