@@ -102,9 +102,11 @@ def _attach(agg: DataFrame, keys: list[Column], rank_partition: list[str], top_n
     tot = agg.select(
         F.struct(F.sum("base").alias("b"), F.sum("target").alias("t")).alias("tot")
     ).scalar()
-    detail = agg.select(
+    # attach the subquery once; every measure then reads the same attribute
+    with_tot = agg.withColumn("_tot", tot)
+    detail = with_tot.select(
         *keys,
-        *_measures(F.col("base"), F.col("target"), tot.getField("b"), tot.getField("t")),
+        *_measures(F.col("base"), F.col("target"), F.col("_tot.b"), F.col("_tot.t")),
         F.lit(False).alias("is_total"),
     )
     order = [F.abs(F.col("delta")).desc(), *[F.col(k).asc() for k in key_order]]
