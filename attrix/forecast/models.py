@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from attrix.forecast import solvers
 from attrix.forecast.prepare import FEATURES, feature_table, prepare_series
 from attrix.ml.basics import regression_metrics
-from attrix.session import ensure_checkpoint_dir, ship_package
+from attrix.session import ensure_checkpoint_dir, partitions_for, ship_package
 
 SERIES = "_series"
 
@@ -147,8 +147,10 @@ def ml_forecast(df: DataFrame, date_col: str, metric: str, horizon: int = 30,
                            checkpointInterval=10)
     else:
         raise ValueError("model must be 'rf' or 'gbt'")
-    # iterative estimator: keep the (small) feature table materialised
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    # iterative estimator: keep the feature table materialised, partitioned
+    # by its size (one row per series-day) rather than by the shuffle default
+    n_rows = feats.count()
+    train = train.repartition(partitions_for(n_rows)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = est.fit(train)
         imp = sorted(zip(FEATURES, fitted.featureImportances.toArray()), key=lambda t: -t[1])
@@ -165,6 +167,9 @@ def ml_forecast(df: DataFrame, date_col: str, metric: str, horizon: int = 30,
             "tail"),
         F.max("date").alias("last_date"),
     ).withColumn("preds", F.array().cast("array<double>"))
+    # one row per series: size the recursion state by the series count
+    n_series = state.count()
+    state = state.repartition(partitions_for(n_series, 50_000), *keys)
     for step in range(1, horizon + 1):
         target = F.date_add(F.col("last_date"), step)
         x = state.select("*", *_tail_features(F.col("tail"), target, shifted))

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from attrix.ml.basics import complete_rows, require_rows
 from attrix.ml.models import scaler_stats
-from attrix.session import ensure_checkpoint_dir, ship_package
+from attrix.session import ensure_checkpoint_dir, partitions_for, ship_package
 
 BLOCK = 2048
 
@@ -149,7 +149,10 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
              for i, (c, (m, s)) in enumerate(zip(features, stats))]
     rows = src.select(*keep, *features, *zexpr).withColumn("pid", F.xxhash64(*zc))
     pts = rows.groupBy("pid", *zc).agg(F.count(F.lit(1)).alias("w"))
-    S = slabs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # slab count: enough slabs to keep each slab's quadratic work small,
+    # never more than the shuffle parallelism (one scalar count)
+    S = slabs or partitions_for(pts.count(), 20_000,
+                                int(spark.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / S for i in range(1, S)]
     bounds = (pts.select(F.percentile_approx("z0", probs, 10000).alias("b")).scalar() if probs
               else F.array().cast("array<double>"))

@@ -93,3 +93,11 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(key)
+
+
+def partitions_for(rows: int, rows_per_partition: int = 200_000, cap: int | None = None) -> int:
+    """Partition count for a derived table of ``rows`` rows: about
+    ``rows_per_partition`` rows each, at least 1 (small model tables should
+    not inherit hundreds of shuffle partitions; big ones still spread)."""
+    n = max(1, -(-int(rows) // rows_per_partition))
+    return min(n, cap) if cap else n
