@@ -123,7 +123,7 @@ def _resolve_small(df, vals, small, out):
 
 def grouped_exact_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
                             acc: int = 10000, max_collect: int = MAX_COLLECT, bins: int = 1024,
-                            max_rounds: int = 12) -> dict:
+                            max_rounds: int = 12, stats: dict | None = None) -> dict:
     """Exact per-group quantiles ``{(group_value, p): value}``.
 
     Pass 1 sketches every group (``percentile_approx`` grouped, bounded per
@@ -140,8 +140,11 @@ def grouped_exact_quantiles(df: DataFrame, group: str, column: str, probs: list[
         F.col("g").isNotNull() & F.col("x").isNotNull())
     w = 2.0 / acc
     ps = [max(0.0, p - w) for p in probs] + [min(1.0, p + w) for p in probs]
-    first = src.groupBy("g").agg(F.count(F.lit(1)).alias("n"),
+    first = src.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
+                                 F.max("x").alias("mx"),
                                  F.percentile_approx("x", ps, acc).alias("b")).collect()
+    if stats is not None:       # per-group (n, min, max) ride along with the sketch
+        stats.update({r["g"]: (r["n"], r["mn"], r["mx"]) for r in first})
     out: dict = {}
     entries = []   # (g, p, n, r0, r1, lo, hi)
     for r in first:

@@ -65,16 +65,21 @@ def box_summary(df: DataFrame, metric: str, dim: str | None = None, exact: bool
     for d in gk:
         src = src.where(F.col(d).isNotNull())
     probs = [0.25, 0.5, 0.75]
-    base = src.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("min"),
-                                F.max("m").alias("max"))
+    bschema = (f"`{dim}` string, " if dim else "") + "n long, min double, max double"
     if exact and dim:
-        qs = grouped_exact_quantiles(src, dim, "m", probs, accuracy)
+        st: dict = {}
+        qs = grouped_exact_quantiles(src, dim, "m", probs, accuracy, stats=st)
         groups = sorted({g for g, _ in qs})
         qrows = [(g, qs[(g, 0.25)], qs[(g, 0.5)], qs[(g, 0.75)]) for g in groups]
+        base = spark.createDataFrame([(g, *st[g]) for g in groups], bschema)   # one row/group
     elif exact:
-        qs, _ = exact_quantiles(src, ["m"], probs, accuracy)
+        qs, row = exact_quantiles(src, ["m"], probs, accuracy,
+                                  [F.min("m").alias("_mn"), F.max("m").alias("_mx")])
         qrows = [(qs[("m", 0.25)], qs[("m", 0.5)], qs[("m", 0.75)])]
+        base = spark.createDataFrame([(row["n0"], row["_mn"], row["_mx"])], bschema)
     else:
+        base = src.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("min"),
+                                    F.max("m").alias("max"))
         qrows = [tuple(([r[dim]] if dim else []) + list(r["q"])) for r in src.groupBy(*gk).agg(
             F.percentile_approx("m", probs, accuracy).alias("q")).collect()]
     qschema = (f"`{dim}` string, " if dim else "") + "q1 double, median double, q3 double"
