@@ -66,7 +66,7 @@ class Sets:
         whole = []
         for i in short:  # fewer words than a shingle: the sequence as one
             own, n = w.hashes[w.starts[i]:w.starts[i] + w.lengths[i]], int(w.lengths[i])
-            whole.append(rolling(own, n, BASES[0])[0] ^ SALT[n & 1] * U64(n))
+            whole.append(rolling(own, n, BASES[0])[0] ^ U64(int(SALT[0]) * n % (1 << 64)))
         doc = np.r_[doc, short].astype(np.int64)
         h = np.r_[h, np.array(whole, U64)]
         order = np.lexsort((h, doc))
@@ -104,7 +104,7 @@ class Sets:
             size = len(own)
             for m in range(size, min(small, size * 5 // 4) + 1):
                 pick = np.array(list(combinations(range(size), ceil(4 * m / 5))))
-                found = mix(own[pick].sum(axis=1, dtype=U64) + U64(m) * SALT[0])
+                found = mix(own[pick].sum(axis=1, dtype=U64) + U64(int(SALT[0]) * m % (1 << 64)))
                 rows.append(np.full(len(found), i))
                 keys.append(found)
         return np.concatenate(rows).astype(np.int64), np.concatenate(keys)

@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,10 +119,22 @@ def labelled(features: DataFrame, labels: DataFrame, column: str, learn: Column)
     return features.where(learn).join(y.where("y in (0, 1)"), "doc_id")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ridge: float = 1.0) -> DataFrame:
-    """``doc_id, score`` for every row of ``docs``.  ``learn`` (over ``doc_id``)
-    says which rows' labels may be used; all labelled rows that it admits are."""
-    features = stash(text_statistics(docs), "quality")
+class QualityModel:
+    """Fitted weights and calibration; scores chunks of texts."""
+
+    def __init__(self, mean, sd, weight, at, value):
+        self.mean, self.sd, self.weight, self.at, self.value = mean, sd, weight, at, value
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return _lift(x, self.mean, self.sd) @ self.weight
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return calibrated(self.raw(x), self.at, self.value)
+
+
+def fit_quality(features: DataFrame, labels: DataFrame, learn: Column | None = None, ridge: float = 1.0) -> QualityModel:
+    """Fit on ``text_statistics`` rows.  ``learn`` (over ``doc_id``) says which
+    rows' labels may be used; all labelled rows that it admits are."""
     rows = stash(labelled(features, labels, "quality", F.lit(True) if learn is None else learn), "labelled")
     k = STATISTICS
 
@@ -140,18 +153,39 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = Non
 
     sums = partition_sum(rows, normal, d * d + d)
     weight = np.linalg.solve(sums[:d * d].reshape(d, d) + ridge * np.eye(d), sums[d * d:])
+    model = QualityModel(mean, sd, weight, np.empty(0), np.empty(0))
 
     def raw(batches):
         for b in batches:
             if b.num_rows:
-                yield record(raw=_lift(matrix(b, "x"), mean, sd) @ weight, y=b.column("y"))
+                yield record(raw=model.raw(matrix(b, "x")), y=b.column("y"))
+
+    model.at, model.value = isotonic(map_arrow(rows, raw, "raw double, y double"), -0.5, 1.5)
+    return model
 
-    at, value = isotonic(map_arrow(rows, raw, "raw double, y double"), -0.5, 1.5)
+
+def score_quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
+    """``doc_id, score`` for every row of ``docs``."""
+    features = stash(text_statistics(docs), "quality")
+    model = fit_quality(features, labels, learn)
 
     def final(batches):
         for b in batches:
             if b.num_rows:
-                s = calibrated(_lift(matrix(b, "x"), mean, sd) @ weight, at, value)
-                yield record(doc_id=b.column("doc_id"), score=s)
+                yield record(doc_id=b.column("doc_id"), score=model(matrix(b, "x")))
 
     return map_arrow(features, final, "doc_id long, score double")
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, bar: float, columns: list[str]) -> DataFrame:
+    """``columns`` (``text`` among them) of the rows that score ``bar`` or more;
+    texts are scored where they are read and never shuffled."""
+    model = fit_quality(stash(text_statistics(docs), "quality"), labels)
+    rows = docs.select(*[F.col(c).cast("binary").alias(c) if c == "text" else F.col(c) for c in columns])
+
+    def keep(batches):
+        for b in chunks(batches):
+            yield b.filter(pa.array(model(statistics(b)) >= bar))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return map_arrow(rows, keep, shape).withColumn("text", F.col("text").cast("string"))

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrix.llm.decontaminate import contamination
 from attrix.llm.jaccard_join import jaccard_join
+from attrix.llm.mixing import mix_sources
 from attrix.llm.quality import score_quality
 from attrix.llm.substring_dedup import substring_dedup
 
@@ -40,17 +42,49 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("hits.item_id")))
+    return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size(items).alias("n_items"),
+                      items.alias("items"), F.coalesce(F.array_min(F.col("hits.edits")), F.lit(-1)).alias("least_edits"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
+    "op8_mixing": op8_mixing,
     "op1_quality": op1_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
 }
 
-WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op8_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
+           FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+o AS (SELECT *, 3 * source_size / weight::DOUBLE AS ratio FROM w),
+l AS (SELECT *, (sum(source_size) OVER ()
+          - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, source ASC NULLS LAST
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM o),
+t AS (SELECT source, source_size, least(3.0 * source_size, max(lev) OVER () * weight)::DOUBLE AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
+FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source
+""",
     "op4_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h

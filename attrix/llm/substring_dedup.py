@@ -73,22 +73,24 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def window_filter(rows: DataFrame, window: int, total_bytes: int) -> tuple[sketch.Repeated, int]:
+def window_filter(rows: DataFrame, window: int, total_bytes: int) -> sketch.Repeated:
     bits = sketch.log2_width(total_bytes // 40)
 
     def count(batches):
         for b in chunks(batches):
             yield from sketch.parts(_Windows(b, window).names(), bits)
 
-    return sketch.merge(map_arrow(rows, count, sketch.PARTS), bits), bits
+    return sketch.merge(map_arrow(rows, count, sketch.PARTS), bits)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, kept`` (kept words
     joined by one space), ``text`` (the input without the removed words and the
-    white space after each) and ``spans`` (removed runs, in words)."""
+    white space after each), ``spans`` (removed runs, in words) and the columns
+    named in ``carry``."""
+    kept = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
     rows = id_and_text(docs)
-    repeated, _ = window_filter(rows, window, text_bytes(docs))
+    repeated = window_filter(rows, window, text_bytes(docs))
     shared = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def offer(batches):
@@ -118,10 +120,14 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                     lo, hi = bounds[i], bounds[i + 1]
                     keep[lo:hi] = np.isin(a[lo:hi], own)
             gone = covered(at[same | ~keep], w.total, window)
-            yield _result(b, w, gone)
-
-    joined = rows.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(firsts, "key", "left")
-    return map_arrow(joined.select("doc_id", "text", "firsts"), cut, RESULT)
+            out = _result(b, w, gone)
+            yield pa.RecordBatch.from_arrays(
+                [*out.columns, *[b.column(f"_{c}") for c in carry]], names=[*out.schema.names, *carry])
+
+    joined = (id_and_text(kept, *[f"_{c}" for c in carry])
+              .withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(firsts, "key", "left"))
+    shape = ", ".join([RESULT, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
+    return map_arrow(joined.drop("key"), cut, shape)
 
 
 def _result(batch: pa.RecordBatch, w: _Windows, gone: np.ndarray) -> pa.RecordBatch:

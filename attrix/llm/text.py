@@ -73,6 +73,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+#: Lower case, and ASCII punctuation as white space.
+PLAIN = _LOWER.copy()
+PLAIN[[i for i in range(0x80) if not chr(i).isalnum()]] = 0x20
 
 
 def raw(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +94,12 @@ class Words:
 
     ``begin``/``end``: byte positions in the chunk; ``doc``: the row of each
     word; ``starts``/``lengths``: first word and number of words of each row;
-    ``hashes``: 64-bit hash of each word."""
+    ``hashes``: 64-bit hash of each word.  ``table`` maps bytes beforehand."""
 
-    def __init__(self, batch: pa.RecordBatch, lower: bool = False):
+    def __init__(self, batch: pa.RecordBatch, lower: bool = False, table: np.ndarray | None = None):
         self.data, self.offsets = raw(batch)
-        data = _LOWER[self.data] if lower else self.data
+        table = _LOWER if lower and table is None else table
+        data = self.data if table is None else table[self.data]
         n = len(data)
         word = np.zeros(n + 2, bool)
         np.logical_not(_SPACE[data], out=word[1:-1])
