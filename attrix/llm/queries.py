@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.llm.decontaminate import contamination
+from attrix.llm.fingerprints import edit_probe
 from attrix.llm.jaccard_join import jaccard_join
 from attrix.llm.mixing import mix_sources
 from attrix.llm.quality import score_quality
@@ -53,7 +54,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edit_probe(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+                      F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                      "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {
+    "op10_fingerprints": op10_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op8_mixing": op8_mixing,
     "op1_quality": op1_quality,
