@@ -15,12 +15,14 @@ Method: a size-aware heavy-light join.
 * Members are ordered light first, heavy (frequent) last, so that common
   lines rarely enter a prefix.  The order decides the cost only: the prefix rule
   holds for any order.
-* A count-min sketch over the keys drops those no other document can hold.
+* A count-min sketch over the members of twice that prefix drops what no other
+  document can hold, and with it every document of which less than half of the
+  long prefix may be shared (a link needs at least that much: lossless).
 * Each list first links its documents to one pivot (linear); verified links
   become components.  Only then are lists that still span several components
-  joined with themselves, across components.  So thousands of near copies of
-  one text never become pairs of each other, and no link between components
-  is lost.
+  joined with themselves, across components, keeping pairs that share as many
+  prefix members as a link must.  So thousands of near copies of one text never
+  become pairs of each other, and no link between components is lost.
 
 Every candidate is verified on the full sets: ``100 * shared >= 80 * union``.
 
@@ -84,10 +86,9 @@ class Sets:
             out.append((total[self.bounds[1:]] - total[self.bounds[:-1]]).view(np.int64))
         return out[0], out[1]
 
-    def keys(self, heavy: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, key)`` of every signature: subsets of small sets, prefixes
-        of sets whose partners may be large."""
-        rows, keys = [], []
+    def prefix(self, heavy: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, member)`` of the long prefix of sets whose partners may be
+        large."""
         last = np.zeros(len(self.h), bool)
         if len(heavy):
             spot = np.minimum(np.searchsorted(heavy, self.h), len(heavy) - 1)
@@ -96,9 +97,13 @@ class Sets:
         doc = self.doc[order]
         rank = np.arange(len(doc)) - self.bounds[doc]
         n = self.n[doc]
-        use = (rank < n - (4 * n + 4) // 5 + 1) & (n * 5 // 4 > small)
-        rows.append(doc[use])
-        keys.append(self.h[order][use])
+        need = n - (4 * n + 4) // 5 + 1
+        use = (rank < need + spare(n)) & (n * 5 // 4 > small)
+        return doc[use], self.h[order][use]
+
+    def subsets(self, small: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, key)`` of all subsets that small sets write down."""
+        rows, keys = [np.empty(0, np.int64)], [np.empty(0, U64)]
         for i in np.flatnonzero((self.n > 0) & (self.n <= small)):
             own = mix(self.h[self.bounds[i]:self.bounds[i + 1]])
             size = len(own)
@@ -109,6 +114,25 @@ class Sets:
                 keys.append(found)
         return np.concatenate(rows).astype(np.int64), np.concatenate(keys)
 
+    def keys(self, heavy: np.ndarray, small: int, repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, key, is_subset)`` of the signatures that another document
+        may hold, for documents that can link at all."""
+        doc, member = self.prefix(heavy, small)
+        may = repeated(member)
+        able = np.bincount(doc[may], minlength=len(self.n)) >= 1 + spare(self.n)
+        use = may & able[doc]
+        row, key = self.subsets(small)
+        found = repeated(key)
+        return (np.r_[doc[use], row[found]], np.r_[member[use], key[found]],
+                np.r_[np.zeros(use.sum(), bool), np.ones(found.sum(), bool)])
+
+
+def spare(n):
+    """Places by which the long prefix exceeds the one that linking needs: if
+    one shared member must be among the first p, ``1 + spare`` must be among the
+    first ``p + spare``."""
+    return n // 5
+
 
 def subset_cost(n: int) -> int:
     return sum(comb(n, ceil(4 * m / 5)) for m in range(n, n * 5 // 4 + 1))
@@ -186,40 +210,52 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     heavy = np.sort(np.array([r["token"] for r in frequent.collect()], np.int64).view(U64))
     small = boundary(mean or 1.0)
     shared_heavy = sc.broadcast(heavy)
-    bits = sketch.log2_width(text_bytes(docs) // 24)
+    bits = sketch.log2_width(text_bytes(docs) // 40)
 
     def count(batches):
         for b in chunks(batches):
-            yield from sketch.parts(Sets(b).keys(shared_heavy.value, small)[1], bits)
+            sets = Sets(b)
+            _, members = sets.prefix(shared_heavy.value, small)
+            yield from sketch.parts(np.r_[members, sets.subsets(small)[1]], bits)
 
     repeated = sc.broadcast(sketch.merge(map_arrow(rows, count, sketch.PARTS), bits))
 
     def offer(batches):
         for b in chunks(batches):
             s = Sets(b)
-            row, key = s.keys(shared_heavy.value, small)
-            use = repeated.value(key)
-            row, key = row[use], key[use].view(np.int64)
-            order = np.argsort(row, kind="stable")
-            row, key = row[order], key[order]
-            bounds = np.searchsorted(row, np.arange(b.num_rows + 1))
-            has = np.flatnonzero(np.diff(bounds))
+            row, key, subset = s.keys(shared_heavy.value, small, repeated.value)
             a, c = s.marks()
+            ids = _ids(b)
+            first = np.zeros(b.num_rows, bool)  # the smallest id of equal sets in a chunk
+            by_set = np.lexsort((ids, a))
+            first[by_set[np.r_[True, np.diff(a[by_set]) != 0]]] = True
+            lists = []
+            for of in (~subset, subset):
+                order = np.argsort(row[of], kind="stable")
+                k, bounds = key[of][order].view(np.int64), np.searchsorted(row[of][order], np.arange(b.num_rows + 1))
+                lists.append([k[x:y] for x, y in zip(bounds[:-1], bounds[1:])])
+            has = [i for i in range(b.num_rows) if first[i] and (len(lists[0][i]) or len(lists[1][i]))]
             yield record(
-                doc_id=_ids(b)[has], n=s.n[has], a=a[has], b=c[has],
-                keys=pa.array([key[bounds[i]:bounds[i + 1]] for i in has], pa.list_(pa.int64())),
+                doc_id=ids[has], n=s.n[has], a=a[has], b=c[has],
+                keys=pa.array([lists[0][i] for i in has], pa.list_(pa.int64())),
+                subsets=pa.array([lists[1][i] for i in has], pa.list_(pa.int64())),
                 members=pa.array([s.h[s.bounds[i]:s.bounds[i + 1]].tobytes() for i in has], pa.binary()))
 
     classes = documents.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"))
-    offered = map_arrow(rows, offer, "doc_id long, n long, a long, b long, keys array<long>, members binary")
-    mine = classes.withColumnRenamed("node", "doc_id")
-    sets = stash(offered.join(mine, ["doc_id", "a", "b"], "left_semi")
-                 .select(F.col("doc_id").alias("node"), "n", "keys", "members"), "members")
-    lists = stash(sets.select("node", "n", F.explode("keys").alias("key")), "lists")
-
-    pivots = lists.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    first = (lists.join(pivots, "key").where(F.col("node") != F.col("p.node")).where(_fits("n", "p.n"))
-             .select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct())
+    offered = map_arrow(rows, offer, "doc_id long, n long, a long, b long, keys array<long>, subsets array<long>, "
+                                     "members binary")
+    sets = stash(offered.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "a", "b"], "left_semi")
+                 .select(F.col("doc_id").alias("node"), "n", "keys", "subsets", "members"), "members")
+    lists = stash(sets.select("node", "n", F.explode(F.concat(
+        F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(0).alias("subset"))),
+        F.transform("subsets", lambda k: F.struct(k.alias("key"), F.lit(1).alias("subset"))))).alias("k"))
+        .select("node", "n", "k.key", "k.subset"), "lists")
+
+    pivots = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
+    sizes = sets.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
+    first = (lists.join(pivots, "key").where("node <> pivot").select("node", "n", "pivot").distinct()
+             .join(sizes, "pivot").where(_fits("n", "m"))
+             .select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct())
     links = stash(_verify(first, sets), "links")
     label = components(links)
 
@@ -227,8 +263,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spread = mixed.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("key")
     open_lists = stash(mixed.join(spread, "key", "left_semi"), "open")
     other = open_lists.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("of").alias("to"))
+    needed = 1 + F.floor(F.least("n", "m") / 5)
     rest = (open_lists.join(other, "key").where("of <> to and node > v").where(_fits("n", "m"))
-            .select(F.col("node").alias("u"), "v").distinct().join(first, ["u", "v"], "left_anti"))
+            .groupBy(F.col("node").alias("u"), "v", "n", "m")
+            .agg(F.count("*").alias("c"), F.max("subset").alias("s"))
+            .where((F.col("c") >= needed) | (F.col("s") == 1)).select("u", "v").distinct()
+            .join(first, ["u", "v"], "left_anti"))
     more = _verify(rest, sets)
     label = components(links.unionByName(more))
 

@@ -10,8 +10,10 @@ from attrix.llm.decontaminate import contamination
 from attrix.llm.fingerprints import edit_probe
 from attrix.llm.jaccard_join import jaccard_join
 from attrix.llm.mixing import mix_sources
+from attrix.llm.ppm import score_ppm
 from attrix.llm.quality import score_quality
 from attrix.llm.substring_dedup import substring_dedup
+from attrix.llm.suffix_dedup import suffix_dedup
 
 
 QUALITY_BAR = 0.7
@@ -50,6 +52,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       items.alias("items"), F.coalesce(F.array_min(F.col("hits.edits")), F.lit(-1)).alias("least_edits"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(part_of(7) == 2, F.lit(False))
+    return score_ppm(table(spark, sf_dir, "documents"), learn=~held).withColumn("held_out", held)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -62,6 +75,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op8_mixing": op8_mixing,
