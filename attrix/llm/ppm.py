@@ -5,9 +5,10 @@ The model is a trie of byte contexts of up to ``ORDER`` symbols, pretrained on
 the rows that may be learnt from.  It models the text as its words, A-Z in lower
 case, with one space between and an end symbol after the last; a unit is a word
 with the symbol after it, and the context of a unit begins with a start marker.  A symbol is predicted by its
-longest known context with escape method C; after an escape, the symbols of the
-longer context are excluded from the shorter one, down to a uniform choice among
-symbols never seen.  ``score`` is the log10 probability of the whole text.
+longest known context with escape method D (half a count for each distinct
+symbol); after an escape, the symbols of the longer context are excluded from the
+shorter one, whose counts are of the longer contexts a symbol follows (update
+exclusion), down to a uniform choice among symbols never seen.  ``score`` is the log10 probability of the whole text.
 
 Counts of words and of (context, symbol) are added up by Spark over all rows.
 The trie is broadcast: contexts are kept by count until ``MAX_ENTRIES`` entries
@@ -202,15 +203,20 @@ class Trie:
         symbol = keys & U64(0xFF)
         low = self.entries(entry_key(self.shorter(context, order_of[self.of]), symbol))
         has = (order_of[self.of] > 0) & (low >= 0)
+        # a context that always extends counts the longer contexts a symbol follows
+        oldest = (owner >> (U64(8) * (np.maximum(order_of, 1) - 1).astype(U64))) & U64(0xFF)
+        extends = (order_of < ORDER) & ((order_of == 0) | (oldest != START))
+        kinds_after = np.bincount(low[has], minlength=len(counts))
+        counts = np.where(extends[self.of], np.maximum(kinds_after, 1), counts)
+        total = np.bincount(self.of, weights=counts, minlength=len(owner))
         excluded = np.bincount(self.of[has], weights=counts[low[has]], minlength=len(owner))
         novel = np.where(order_of > 0, kinds[below] - kinds, 0)
-        rest = np.where(order_of > 0, total[below] - excluded, 0) + novel
-        with np.errstate(divide="ignore"):
-            self.log_count = np.log10(counts)
-            self.first = self.log_count - np.log10(total + kinds)[self.of]
-            self.escape = np.log10(kinds / (total + kinds))
-            self.rest = np.log10(np.maximum(rest, 1e-300))
-            self.again = np.where(rest > 0, np.log10(np.maximum(novel, 1e-300)) - self.rest, 0.0)
+        rest = np.where(order_of > 0, total[below] - excluded, 0)
+        self.log_count = np.log10(counts - 0.5)
+        self.first = self.log_count - np.log10(total)[self.of]
+        self.escape = np.log10(kinds / (2 * total))
+        self.rest = np.log10(np.maximum(rest, 1e-300))
+        self.again = np.where(novel > 0, np.log10(np.maximum(novel, 1e-300) / 2) - self.rest, 0.0)
         root = self.contexts(np.zeros(1, U64))[0]
         self.unseen = -np.log10(max(1, 256 - (kinds[root] if root >= 0 else 0)))
         del self.of

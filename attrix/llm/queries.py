@@ -14,6 +14,7 @@ from attrix.llm.ppm import score_ppm
 from attrix.llm.quality import score_quality
 from attrix.llm.substring_dedup import substring_dedup
 from attrix.llm.suffix_dedup import suffix_dedup
+from attrix.llm.toxicity import score_toxicity
 
 
 QUALITY_BAR = 0.7
@@ -67,6 +68,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(part_of(5) == 0, F.lit(False))
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edit_probe(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
@@ -80,6 +87,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op1_quality": op1_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
