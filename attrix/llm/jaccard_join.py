@@ -18,8 +18,9 @@ Method: a size-aware heavy-light join.
 * A count-min sketch over the members of twice that prefix drops what no other
   document can hold, and with it every document of which less than half of the
   long prefix may be shared (a link needs at least that much: lossless).
-* Each list first links its documents to one pivot (linear); verified links
-  become components.  Only then are lists that still span several components
+* Each list first links its documents to one pivot (linear), the one with the
+  least text of its own, then another; verified links become components.  Only
+  then are lists that still span several components
   joined with themselves, across components, keeping pairs that share as many
   prefix members as a link must.  So thousands of near copies of one text never
   become pairs of each other, and no link between components is lost.
@@ -52,6 +53,7 @@ NULL_ID = -(1 << 63)
 #: Bound of the broadcast list of heavy shingles (2 MB), and of subset sizes.
 MAX_HEAVY, HEAVY_HITS, MAX_SMALL = 1 << 18, 64, 12
 BLOCK = 1 << 22
+ROUNDS = 2  # of linear star links before lists are joined across components
 SALT = (U64(0x8CB92BA72F3D8DD7), U64(0xD6E8FEB86659FD93))
 
 
@@ -114,9 +116,10 @@ class Sets:
                 keys.append(found)
         return np.concatenate(rows).astype(np.int64), np.concatenate(keys)
 
-    def keys(self, heavy: np.ndarray, small: int, repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def keys(self, heavy: np.ndarray, small: int, repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(row, key, is_subset)`` of the signatures that another document
-        may hold, for documents that can link at all."""
+        may hold, for documents that can link at all; and how many of each
+        row's prefix members no other document holds."""
         doc, member = self.prefix(heavy, small)
         may = repeated(member)
         able = np.bincount(doc[may], minlength=len(self.n)) >= 1 + spare(self.n)
@@ -124,7 +127,8 @@ class Sets:
         row, key = self.subsets(small)
         found = repeated(key)
         return (np.r_[doc[use], row[found]], np.r_[member[use], key[found]],
-                np.r_[np.zeros(use.sum(), bool), np.ones(found.sum(), bool)])
+                np.r_[np.zeros(use.sum(), bool), np.ones(found.sum(), bool)],
+                np.bincount(doc[~may], minlength=len(self.n)))
 
 
 def spare(n):
@@ -196,6 +200,13 @@ def _fits(a: str, b: str) -> F.Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * 80)
 
 
+def _spread(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists that still hold documents of several components (``of``)."""
+    of = lists.join(label, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+    several = of.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("key")
+    return of.join(several, "key", "left_semi")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, class_id`` (smallest id of
     the documents with the same set) and ``component_id`` (smallest id
@@ -223,7 +234,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     def offer(batches):
         for b in chunks(batches):
             s = Sets(b)
-            row, key, subset = s.keys(shared_heavy.value, small, repeated.value)
+            row, key, subset, own = s.keys(shared_heavy.value, small, repeated.value)
             a, c = s.marks()
             ids = _ids(b)
             first = np.zeros(b.num_rows, bool)  # the smallest id of equal sets in a chunk
@@ -236,39 +247,46 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                 lists.append([k[x:y] for x, y in zip(bounds[:-1], bounds[1:])])
             has = [i for i in range(b.num_rows) if first[i] and (len(lists[0][i]) or len(lists[1][i]))]
             yield record(
-                doc_id=ids[has], n=s.n[has], a=a[has], b=c[has],
+                doc_id=ids[has], n=s.n[has], own=own[has], a=a[has], b=c[has],
                 keys=pa.array([lists[0][i] for i in has], pa.list_(pa.int64())),
                 subsets=pa.array([lists[1][i] for i in has], pa.list_(pa.int64())),
                 members=pa.array([s.h[s.bounds[i]:s.bounds[i + 1]].tobytes() for i in has], pa.binary()))
 
     classes = documents.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"))
-    offered = map_arrow(rows, offer, "doc_id long, n long, a long, b long, keys array<long>, subsets array<long>, "
+    offered = map_arrow(rows, offer, "doc_id long, n long, own long, a long, b long, keys array<long>, subsets array<long>, "
                                      "members binary")
     sets = stash(offered.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "a", "b"], "left_semi")
-                 .select(F.col("doc_id").alias("node"), "n", "keys", "subsets", "members"), "members")
-    lists = stash(sets.select("node", "n", F.explode(F.concat(
+                 .select(F.col("doc_id").alias("node"), "n", "own", "keys", "subsets", "members"), "members")
+    lists = stash(sets.select("node", "n", "own", F.explode(F.concat(
         F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(0).alias("subset"))),
         F.transform("subsets", lambda k: F.struct(k.alias("key"), F.lit(1).alias("subset"))))).alias("k"))
-        .select("node", "n", "k.key", "k.subset"), "lists")
+        .select("node", "n", "own", "k.key", "k.subset"), "lists")
 
-    pivots = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     sizes = sets.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
-    first = (lists.join(pivots, "key").where("node <> pivot").select("node", "n", "pivot").distinct()
-             .join(sizes, "pivot").where(_fits("n", "m"))
-             .select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct())
-    links = stash(_verify(first, sets), "links")
-    label = components(links)
-
-    mixed = lists.join(label, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
-    spread = mixed.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("key")
-    open_lists = stash(mixed.join(spread, "key", "left_semi"), "open")
-    other = open_lists.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("of").alias("to"))
+    label = tried = links = None
+    spread = lists.withColumn("of", F.col("node"))
+    for turn in range(ROUNDS):
+        # the document with the least text of its own, then any
+        order = F.struct("own", "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        pivots = spread.groupBy("key").agg(F.min(order)["node"].alias("pivot"))
+        star = (spread.join(pivots, "key").where("node <> pivot").select("node", "n", "pivot").distinct()
+                .join(sizes, "pivot").where(_fits("n", "m"))
+                .select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct())
+        star = star if tried is None else star.join(tried, ["u", "v"], "left_anti")
+        star = stash(star, "star")
+        found = stash(_verify(star, sets), "links")
+        tried = star if tried is None else tried.unionByName(star)
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        spread = stash(_spread(lists, label), "open")
+
+    other = spread.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("of").alias("to"))
     needed = 1 + F.floor(F.least("n", "m") / 5)
-    rest = (open_lists.join(other, "key").where("of <> to and node > v").where(_fits("n", "m"))
+    rest = (spread.join(other, "key").where("of <> to and node > v").where(_fits("n", "m"))
             .groupBy(F.col("node").alias("u"), "v", "n", "m")
             .agg(F.count("*").alias("c"), F.max("subset").alias("s"))
             .where((F.col("c") >= needed) | (F.col("s") == 1)).select("u", "v").distinct()
-            .join(first, ["u", "v"], "left_anti"))
+            .join(tried, ["u", "v"], "left_anti"))
     more = _verify(rest, sets)
     label = components(links.unionByName(more))
 

@@ -7,11 +7,13 @@ subsequence kernel of order 3 (every ordered triple of letters counts
 ``DECAY ** span``, spans up to ``SPAN``), normalised by the landmark's own kernel
 and at most 1, which tolerates inserted, missing and appended letters.  Landmarks
 are the units, and first letters of units, most tied to the label among the
-labelled texts.  A text's similarity to a landmark is that of its best unit
-(below ``FLOOR``: none); the Nystroem map of the landmark
-kernel turns similarities into features of a linear squared-hinge support vector
-machine, fitted by Newton steps on sums that Spark adds up, and calibrated by
-isotonic regression.
+labelled texts.  A sentence's similarity to a landmark is that of its best unit
+(below ``FLOOR``: none); the Nystroem map of the landmark kernel turns
+similarities into features of a linear squared-hinge support vector machine.  It
+learns from sentences, which take their text's label (those of toxic texts
+without any similarity say nothing and are left out), by Newton steps on sums
+that Spark adds up.  A text scores as its worst sentence, calibrated by isotonic
+regression over texts.
 
 At most ``max_train`` labelled rows are learnt from, those with the smallest
 hashes (a documented bound); every whole text is scored.
@@ -48,7 +50,8 @@ GAPS = [(g, h) for g in range(1, SPAN) for h in range(1, SPAN) if g + h < SPAN]
 
 
 class Units:
-    """Distinct letter units of a chunk of texts."""
+    """Distinct letter units of a chunk of texts; ``row`` is the sentence of
+    each occurrence and ``doc`` the text of each sentence."""
 
     def __init__(self, batch: pa.RecordBatch):
         w = Words(batch)
@@ -61,18 +64,23 @@ class Units:
             use &= np.arange(len(w.data)) < w.end[np.maximum(word_of, 0)]
         letters, word = code[use], word_of[use]
         size = np.bincount(word, minlength=w.total)
+        # a sentence ends with a word of three bytes or more and . ! or ?
+        last = np.isin(w.data[w.end - 1], list(b".!?")) & (w.end - w.begin > 2) if w.total else np.empty(0, bool)
+        opens = np.r_[True, last[:-1] | (w.doc[1:] != w.doc[:-1])][:w.total]
+        sentence = np.cumsum(opens) - 1
+        self.doc = w.doc[np.flatnonzero(opens)]
         single = size == 1
         join = np.zeros(w.total, bool)
         if w.total > 1:
-            join[1:] = single[1:] & single[:-1] & (w.doc[1:] == w.doc[:-1])
+            join[1:] = single[1:] & single[:-1] & ~opens[1:]
         unit_of_word = np.cumsum(~join) - 1
         unit = unit_of_word[word]
         fresh = np.r_[True, unit[1:] != unit[:-1]][:len(unit)]
         begin = np.flatnonzero(fresh)
         length = np.diff(np.r_[begin, len(unit)])
-        doc = w.doc[word[begin]]
+        row = sentence[word[begin]]
         good = length >= 3
-        self.rows = batch.num_rows
+        self.rows = len(self.doc)
         self.begin = self.length = self.row = self.which = np.empty(0, np.int64)
         self.hashes = np.empty(0, U64)
         self.letters = letters
@@ -82,7 +90,7 @@ class Units:
         place = np.arange(len(letters)) - np.repeat(begin, length)
         hashes = mix(np.add.reduceat(letters.astype(U64) * powers[place], begin))[good]
         self.hashes, first, self.which = np.unique(hashes, return_index=True, return_inverse=True)
-        self.begin, self.length, self.row = begin[good][first], length[good][first], doc[good]
+        self.begin, self.length, self.row = begin[good][first], length[good][first], row[good]
 
     def text(self, i: int) -> bytes:
         return self.letters[self.begin[i]:self.begin[i] + self.length[i]].tobytes()
@@ -136,7 +144,7 @@ class Landmarks:
         return hit // self.size, hit % self.size, np.minimum(total[hit], 1.0)
 
     def similarities(self, u: Units) -> np.ndarray:
-        """Each text's best similarity to each landmark."""
+        """Each sentence's best similarity to each landmark."""
         out = np.zeros((u.rows, self.size), np.float32)
         if not len(u.length):
             return out
@@ -162,7 +170,7 @@ def candidates(u: Units) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     at = np.searchsorted(owner, np.arange(len(u.length) + 1))
     many = (at[1:] - at[:-1])[u.which] if len(u.length) else np.empty(0, np.int64)
     entry = np.repeat(at[u.which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    pair = np.unique(np.repeat(u.row, many) * (len(strings) + 1) + string[entry]) if len(entry) else entry
+    pair = np.unique(np.repeat(u.doc[u.row], many) * (len(strings) + 1) + string[entry]) if len(entry) else entry
     return list(strings), pair // (len(strings) + 1), pair % (len(strings) + 1)
 
 
@@ -217,8 +225,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
             b, y = with_label(b)
             for part in chunks([b]):
                 mine, y = y[:part.num_rows], y[part.num_rows:]
-                z = shared.value.similarities(Units(part)) @ shared.value.root
-                yield record(x=float_lists(z), y=mine.astype(float))
+                u = Units(part)
+                near = shared.value.similarities(u)
+                some = near.any(1)  # of the other sentences, one for each clean text
+                none = np.flatnonzero(~np.isin(np.arange(part.num_rows), u.doc[some]) & (mine == 0))
+                z = np.r_[near[some], np.zeros((len(none), near.shape[1]), np.float32)] @ shared.value.root
+                yield record(x=float_lists(z), y=np.r_[mine[u.doc[some]], mine[none]].astype(float))
 
     train = stash(map_arrow(rows, features, "x array<float>, y double"), "toxic")
     d = size + 1
@@ -243,16 +255,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
                 break
     final = weight
 
+    def worst(u: Units, texts: int) -> np.ndarray:
+        near = shared.value.similarities(u)
+        best = np.full(texts, final[-1])  # a text without any similarity
+        some = near.any(1)
+        np.maximum.at(best, u.doc[some], near[some] @ shared.value.root @ final[:-1] + final[-1])
+        return best
+
     def raw(batches):
         for b in batches:
-            if b.num_rows:
-                yield record(raw=matrix(b, "x") @ final[:-1] + final[-1], y=b.column("y"))
+            b, y = with_label(b)
+            for part in chunks([b]):
+                mine, y = y[:part.num_rows], y[part.num_rows:]
+                yield record(raw=worst(Units(part), part.num_rows), y=mine.astype(float))
 
-    at, value = isotonic(map_arrow(train, raw, "raw double, y double"), -3.0, 3.0)
+    at, value = isotonic(map_arrow(rows, raw, "raw double, y double"), -4.0, 4.0)
 
     def score(batches):
         for b in chunks(batches):
-            z = shared.value.similarities(Units(b)) @ shared.value.root
-            yield record(doc_id=b.column("doc_id"), score=calibrated(z @ final[:-1] + final[-1], at, value))
+            yield record(doc_id=b.column("doc_id"), score=calibrated(worst(Units(b), b.num_rows), at, value))
 
     return map_arrow(rows, score, "doc_id long, score double")
