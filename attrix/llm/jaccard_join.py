@@ -195,9 +195,17 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), shared, "u long, v long")
 
 
-def _fits(a: str, b: str) -> F.Column:
-    """Sizes that can reach the similarity at all."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * 80)
+def _fits() -> F.Column:
+    """Sizes that can reach the similarity: members that a set does not share
+    with anyone (``own``) cannot be in the overlap."""
+    shared = F.least(F.col("n") - F.col("own"), F.col("m") - F.col("own_m"))
+    return shared * 180 >= (F.col("n") + F.col("m")) * 80
+
+
+def _remainder(n: str) -> F.Column:
+    """Members of a set outside its long prefix."""
+    n = F.col(n)
+    return F.greatest(F.lit(0), F.floor((4 * n + 4) / 5) - 1 - F.floor(n / 5))
 
 
 def _spread(lists: DataFrame, label: DataFrame) -> DataFrame:
@@ -262,15 +270,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         F.transform("subsets", lambda k: F.struct(k.alias("key"), F.lit(1).alias("subset"))))).alias("k"))
         .select("node", "n", "own", "k.key", "k.subset"), "lists")
 
-    sizes = sets.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
+    sizes = sets.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("own").alias("own_m"))
     label = tried = links = None
     spread = lists.withColumn("of", F.col("node"))
     for turn in range(ROUNDS):
         # the document with the least text of its own, then any
         order = F.struct("own", "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node")
         pivots = spread.groupBy("key").agg(F.min(order)["node"].alias("pivot"))
-        star = (spread.join(pivots, "key").where("node <> pivot").select("node", "n", "pivot").distinct()
-                .join(sizes, "pivot").where(_fits("n", "m"))
+        star = (spread.join(pivots, "key").where("node <> pivot").select("node", "n", "own", "pivot").distinct()
+                .join(sizes, "pivot").where(_fits())
                 .select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct())
         star = star if tried is None else star.join(tried, ["u", "v"], "left_anti")
         star = stash(star, "star")
@@ -280,13 +288,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         label = components(links)
         spread = stash(_spread(lists, label), "open")
 
-    other = spread.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("of").alias("to"))
-    needed = 1 + F.floor(F.least("n", "m") / 5)
-    rest = (spread.join(other, "key").where("of <> to and node > v").where(_fits("n", "m"))
-            .groupBy(F.col("node").alias("u"), "v", "n", "m")
-            .agg(F.count("*").alias("c"), F.max("subset").alias("s"))
-            .where((F.col("c") >= needed) | (F.col("s") == 1)).select("u", "v").distinct()
-            .join(tried, ["u", "v"], "left_anti"))
+    # the largest component of a list is searched, all others search
+    main = (spread.groupBy("key", "of").agg(F.count("*").alias("c"))
+            .groupBy("key").agg(F.max(F.struct("c", "of"))["of"].alias("main")))
+    probes = spread.join(main, "key").where("of <> main")
+    other = spread.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("own").alias("own_m"),
+                          F.col("of").alias("to"))
+    swap = F.col("node") < F.col("v")
+    pairs = (probes.join(other, "key").where("of <> to and (node > v or to = main)").where(_fits())
+             .groupBy(F.when(swap, F.col("v")).otherwise(F.col("node")).alias("u"),
+                      F.when(swap, F.col("node")).otherwise(F.col("v")).alias("v"),
+                      F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"),
+                      F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m"))
+             .agg(F.count("*").alias("c"), F.max("subset").alias("s")))
+    # what is shared outside the long prefixes is at most the longer remainder
+    reach = F.col("c") + F.greatest(_remainder("n"), _remainder("m"))
+    rest = (pairs.where((F.col("s") == 1) | (reach * 180 >= (F.col("n") + F.col("m")) * 80))
+            .select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
     more = _verify(rest, sets)
     label = components(links.unionByName(more))
 
