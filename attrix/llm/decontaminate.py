@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from attrix.llm.text import BASES, PLAIN, U64, Words, chunks, id_and_text, map_arrow, mix, rolling
 
 BLOCK, SAMPLED, AGREE, SEED = 20_000, 2, 0.5, 7
+CHUNK = 8 << 20
 HITS = "array<struct<item_id:long,from:int,to:int,edits:int>>"
 
 
@@ -75,6 +76,22 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
+class Lookup:
+    """Membership in a set of hashes: a bit table first, then exactly."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.table = np.zeros(1 << 18, bool)
+        self.table[self.values >> U64(46)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.table[hashes >> U64(46)]
+        may = np.flatnonzero(out)
+        spot = np.minimum(np.searchsorted(self.values, hashes[may]), len(self.values) - 1)
+        out[may] = self.values[spot] == hashes[may]
+        return out
+
+
 class Items:
     """The items of one block, by number of words."""
 
@@ -98,13 +115,13 @@ class Items:
             run = min(4, max(1, (size - k) // (k + 1)))
             found = np.unique(np.concatenate([rolling(self.words[i], run, BASES[0]) for i in own]))
             grams.setdefault(run, []).append((size, found))
-            self.by_size[size] = (k, np.unique(np.concatenate([self.words[i] for i in own])), reps)
+            self.by_size[size] = (k, Lookup(np.concatenate([self.words[i] for i in own])), reps)
         self.grams = {}
         for run, parts in grams.items():
             gram = np.concatenate([g for _, g in parts])
             size = np.concatenate([np.full(len(g), s) for s, g in parts])
             order = np.argsort(gram, kind="stable")
-            self.grams[run] = (gram[order], size[order])
+            self.grams[run] = (gram[order], size[order], Lookup(gram))
 
     @staticmethod
     def key(symbols: list[np.ndarray]) -> np.ndarray:
@@ -117,9 +134,9 @@ class Items:
         """Window starts to embed, for each item size."""
         ends = (w.starts + w.lengths)[w.doc]
         hits: dict[int, list[np.ndarray]] = {}
-        for run, (gram, size) in self.grams.items():
+        for run, (gram, size, known) in self.grams.items():
             here = rolling(w.hashes, run, BASES[0])
-            at = np.flatnonzero(np.isin(here, gram))
+            at = np.flatnonzero(known(here))
             at = at[at + run <= ends[at]]
             lo, hi = np.searchsorted(gram, here[at]), np.searchsorted(gram, here[at], "right")
             which = np.repeat(np.arange(len(at)), hi - lo)
@@ -138,10 +155,9 @@ class Items:
             np.add.at(edge, first, 1)
             np.add.at(edge, near + 1, -1)
             starts = starts[np.cumsum(edge[:-1])[starts] > 0]
-            known = np.zeros(len(starts), np.int64)
-            for j in range(size):
-                spot = np.minimum(starts + j, w.total - 1)
-                known += (starts + j < ends[starts]) & np.isin(w.hashes[spot], vocabulary)
+            spot = starts[:, None] + np.arange(size)
+            known = (vocabulary(w.hashes[np.minimum(spot, w.total - 1)].ravel()).reshape(spot.shape)
+                     & (spot < ends[starts][:, None])).sum(1)
             out[size] = starts[known >= size - 2 * k]
         return out
 
@@ -161,20 +177,25 @@ class Items:
                 lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 for i in np.flatnonzero(hi > lo):
                     pairs.update((int(owner[x]), int(starts[i])) for x in range(lo[i], hi[i]))
-            done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for item, start in sorted(pairs):
-                row = int(w.doc[start])
-                known = done.setdefault((row, item), [])
-                if known and known[-1][0] <= start < known[-1][1]:
+            order = sorted((int(w.doc[start]), item, start) for item, start in pairs)
+            for i, (row, item, start) in enumerate(order):  # starts of one place are verified together
+                if i and order[i - 1][:2] == (row, item) and start - order[i - 1][2] <= size:
                     continue
-                lo = max(int(w.starts[row]), start - k)
-                hi = min(int(ends[start]), start + size + k)
-                edits, begin, end = best_alignment(self.words[item], w.hashes[lo:hi])
-                if edits <= k and (not known or known[-1] != (lo + begin, lo + end)):
-                    known.append((lo + begin, lo + end))
-                    base = int(w.starts[row])
-                    found.setdefault(row, []).append(
-                        {"item_id": self.ids[item], "from": lo + begin - base, "to": lo + end - base, "edits": edits})
+                last = i
+                while last + 1 < len(order) and order[last + 1][:2] == (row, item) and (
+                        order[last + 1][2] - order[last][2] <= size):
+                    last += 1
+                base, end = int(w.starts[row]), int(w.starts[row] + w.lengths[row])
+                todo = [(max(base, start - k), min(end, order[last][2] + size + k))]
+                while todo:
+                    lo, hi = todo.pop()
+                    if hi - lo < size - k:
+                        continue
+                    edits, x, y = best_alignment(self.words[item], w.hashes[lo:hi])
+                    if edits <= k:
+                        found.setdefault(row, []).append(
+                            {"item_id": self.ids[item], "from": lo + x - base, "to": lo + y - base, "edits": edits})
+                        todo += [(lo, lo + x), (lo + y, hi)]
         return found
 
 
@@ -197,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, tar
         fields = [f for f in out.schema.fields if not (drop and f.name == "text")]
 
         def run(batches, shared=shared, names=[f.name for f in fields]):
-            for b in chunks(batches):
+            for b in chunks(batches, CHUNK):
                 hits = shared.value.search(Words(b, table=PLAIN))
                 new = [(old or []) + hits.get(i, []) for i, old in enumerate(b.column("hits").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:-1]], pa.array(new, kind)], names=names)
