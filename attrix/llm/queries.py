@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attrix.llm.decontaminate import contamination
 from attrix.llm.fingerprints import edit_probe
 from attrix.llm.jaccard_join import jaccard_join
+from attrix.llm.licenses import license_scan
 from attrix.llm.mixing import mix_sources
 from attrix.llm.ppm import score_ppm
 from attrix.llm.quality import score_quality
@@ -36,6 +37,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= QUALITY_BAR).cast("int").alias("predicted"))
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """``documents`` as a file tree: source, language and the leading digits of
+    the id are directories (12345 lies in ``1/12``); a text whose last line speaks
+    of a licence is its directory's licence file."""
+    digits = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    deep = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(digits) - 3)),
+                       lambda i: F.substr(digits, F.lit(1), i))
+    last = F.element_at(F.split(F.trim(F.coalesce(F.col("text"), F.lit(""))), "\n"), -1)
+    name = F.concat(F.when(last.rlike("(?i)licen[cs]e"), F.lit("LICENSE-")).otherwise(F.lit("")), digits)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")),
+                       F.array_join(F.filter(deep, lambda d: d != ""), "/"), name)
+    return docs.select("doc_id", F.regexp_replace(path, "//+", "/").alias("path"), "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(document_paths(table(spark, sf_dir, "documents")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed",
@@ -82,6 +101,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_lm_scoring": op7_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
