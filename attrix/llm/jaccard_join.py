@@ -7,17 +7,17 @@ Method: a size-aware heavy-light join.
   searched with.
 * **Small sets** enumerate all subsets of a fixed size: two sets of at most
   ``m`` members that link share ``ceil(0.8 m)`` of them, so both write down the
-  same subset.  **Large sets** write down the members that a prefix of
-  ``n - ceil(0.8 n) + 1`` needs (one is shared by any linked pair) and scan the
-  inverted lists.  The boundary is the largest size for which enumeration costs
+  same subset.  **Large sets** write down a prefix of ``n - ceil(0.8 n) + 1``
+  members and some to spare (any linked pair shares one of the former) and scan
+  the inverted lists.  The boundary is the largest size for which enumeration costs
   less than scanning lists of the mean length measured on the corpus; sets whose
   partners may lie on the other side do both.
 * Members are ordered light first, heavy (frequent) last, so that common
   lines rarely enter a prefix.  The order decides the cost only: the prefix rule
   holds for any order.
-* A count-min sketch over the members of twice that prefix drops what no other
-  document can hold, and with it every document of which less than half of the
-  long prefix may be shared (a link needs at least that much: lossless).
+* A count-min sketch over all members drops what no other document can hold,
+  and with it every document of which less than 80 % may be shared; members of
+  its own also bound the overlap of a pair (both lossless).
 * Each list first links its documents to one pivot (linear), the one with the
   least text of its own, then another; verified links become components.  Only
   then are lists that still span several components
@@ -119,22 +119,21 @@ class Sets:
     def keys(self, heavy: np.ndarray, small: int, repeated) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(row, key, is_subset)`` of the signatures that another document
         may hold, for documents that can link at all; and how many of each
-        row's prefix members no other document holds."""
+        row's members no other document holds."""
+        own = self.n - np.bincount(self.doc[repeated(self.h)], minlength=len(self.n))
+        able = (self.n - own) * 5 >= self.n * 4
         doc, member = self.prefix(heavy, small)
-        may = repeated(member)
-        able = np.bincount(doc[may], minlength=len(self.n)) >= 1 + spare(self.n)
-        use = may & able[doc]
+        use = able[doc]
+        use[use] = repeated(member[use])
         row, key = self.subsets(small)
         found = repeated(key)
         return (np.r_[doc[use], row[found]], np.r_[member[use], key[found]],
-                np.r_[np.zeros(use.sum(), bool), np.ones(found.sum(), bool)],
-                np.bincount(doc[~may], minlength=len(self.n)))
+                np.r_[np.zeros(use.sum(), bool), np.ones(found.sum(), bool)], own)
 
 
 def spare(n):
-    """Places by which the long prefix exceeds the one that linking needs: if
-    one shared member must be among the first p, ``1 + spare`` must be among the
-    first ``p + spare``."""
+    """Places by which the long prefix exceeds the one that linking needs; the
+    longer it is, the tighter the bound on what a pair shares beyond it."""
     return n // 5
 
 
@@ -229,13 +228,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     heavy = np.sort(np.array([r["token"] for r in frequent.collect()], np.int64).view(U64))
     small = boundary(mean or 1.0)
     shared_heavy = sc.broadcast(heavy)
-    bits = sketch.log2_width(text_bytes(docs) // 40)
+    bits = sketch.log2_width(text_bytes(docs) // 14)
 
     def count(batches):
         for b in chunks(batches):
             sets = Sets(b)
-            _, members = sets.prefix(shared_heavy.value, small)
-            yield from sketch.parts(np.r_[members, sets.subsets(small)[1]], bits)
+            yield from sketch.parts(np.r_[sets.h, sets.subsets(small)[1]], bits)
 
     repeated = sc.broadcast(sketch.merge(map_arrow(rows, count, sketch.PARTS), bits))
 
