@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attrix.functions.graph import components
 from attrix.ml.basics import complete_rows, require_rows
 from attrix.ml.models import scaler_stats
 from attrix.session import ensure_checkpoint_dir, partitions_for, ship_package
@@ -114,25 +115,6 @@ def _local_clusters(d: int, eps: float):
     return fn
 
 
-def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 50) -> DataFrame:
-    """Connected components over a (small) label graph: (label, comp)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"),
-                                                           F.col("a").alias("b")))
-    comp = nodes.select(F.col("label"), F.col("label").alias("comp"))
-    for i in range(max_iter):
-        nb = both.join(comp.withColumnRenamed("label", "b"), "b").groupBy("a").agg(
-            F.min("comp").alias("nmin"))
-        new = comp.join(nb.withColumnRenamed("a", "label"), "label", "left").select(
-            "label", F.least("comp", F.coalesce("nmin", "comp")).alias("comp"))
-        new = new.checkpoint(eager=True)
-        changed = new.join(comp.withColumnRenamed("comp", "old"), "label").where(
-            F.col("comp") != F.col("old")).limit(1).count()
-        comp = new
-        if changed == 0:
-            break
-    return comp
-
-
 def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5,
            keep: list[str] | None = None, slabs: int | None = None) -> DataFrame:
     """Rows (keep + features) with ``cluster`` (−1 = noise) and ``is_core``."""
@@ -149,10 +131,8 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
              for i, (c, (m, s)) in enumerate(zip(features, stats))]
     rows = src.select(*keep, *features, *zexpr).withColumn("pid", F.xxhash64(*zc))
     pts = rows.groupBy("pid", *zc).agg(F.count(F.lit(1)).alias("w"))
-    # slab count: enough slabs to keep each slab's quadratic work small,
-    # never more than the shuffle parallelism (one scalar count)
-    S = slabs or partitions_for(pts.count(), 20_000,
-                                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # enough slabs to keep each slab's quadratic work small (one scalar count)
+    S = slabs or partitions_for(pts.count(), 20_000)
     probs = [i / S for i in range(1, S)]
     bounds = (pts.select(F.percentile_approx("z0", probs, 10000).alias("b")).scalar() if probs
               else F.array().cast("array<double>"))
@@ -175,8 +155,10 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     per_pid = core_labels.groupBy("pid").agg(F.min("label").alias("a"),
                                              F.collect_set("label").alias("ls"))
     edges = per_pid.select("a", F.explode("ls").alias("b")).where(F.col("a") != F.col("b"))
-    nodes = core_labels.select("label").distinct()
-    comp = _components(edges, nodes)
+    linked = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = (core_labels.select("label").distinct()
+            .join(linked, F.col("label") == F.col("node"), "left")
+            .select("label", F.coalesce("component", "label").alias("comp")))
     # final label per point: core points by their own label; border points
     # by the smallest component among their candidate labels
     lab = local.join(comp, "label").groupBy("pid").agg(

@@ -2,11 +2,12 @@
 
 Plan:
 
-1. Per-tree samples without replacement: every row computes, for each tree
-   ``t``, a seeded 64-bit hash ``h(t, row)``; it keeps the trees where
-   ``h < p`` (``p ≈ 3·256/n``) — an ``explode`` of a few trees per row, not
-   of all 100 — and ``row_number() ≤ 256`` by hash per tree picks the
-   sample.  The sample table is ≈ 100 × 768 rows whatever ``n`` is.
+1. Per-tree samples: equal rows collapse into one point with its weight; for
+   each tree a point is drawn ``floor(w·p + u)`` times (``p ≈ 3·256/n``, ``u``
+   uniform from a seeded hash), so a point that holds a third of all rows has
+   its share in every sample — an ``explode`` of a few trees per point, not of
+   all 100 — and ``row_number() ≤ 256`` by hash per tree picks the sample.
+   The sample table is ≈ 100 × 768 rows whatever ``n`` is.
 2. ``groupBy(tree).applyInPandas`` grows the 100 trees in parallel
    (≤ 256 rows per group); each tree is a flat node table.
 3. The node table is bounded (≤ 100 × 511 nodes), so it is broadcast and
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.ml.basics import complete_rows, require_rows
-from attrix.session import ship_package
+from attrix.session import ship_package, stash
 
 EULER = 0.5772156649015329
 
@@ -83,16 +84,21 @@ def fit(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int
     n = src.count()
     psi = int(min(max_samples, n))
     p = min(1.0, 3.0 * psi / max(n, 1))
-    row_hash = F.xxhash64(*[F.col(f"x{i}") for i in range(len(features))], F.lit(seed))
-    # uniform in [0,1) per (tree, row) from a seeded 64-bit hash
-    unit = lambda t: (F.abs(F.xxhash64(row_hash, t)) % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picks = src.select("*", F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                                     lambda t: unit(t) < F.lit(p)).alias("trees"))
+    xs = [f"x{i}" for i in range(len(features))]
+    points = src.groupBy(*xs).agg(F.count(F.lit(1)).alias("w")).withColumn(
+        "h", F.xxhash64(*xs, F.lit(seed)))
+    # uniform in [0,1) per (tree, point) from a seeded 64-bit hash; a point of
+    # weight w is drawn floor(w p + u) times, w p times on average
+    unit = lambda t: F.pmod(F.xxhash64("h", t), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = lambda t: F.floor(F.col("w") * F.lit(p) + unit(t)).cast("int")
+    picks = points.select("*", F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                                        lambda t: times(t) > 0).alias("trees"))
     exploded = picks.select("*", F.explode("trees").alias("tree")).drop("trees")
-    exploded = exploded.withColumn("u", F.abs(F.xxhash64(row_hash, F.col("tree"))))
-    w = Window.partitionBy("tree").orderBy("u", *[f"x{i}" for i in range(len(features))])
-    sample = exploded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= psi).drop("u",
-                                                                                            "r")
+    exploded = exploded.withColumn("copy", F.explode(F.sequence(F.lit(1), times(F.col("tree")))))
+    exploded = exploded.withColumn("u", F.xxhash64("h", "tree", "copy"))
+    w = Window.partitionBy("tree").orderBy("u", *xs)
+    sample = exploded.withColumn("r", F.row_number().over(w)).where(F.col("r") <= psi).drop(
+        "u", "r", "h", "w", "copy")
     d = len(features)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     schema = ("tree int, node long, feature long, threshold double, left long, right long, "
@@ -157,7 +163,7 @@ def isolation_forest(df: DataFrame, features: list[str], contamination: float =
     src = complete_rows(df, features)
     require_rows(src, "anomaly")
     nodes, psi = fit(src, features, n_trees, max_samples, seed)
-    scored = score(src, features, nodes, psi, keep)
+    scored = stash(score(src, features, nodes, psi, keep), "scores")  # scored once, read twice
     thr = scored.select(F.percentile_approx("score", contamination, accuracy)).scalar()
     return scored.withColumn("decision", F.col("score") - thr).withColumn(
         "is_anomaly", F.col("decision") < 0)

@@ -247,6 +247,8 @@ def classify(df: DataFrame, target: str, features: list[str], algorithm: str = "
     src = binarize_target(src.select(*([key] if key else []), *cols), target)
     require_rows(src, "classification")
     classes = [r[0] for r in src.select("label").distinct().orderBy("label").limit(10001).collect()]
+    if len(classes) > 10000:
+        raise ValueError("classification takes at most 10,000 classes")
     if len(classes) < 2:
         raise ValueError("classification needs at least two classes")
     train, test = _split(src, key, cols)

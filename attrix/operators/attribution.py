@@ -186,9 +186,9 @@ def auto_attribution(
     method: str = "sum",
     grain: str = "day",
     top_n: int = 10,
-    max_dims: int = 6,
+    max_dims: int | None = None,
 ) -> DataFrame:
-    """AN1 for each of the first ``max_dims`` dimensions in ONE job.
+    """AN1 for each dimension (the first ``max_dims`` if given) in ONE job.
 
     The per-dimension aggregates come out of a single aggregate over the
     long form ``(dimension, value)`` (one scan, one shuffle); NULL values
@@ -253,8 +253,8 @@ def cross_pivot(
     columns = values of the second, cell = delta, missing cell = 0.
 
     Column values are taken from ``values`` or computed with a bounded
-    ``distinct().limit(max_columns + 1)``; past ``max_columns`` the long form
-    ``(d0, d1, delta)`` is returned instead of a wide frame."""
+    ``distinct().limit(max_columns + 1)``; more than ``max_columns`` raise, as the
+    shape of the result may not depend on the data."""
     d0, d1 = dims[:2]
     agg = period_sums(df, [d0, d1], metric, date_col, periods, method, grain)
     long = agg.select(
@@ -267,9 +267,10 @@ def cross_pivot(
     else:
         vals = sorted(str(v) for v in values)
     if len(vals) > max_columns:
-        return long
+        raise ValueError(f"{d1} has more than {max_columns} values; pass max_columns or values")
     wide = long.groupBy(d0).pivot(d1, vals).agg(F.avg("delta"))
-    return wide.fillna(0.0, subset=vals)
+    return wide.select(f"`{d0}`", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c)
+                                    for c in wide.columns[1:]])
 
 
 def cross_rollup(

@@ -25,9 +25,9 @@ def _date_expr(date_col: str, grain: str) -> Column:
 
 def period_series(
     df: DataFrame, date_col: str, metrics: list[str], unit: str = "day", grain: str = "day",
-    max_metrics: int = 5,
+    max_metrics: int | None = None,
 ) -> DataFrame:
-    """Sum of up to ``max_metrics`` metrics per day / week / month / year.
+    """Sum of all metrics (the first ``max_metrics`` if given) per day / week / month / year.
 
     ``period`` is the day (``date``; the raw timestamp with ``grain='raw'``)
     or a label: week ``yyyy-MM-dd/yyyy-MM-dd`` (Mon/Sun), month ``yyyy-MM``,
@@ -66,11 +66,11 @@ def latest_filter(df: DataFrame, date_col: str, grain: str = "day") -> DataFrame
 
 
 def latest_value_counts(
-    df: DataFrame, date_col: str, dims: list[str], top: int = 8, max_dims: int = 6,
+    df: DataFrame, date_col: str, dims: list[str], top: int = 8, max_dims: int | None = None,
     grain: str = "day",
 ) -> DataFrame:
-    """Value counts on the latest day for the first ``max_dims`` dimensions,
-    top ``top`` per dimension (count desc, then value), in one aggregate over
+    """Value counts on the latest day for all dimensions (the first
+    ``max_dims`` if given), top ``top`` per dimension (count desc, then value), in one aggregate over
     the long form ``(dimension, value)``."""
     dims = list(dims)[:max_dims]
     latest = latest_filter(df, date_col, grain)

@@ -36,7 +36,7 @@ def _na_to_null(df: DataFrame) -> DataFrame:
 
 
 def _infer(df: DataFrame) -> DataFrame:
-    """Cast all-string columns to long / double / timestamp when every
+    """Cast all-string columns to long / double when every
     non-null value converts (the CSV reader's inference, re-run after NA
     mapping)."""
     aggs = []
@@ -64,15 +64,34 @@ def _infer(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text, quoted newlines and doubled quotes read as such,
+    and ``_corrupt_record`` with the source of rows that have other fields than
+    the header."""
+    options = dict(header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"',
+                   mode="PERMISSIVE", inferSchema=False)
+    names = spark.read.options(**options).csv(path).schema.fieldNames()
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    return spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
+
+
+def corrupt_rows(spark: SparkSession, path: str) -> int:
+    """How many rows have more or fewer fields than the header."""
+    df = _raw_csv(spark, path)
+    return df.select(F.count(CORRUPT), *[F.count(f"`{c}`") for c in df.columns]).first()[0]
+
+
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Header row, UTF-8, NA tokens → NULL, types inferred.  Malformed rows
-    are kept (PERMISSIVE) and counted by :func:`corrupt_rows`."""
+    """Header row, UTF-8, quoted fields with newlines and doubled quotes, NA
+    tokens → NULL, numbers inferred.  Malformed rows are kept (PERMISSIVE) and
+    counted by :func:`corrupt_rows`."""
     if not path.lower().endswith(".csv") and not path.endswith("/"):
         raise SourceError(f"not a .csv path: {path}")
     try:
-        raw = (spark.read.option("header", True).option("encoding", "UTF-8")
-               .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
-        raw.schema  # noqa: B018 — force file listing now, so errors surface here
+        raw = _raw_csv(spark, path).drop(CORRUPT)  # lists the files, so errors surface here
     except Exception as e:  # noqa: BLE001
         raise SourceError(f"cannot read {path}: {e}") from e
     df = _na_to_null(raw)
