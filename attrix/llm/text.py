@@ -8,16 +8,15 @@ never cross a document boundary.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrix.session import ensure_checkpoint_dir, ship_package
+from attrix.session import ship_package, stash  # noqa: F401
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
@@ -26,17 +25,6 @@ BASES = (U64(0x9E3779B97F4A7C15 | 3), U64(0xD1342543DE82EF95))
 MIX = (U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the cluster's shared checkpoint folder and
-    read it back: the lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/attrix-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship_package(df.sparkSession)
