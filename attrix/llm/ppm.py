@@ -243,9 +243,11 @@ class Trie:
             miss = now[hit < 0]
             here = self.contexts(context[miss])
             known = here >= 0
-            since = last[miss]
-            out[miss[known]] += np.where(since < 0, self.escape[here], self.again[since])[known]
-            last[miss[known]] = here[known]
+            at, here = miss[known], here[known]
+            since = last[at]
+            if len(at):
+                out[at] += np.where(since < 0, self.escape[here], self.again[since])
+                last[at] = here
             todo = np.sort(np.r_[wait, miss])
         out[todo] += self.unseen
         return out
