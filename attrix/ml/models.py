@@ -279,7 +279,7 @@ def classify(df: DataFrame, target: str, features: list[str], algorithm: str = "
                                      maxIter=max_iter, tol=1e-10)
         elif algorithm == "rf":
             est = RandomForestClassifier(labelCol="label_idx", numTrees=n_estimators,
-                                         maxDepth=max_depth or 15, impurity="gini",
+                                         maxDepth=max_depth or 30, impurity="gini",
                                          featureSubsetStrategy="sqrt", seed=seed,
                                          checkpointInterval=10)
         elif algorithm == "svm":
@@ -380,7 +380,8 @@ def pca(df: DataFrame, features: list[str], n_components: int = 2,
 
 
 def feature_importance(df: DataFrame, target: str, features: list[str],
-                       n_estimators: int = 100, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+                       n_estimators: int = 100, seed: int = SEED,
+                       max_depth: int = 30) -> tuple[DataFrame, DataFrame]:
     """Random-forest importances on all complete rows (ascending, as drawn)
     and the training R²."""
     src = complete_rows(df, features + [target])
@@ -389,8 +390,9 @@ def feature_importance(df: DataFrame, target: str, features: list[str],
                             *[F.col(c).cast("double") for c in features]), features)
     X = X.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = RandomForestRegressor(numTrees=n_estimators, featureSubsetStrategy="all",
-                                      seed=seed, checkpointInterval=10).fit(X)
+        model = RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth,
+                                      featureSubsetStrategy="all", seed=seed,
+                                      checkpointInterval=10).fit(X)
     finally:
         X.unpersist()
     spark = df.sparkSession

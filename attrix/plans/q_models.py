@@ -13,7 +13,7 @@ from attrix.plans.common import finalize, table
 
 PART_F = ["p_size", "p_retailprice"]
 CUST_F = ["c_acctbal", "c_nationkey"]
-EMB_N = 8
+EMB_N = 64
 
 
 def emb(s, sf, n=EMB_N):
@@ -36,7 +36,7 @@ def _bisecting(s, sf):
 
 
 def _silhouette(s, sf):
-    r = M.cluster(table(s, sf, "part"), PART_F, "kmeans", k=3, keep=["p_partkey"], restarts=3)
+    r = M.cluster(table(s, sf, "part"), PART_F, "kmeans", k=3, keep=["p_partkey"], restarts=10)
     return finalize(M.silhouette(r.labelled, PART_F))
 
 
@@ -76,8 +76,7 @@ def _pca_loadings(s, sf):
 
 
 def _feat_importance(s, sf):
-    imp, _ = M.feature_importance(table(s, sf, "part"), "p_retailprice", ["p_size", "p_partkey"],
-                                  n_estimators=50)
+    imp, _ = M.feature_importance(table(s, sf, "part"), "p_retailprice", ["p_size", "p_partkey"])
     return finalize(imp)
 
 
@@ -88,6 +87,16 @@ def _dbscan(s, sf):
                            keep=["c_custkey"]))
 
 
+def _dbscan_partition(s, sf):
+    """The clustering without its numbering: each core point with the smallest
+    key of its cluster's core points, and which other points are noise."""
+    d = _dbscan(s, sf).select("c_custkey", "cluster", "is_core")
+    first = d.where("is_core").groupBy("cluster").agg(F.min("c_custkey").alias("first_core"))
+    return d.join(first, "cluster", "left").select(
+        "c_custkey", "is_core", (F.col("cluster") == -1).alias("is_noise"),
+        F.when(F.col("is_core"), F.col("first_core")).alias("first_core"))
+
+
 def _iso(s, sf):
     return isoforest.isolation_forest(table(s, sf, "customer"), CUST_F, 0.05, keep=["c_custkey"])
 
@@ -101,25 +110,41 @@ QUERIES = {
                                                                 table(s, sf, "customer"))),
     "kmeans": _kmeans,
     "dbscan": lambda s, sf: _dbscan(s, sf),
+    "dbscan_partition": _dbscan_partition,
     "silhouette_exact": lambda s, sf: finalize(M.silhouette_exact(
         M.cluster(table(s, sf, "part"), PART_F, "kmeans", k=3, keep=["p_partkey"],
-                  restarts=3).labelled, PART_F)),
+                  restarts=10).labelled, PART_F)),
     "bisecting": _bisecting,
     "silhouette": _silhouette,
     "linreg": _reg("linear"),
     "ridge": _reg("ridge", alpha=1.0),
     "ridge_coef": _reg_importance("ridge", alpha=1.0),
-    "rf_reg": _reg("rf", n_estimators=20, max_depth=5),
-    "gbt_reg": _reg("gbt", n_estimators=20, learning_rate=0.1),
+    "rf_reg": _reg("rf", n_estimators=100, max_depth=10),
+    "gbt_reg": _reg("gbt", n_estimators=100, learning_rate=0.1),
     "logreg": _clf("logreg", C=1.0),
-    "rf_clf": _clf("rf", n_estimators=20),
-    "svm_linear": _clf("svm", C=1.0, max_iter=100),
+    "rf_clf": _clf("rf", n_estimators=100),
+    "svm_linear": _clf("svm", C=1.0, max_iter=1000),
     "knn": _clf("knn", n_neighbors=5),
     "dt_clf": _clf("dt", max_depth=5),
     "nb": _clf("nb"),
-    "mlp_clf": _clf("mlp", hidden=50, max_iter=200),
+    "mlp_clf": _clf("mlp", hidden=50, max_iter=1000),
     "pca": _pca,
     "pca_loadings": _pca_loadings,
     "feat_importance": _feat_importance,
 }
-ORACLE: dict = {}
+ORACLE: dict = {
+    "dbscan_partition": """
+WITH RECURSIVE st AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mn,
+                             stddev_pop(c_nationkey) AS sn FROM customer),
+z AS (SELECT c_custkey AS k, (c_acctbal - ma) / sa AS x, (c_nationkey - mn) / sn AS y FROM customer, st),
+near AS (SELECT a.k AS a, b.k AS b FROM z a JOIN z b
+         ON b.y BETWEEN a.y - 0.5 AND a.y + 0.5 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25),
+core AS (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 5),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+r AS (SELECT k AS a, k AS b FROM core UNION SELECT r.a, link.b FROM r JOIN link ON link.a = r.b),
+f AS (SELECT a AS k, min(b) AS first_core FROM r GROUP BY a),
+side AS (SELECT DISTINCT a AS k FROM near WHERE b IN (SELECT k FROM core))
+SELECT z.k AS c_custkey, core.k IS NOT NULL AS is_core, side.k IS NULL AS is_noise, f.first_core
+FROM z LEFT JOIN core ON core.k = z.k LEFT JOIN f ON f.k = z.k LEFT JOIN side ON side.k = z.k
+""",
+}
