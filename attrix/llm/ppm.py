@@ -11,9 +11,9 @@ shorter one, whose counts are of the longer contexts a symbol follows (update
 exclusion), down to a uniform choice among symbols never seen.  ``score`` is the log10 probability of the whole text.
 
 Counts of words and of (context, symbol) are added up by Spark over all rows.
-The trie is broadcast: contexts are kept by count until ``MAX_ENTRIES`` entries
-(a parameter of the model, about 100 MB); a kept context's suffixes are always
-kept.  For the unigram, the ``MAX_FREQUENT`` most frequent words are broadcast;
+The trie is broadcast: its entries are those with the highest counts, at most
+``MAX_ENTRIES`` (a parameter of the model, about 100 MB; an entry's suffixes have
+at least its count, so they are kept with it).  For the unigram, the ``MAX_FREQUENT`` most frequent words are broadcast;
 all other words of a document are joined with the count table.
 
 Defined results: null text is empty and has one token, the end; with nothing to
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from attrix.llm.text import _LOWER, U64, Words, chunks, id_and_text, map_arrow, mix, record, stash
 
-ORDER = 6
-MAX_ENTRIES, MAX_FREQUENT = 4_000_000, 1 << 18
+ORDER = 5
+MAX_ENTRIES, MAX_FREQUENT = 2_000_000, 1 << 18
 #: Symbols that UTF-8 never uses.
 END, START = 0xFF, 0xFE
 BLOCK_UNITS = 150_000
@@ -253,6 +253,18 @@ class Trie:
         return out
 
 
+def least_count(counts: DataFrame) -> int:
+    """The smallest count an entry needs for ``MAX_ENTRIES`` to hold all."""
+    tally = (counts.where(F.col("kind") == TRIE).groupBy(F.least("n", F.lit(100_000)).alias("n"))
+             .agg(F.count("*").alias("c")).collect())
+    room, least = MAX_ENTRIES, 1
+    for r in sorted(tally, reverse=True):
+        room -= r["c"]
+        if room < 0:
+            return min(r["n"] + 1, 100_000)
+    return least
+
+
 def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, n_known, train_tokens,
     base_score, score``; ``learn`` (over ``doc_id``) says which rows the counts
@@ -263,7 +275,7 @@ def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     counts = stash(map_arrow(lesson, _count, "kind int, key long, n long")
                    .groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where(F.col("kind") == WORD).select("key", "n")
-    entries = counts.where(F.col("kind") == TRIE).select("key", "n").toArrow()
+    entries = counts.where((F.col("kind") == TRIE) & (F.col("n") >= least_count(counts))).select("key", "n").toArrow()
     trie = sc.broadcast(Trie(entries["key"].to_numpy().view(U64), entries["n"].to_numpy()))
     del entries
     texts = lesson.count()
