@@ -193,7 +193,8 @@ def auto_attribution(
     The per-dimension aggregates come out of a single aggregate over the
     long form ``(dimension, value)`` (one scan, one shuffle); NULL values
     are dropped per dimension, so a row with a NULL in one dimension still
-    counts for the others.  Per-dimension totals (≤ ``max_dims`` rows) are
+    counts for the others.  ``n_values`` is the dimension's number of values.
+    Per-dimension totals (one row each) are
     broadcast to the detail rows; ``row_number ≤ top_n`` is planned with a
     partial ``WindowGroupLimit`` so only the top rows per task travel."""
     dims = list(dims)[:max_dims]
@@ -219,10 +220,10 @@ def auto_attribution(
     # is bounded; the aggregate's exchange is reused for both branches.
     totals = agg.groupBy("dimension").agg(F.sum("base").alias("tb"), F.sum("target").alias("tt"),
                                           F.count(F.lit(1)).alias("n_values"))
-    joined = agg.join(F.broadcast(totals.select("dimension", "tb", "tt")), "dimension")
+    joined = agg.join(F.broadcast(totals), "dimension")
     detail = joined.select("dimension", "value",
                            *_measures(F.col("base"), F.col("target"), F.col("tb"), F.col("tt")),
-                           F.lit(False).alias("is_total"))
+                           F.lit(False).alias("is_total"), "n_values")
     order = [F.abs(F.col("delta")).desc(), F.col("value").asc()]
     # row_number ≤ top_n is planned as a partial WindowGroupLimit before the
     # shuffle, so only top_n rows per dimension per task travel.
@@ -233,7 +234,7 @@ def auto_attribution(
     total_rows = totals.select(
         "dimension", F.lit(TOTAL_LABEL).alias("value"),
         *_total_measures(F.col("tb"), F.col("tt")),
-        F.lit(True).alias("is_total"), F.lit(0).cast("long").alias("rank"),
+        F.lit(True).alias("is_total"), "n_values", F.lit(0).cast("long").alias("rank"),
     )
     return total_rows.unionByName(detail_top)
 

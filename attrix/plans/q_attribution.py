@@ -251,7 +251,7 @@ WITH src AS (SELECT * FROM orders
                 COALESCE(SUM(CASE WHEN {_in('d', HALF_YEAR.target_start, HALF_YEAR.target_end)}
                                   THEN m END), 0.0) AS target
              FROM long WHERE value IS NOT NULL GROUP BY ALL),
-     tot AS (SELECT dimension, SUM(base) AS tb, SUM(target) AS tt,
+     tot AS (SELECT dimension, SUM(base) AS tb, SUM(target) AS tt, COUNT(*) AS n_values,
                     CASE WHEN SUM(base) <> 0 THEN (SUM(target) - SUM(base)) / SUM(base) * 100
                          ELSE 0.0 END AS trate
              FROM agg GROUP BY dimension),
@@ -261,13 +261,13 @@ WITH src AS (SELECT * FROM orders
                     AS contribution_pct,
                 (CASE WHEN tt - tb <> 0 THEN (target - base) / (tt - tb) * 100 ELSE 0.0 END)
                     * trate / 100 AS contribution_pp,
-                FALSE AS is_total,
+                FALSE AS is_total, n_values,
                 row_number() OVER (PARTITION BY a.dimension
                                    ORDER BY abs(target - base) DESC, value) AS rank
              FROM agg a JOIN tot USING (dimension))
 SELECT * FROM det WHERE rank <= 3
 UNION ALL
-SELECT dimension, '【总计】', tb, tt, tt - tb, trate, 100.0::DOUBLE, trate, TRUE, 0::BIGINT FROM tot
+SELECT dimension, '【总计】', tb, tt, tt - tb, trate, 100.0::DOUBLE, trate, TRUE, n_values, 0::BIGINT FROM tot
 """, MEASURES)
 
 
