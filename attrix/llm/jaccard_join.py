@@ -228,7 +228,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     heavy = np.sort(np.array([r["token"] for r in frequent.collect()], np.int64).view(U64))
     small = boundary(mean or 1.0)
     shared_heavy = sc.broadcast(heavy)
-    bits = sketch.log2_width(text_bytes(docs) // 14)
+    bits = sketch.log2_width(text_bytes(docs) // 28)
 
     def count(batches):
         for b in chunks(batches):
