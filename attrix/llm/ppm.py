@@ -10,11 +10,15 @@ symbol); after an escape, the symbols of the longer context are excluded from th
 shorter one, whose counts are of the longer contexts a symbol follows (update
 exclusion), down to a uniform choice among symbols never seen.  ``score`` is the log10 probability of the whole text.
 
-Counts of words and of (context, symbol) are added up by Spark over all rows.
-The trie is broadcast: its entries are those with the highest counts, at most
-``MAX_ENTRIES`` (a parameter of the model, about 100 MB; an entry's suffixes have
-at least its count, so they are kept with it).  For the unigram, the ``MAX_FREQUENT`` most frequent words are broadcast;
-all other words of a document are joined with the count table.
+No entry is dropped.  A *gram* is a symbol with its ``ORDER`` symbols before; its
+probability depends on nothing else, and its shorter contexts are its suffixes.
+Distinct grams of all rows are counted by Spark and dealt by the two symbols before
+the last into ``SHARDS``, each of which holds all contexts of two symbols and more
+that its grams need (a pair's grams are one task's work); those of one and none, at
+most 65,792 entries, are broadcast.  So each shard settles its grams' probabilities.
+Those of the ``MAX_GRAMS`` most frequent grams are broadcast, as are the counts of
+the ``MAX_FREQUENT`` most frequent words; all other grams and words of a document
+are joined with their tables.
 
 Defined results: null text is empty and has one token, the end; with nothing to
 learn from, every count is zero.  Rows that repeat are scored one by one; extra
@@ -28,47 +32,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.text import _LOWER, U64, Words, chunks, id_and_text, map_arrow, mix, record, stash
+from attrix.llm.text import _LOWER, _SPACE, U64, Words, chunks, id_and_text, map_arrow, mix, record, stash
 
-ORDER = 5
-MAX_ENTRIES, MAX_FREQUENT = 2_000_000, 1 << 18
+ORDER, SHARDS = 6, 4096
+MAX_GRAMS, MAX_FREQUENT = 2_000_000, 1 << 18
 #: Symbols that UTF-8 never uses.
 END, START = 0xFF, 0xFE
-BLOCK_UNITS = 150_000
+BLOCK, ENTRIES = 4_000_000, 4_000_000
 WORD, TRIE = 0, 1
 
 
-class Units:
-    """Distinct units of a chunk -- a word and its closing symbol -- end to end
-    in ``data``, and for each unit of the text its row and which one it is."""
-
-    def __init__(self, w: Words, rows: int):
-        self.row = np.r_[w.doc, np.flatnonzero(w.lengths == 0)]
-        last = np.zeros(w.total, bool)
-        last[(w.starts + w.lengths)[w.lengths > 0] - 1] = True
-        hashes = np.r_[w.hashes ^ (last * U64(0x5851F42D4C957F2D)), np.zeros(rows - np.count_nonzero(w.lengths), U64)]
-        self.hashes, first, self.which, self.count = np.unique(
-            hashes, return_index=True, return_inverse=True, return_counts=True)
-        word = first < w.total
-        at = np.minimum(first, max(0, w.total - 1))
-        size = np.where(word, (w.end - w.begin)[at], 0) if w.total else np.zeros(len(first), np.int64)
-        self.length = size + 1
-        unit, place = np.repeat(np.arange(len(size)), self.length), _steps(self.length)
-        closing = place == size[unit]
-        self.data = np.empty(len(unit), np.uint8)
-        inner = ~closing
-        if inner.any():
-            self.data[inner] = _LOWER[w.data[w.begin[at][unit[inner]] + place[inner]]]
-        self.data[self.data >= START] = START - 1
-        self.data[closing] = np.where(word & ~last[at], 0x20, END) if w.total else END
-
-    def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each distinct unit's symbols in a row: unit, place, symbol."""
-        return np.repeat(np.arange(len(self.length)), self.length), _steps(self.length), self.data
+def symbols(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of a chunk end to end, where each row's begin, and where
+    contexts restart."""
+    size = w.end - w.begin + 1
+    empty = w.lengths == 0
+    before = np.cumsum(empty) - empty  # rows without words have the end symbol only
+    closing = np.cumsum(size) - 1 + before[w.doc]
+    out = np.zeros(int(size.sum()) + np.count_nonzero(empty), np.uint8)
+    inner = np.ones(len(out), bool)
+    inner[closing] = False
+    per_row = np.r_[0, np.cumsum(size)][np.r_[w.starts, w.total]]
+    begin = np.r_[per_row[:-1] + before, len(out)]
+    inner[begin[:-1][empty]] = False
+    out[closing] = 0x20
+    out[inner] = np.minimum(_LOWER[w.data[~_SPACE[w.data]]], START - 1)
+    out[begin[1:] - 1] = END
+    return out, begin[:-1], np.sort(np.r_[closing - size + 1, begin[:-1][empty]])
+
+
+def grams(symbol: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Each symbol, in the low byte, with the ``ORDER`` before it, nearest first."""
+    length = np.diff(np.r_[begin, len(symbol)])
+    wide = symbol.astype(U64)
+    out = wide.copy()
+    for d in range(1, ORDER + 1):
+        before = np.full(len(wide), START, U64)
+        before[d:] = wide[:-d]
+        for j in range(d):
+            before[begin[length > j] + j] = START
+        out |= before << U64(8 * d)
+    return out
 
 
-def _steps(length: np.ndarray) -> np.ndarray:
-    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+def gram_contexts(gram: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``context_keys`` of the last symbols of grams."""
+    out = [(np.zeros(len(gram), U64), np.ones(len(gram), bool))]
+    for d in range(1, ORDER + 1):
+        past = (gram >> U64(8)) & U64((1 << 8 * d) - 1)
+        twice = past >> U64(8 * max(0, d - 2)) == U64(START << 8 | START)
+        out.append((past | U64(d << 56), ~twice if d > 1 else ~np.zeros(len(gram), bool)))
+    return out
 
 
 def context_keys(place: np.ndarray, symbol: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -96,54 +110,102 @@ def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return record(kind=np.full(len(keys), kind, np.int32), key=keys.view(np.int64), n=counts.astype(np.int64))
+def _blobs(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and counts, one row a shard."""
+    shard = (mix((keys >> U64(9)) & U64(0xFFFF) if kind == TRIE else keys) % U64(SHARDS)).astype(np.int16)
+    order = np.argsort(shard, kind="stable")
+    keys, counts, shard = keys[order], counts[order].astype(np.int64), shard[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][:len(keys)]), len(keys)]
+    spans = list(zip(cut[:-1], cut[1:]))
+    return record(kind=np.full(len(spans), kind, np.int32), shard=shard[cut[:-1]].astype(np.int32),
+                  keys=pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary()),
+                  n=pa.array([counts[i:j].tobytes() for i, j in spans], pa.binary()))
+
+
+class Tally:
+    """Counts by key, folded as they come."""
+
+    def __init__(self):
+        self.parts, self.waiting, self.folded = [], 0, 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(2 * self.folded, ENTRIES // 2):
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            self.parts = [_add_up(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
+            self.waiting = self.folded = len(self.parts[0][0])
+            return self.parts[0]
+        return np.empty(0, U64), np.empty(0, np.int64)
 
 
 def _count(batches):
-    """Partial counts of words and of trie entries, block by block."""
-    words, trie, units = [], [], []
-    size = 0
-
-    def fold_units():
-        data = np.concatenate([u.data for u in units])
-        length = np.concatenate([u.length for u in units])
-        hashes, count = np.concatenate([u.hashes for u in units]), np.concatenate([u.count for u in units])
-        order = np.argsort(hashes, kind="stable")
-        fresh = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
-        total = np.add.reduceat(count[order], np.flatnonzero(fresh))
-        pick = order[fresh]
-        begin = (np.cumsum(length) - length)[pick]
-        n = length[pick]
-        unit, place = np.repeat(np.arange(len(n)), n), _steps(n)
-        symbol = data[begin[unit] + place]
-        for context, use in context_keys(place, symbol):
-            trie.append(_add_up(entry_key(context[use], symbol[use]), total[unit[use]]))
-
-    def flush():
-        if units:
-            fold_units()
-        if words:
-            yield _rows(WORD, *_add_up(np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words])))
-        if trie:
-            yield _rows(TRIE, *_add_up(np.concatenate([t[0] for t in trie]), np.concatenate([t[1] for t in trie])))
+    """Partial counts of learnt words and of grams; a gram's key is followed by a
+    bit that says whether it was met in a row to learn from."""
+    words, trie, block, size = Tally(), Tally(), [], 0
+
+    def fold_block():
+        if block:
+            keys = np.concatenate(block)
+            keys.sort()
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            trie.add(keys[first], np.diff(np.r_[first, len(keys)]))
 
     for b in chunks(batches):
         w = Words(b, lower=True)
-        words.append(np.unique(w.hashes, return_counts=True))
-        u = Units(w, b.num_rows)
-        units.append(u)
-        size += len(u.length)
-        if size > BLOCK_UNITS:
-            fold_units()
-            units, size = [], 0
-        if sum(len(t[0]) for t in trie) + sum(len(w[0]) for w in words) > 6_000_000:
-            words = [_add_up(np.concatenate([w[0] for w in words]), np.concatenate([w[1] for w in words]))]
-            trie = [_add_up(np.concatenate([t[0] for t in trie]), np.concatenate([t[1] for t in trie]))] if trie else []
-            if len(words[0][0]) + sum(len(t[0]) for t in trie) > 3_000_000:
-                yield from flush()
-                words, trie, units, size = [], [], [], 0
-    yield from flush()
+        lesson = b.column("lesson").to_numpy(zero_copy_only=False).astype(bool)
+        words.add(*np.unique(w.hashes[lesson[w.doc]], return_counts=True))
+        symbol, begin, restart = symbols(w, b.num_rows)
+        learnt = np.repeat(lesson, np.diff(np.r_[begin, len(symbol)]))
+        block.append((grams(symbol, restart) << U64(1)) | learnt)
+        size += len(symbol)
+        if size > BLOCK:
+            fold_block()
+            block.clear()
+            size = 0
+        if trie.folded + words.folded > ENTRIES:
+            yield _blobs(WORD, *words.fold())
+            yield _blobs(TRIE, *trie.fold())
+            words, trie = Tally(), Tally()
+    fold_block()
+    yield _blobs(WORD, *words.fold())
+    yield _blobs(TRIE, *trie.fold())
+
+
+def _merge(batches):
+    """One row for each shard of a partition."""
+    found: dict[tuple[int, int], Tally] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            found.setdefault((r["kind"], r["shard"]), Tally()).add(
+                np.frombuffer(r["keys"], U64), np.frombuffer(r["n"], np.int64))
+    for (kind, _), tally in found.items():
+        yield _blobs(kind, *tally.fold())
+
+
+def _arrays(batches):
+    for b in batches:
+        for r in b.to_pylist():
+            yield np.frombuffer(r["keys"], U64), np.frombuffer(r["n"], np.int64)
+
+
+def _word_rows(batches):
+    for keys, n in _arrays(batches):
+        yield record(key=keys.view(np.int64), n=n)
+
+
+def _short(batches):
+    """Counts of the entries of order one, as update exclusion has them."""
+    for keys, n in _arrays(batches):
+        learnt = (keys & U64(1)) == 1
+        gram, n = keys[learnt] >> U64(1), n[learnt]
+        opens = (gram >> U64(8)) & U64(0xFF) == START  # a text's first symbol: nothing longer
+        longer = np.unique(gram[~opens] & U64(0xFFFFFF)) & U64(0xFFFF)
+        key, count = _add_up(np.r_[gram[opens] & U64(0xFFFF), longer], np.r_[n[opens], np.ones(len(longer), np.int64)])
+        yield record(key=key.view(np.int64), n=count)
 
 
 class HashIndex:
@@ -178,9 +240,10 @@ class HashIndex:
 
 
 class Trie:
-    """Prediction by partial matching from (context, symbol) counts."""
+    """Prediction by partial matching from (context, symbol) counts; a ``shard``
+    has only some contexts of order two and more, and those below are counted already."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, max_entries: int = MAX_ENTRIES):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, max_entries: int | None = None, shard: bool = False):
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(float)
         top = keys & U64(0xFF << 56)
@@ -188,7 +251,7 @@ class Trie:
         owner, self.of = np.unique(context, return_inverse=True)
         total = np.bincount(self.of, weights=counts, minlength=len(owner))
         kinds = np.bincount(self.of, minlength=len(owner))
-        if len(keys) > max_entries:  # keep the most frequent contexts, whole
+        if max_entries is not None and len(keys) > max_entries:  # keep the most frequent contexts, whole
             rank = np.argsort(-total, kind="stable")
             fits = np.searchsorted(np.cumsum(kinds[rank]), max_entries, "right")
             least = total[rank[min(fits, len(rank) - 1)]]
@@ -205,7 +268,7 @@ class Trie:
         has = (order_of[self.of] > 0) & (low >= 0)
         # a context that always extends counts the longer contexts a symbol follows
         oldest = (owner >> (U64(8) * (np.maximum(order_of, 1) - 1).astype(U64))) & U64(0xFF)
-        extends = (order_of < ORDER) & ((order_of == 0) | (oldest != START))
+        extends = (order_of < ORDER) & ((order_of == 0) | (oldest != START)) & ((order_of > 1) | (not shard))
         kinds_after = np.bincount(low[has], minlength=len(counts))
         counts = np.where(extends[self.of], np.maximum(kinds_after, 1), counts)
         total = np.bincount(self.of, weights=counts, minlength=len(owner))
@@ -230,10 +293,13 @@ class Trie:
 
     def log10(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol."""
+        return self.look_up(context_keys(place, symbol), symbol)
+
+    def look_up(self, contexts: list[tuple[np.ndarray, np.ndarray]], symbol: np.ndarray) -> np.ndarray:
         out = np.zeros(len(symbol))
         last = np.full(len(symbol), -1, np.int64)  # the context escaped from
         todo = np.arange(len(symbol))
-        for context, use in reversed(context_keys(place, symbol)):
+        for context, use in reversed(contexts):
             now = todo[use[todo]]
             wait = todo[~use[todo]]
             hit = self.entries(entry_key(context[now], symbol[now]))
@@ -253,16 +319,39 @@ class Trie:
         return out
 
 
-def least_count(counts: DataFrame) -> int:
-    """The smallest count an entry needs for ``MAX_ENTRIES`` to hold all."""
-    tally = (counts.where(F.col("kind") == TRIE).groupBy(F.least("n", F.lit(100_000)).alias("n"))
-             .agg(F.count("*").alias("c")).collect())
-    room, least = MAX_ENTRIES, 1
+def gram_log10(gram: np.ndarray, lessons: np.ndarray, short: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of the last symbol of each gram of a shard: ``lessons``
+    counts the learnt ones, ``short`` the entries of order one of all shards."""
+    known = lessons > 0
+    learnt, n = gram[known], lessons[known]
+    zero = np.unique(short[0] & U64(0xFF), return_counts=True)
+    keys, counts = [entry_key(np.zeros(len(zero[0]), U64), zero[0]), short[0] | U64(1 << 56)], [zero[1], short[1]]
+    for d, (context, use) in enumerate(gram_contexts(learnt)):
+        if d > 1:
+            key, count = _add_up(entry_key(context[use], learnt[use] & U64(0xFF)), n[use])
+            keys.append(key)
+            counts.append(count)
+    trie = Trie(np.concatenate(keys), np.concatenate(counts), shard=True)
+    return trie.look_up(gram_contexts(gram), gram & U64(0xFF))
+
+
+def least_count(table: DataFrame) -> int:
+    """The smallest count for which at most ``MAX_GRAMS`` rows have it or more."""
+    tally = table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).collect()
+    room = MAX_GRAMS
     for r in sorted(tally, reverse=True):
         room -= r["c"]
         if room < 0:
-            return min(r["n"] + 1, 100_000)
-    return least
+            return r["n"] + 1
+    return 1
+
+
+def _rare(doc: np.ndarray, key: np.ndarray, kind: int) -> tuple[np.ndarray, ...]:
+    """Distinct keys of each row: row, kind, key, times."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][:len(doc)])
+    return doc[first], np.full(len(first), kind, np.int32), key[first].view(np.int64), np.diff(np.r_[first, len(doc)])
 
 
 def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
@@ -270,55 +359,84 @@ def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     base_score, score``; ``learn`` (over ``doc_id``) says which rows the counts
     come from (default: all)."""
     rows = id_and_text(docs)
-    sc = rows.sparkSession.sparkContext
-    lesson = rows if learn is None else rows.where(learn)
-    counts = stash(map_arrow(lesson, _count, "kind int, key long, n long")
-                   .groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    entries = counts.where((F.col("kind") == TRIE) & (F.col("n") >= least_count(counts))).select("key", "n").toArrow()
-    trie = sc.broadcast(Trie(entries["key"].to_numpy().view(U64), entries["n"].to_numpy()))
-    del entries
-    texts = lesson.count()
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    lesson = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shape = "kind int, shard int, keys binary, n binary"
+    counts = stash(map_arrow(map_arrow(rows.withColumn("lesson", lesson), _count, shape)
+                             .repartition(parts, "kind", "shard"), _merge, shape), "counts")
+    words = map_arrow(counts.where(F.col("kind") == WORD), _word_rows, "key long, n long")
+    trie = counts.where(F.col("kind") == TRIE)
+    first = map_arrow(trie, _short, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    short = sc.broadcast((first["key"].to_numpy().view(U64), first["n"].to_numpy()))
+
+    def settle(batches):
+        for keys, n in _arrays(batches):
+            gram, place = np.unique(keys >> U64(1), return_inverse=True)
+            learnt = np.zeros(len(gram), np.int64)
+            own = (keys & U64(1)) == 1
+            learnt[place[own]] = n[own]
+            yield record(key=gram.view(np.int64), n=np.bincount(place, weights=n, minlength=len(gram)).astype(np.int64),
+                         value=gram_log10(gram, learnt, short.value))
+
+    settled = stash(map_arrow(trie, settle, "key long, n long, value double"), "grams")
+    least = least_count(settled)
+    often = settled.where(F.col("n") >= least).select("key", "value").toArrow()
+    texts = rows.where(lesson).count()
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train, distinct = seen[0] + texts, seen[1] + (texts > 0)
     scale = float(np.log10(train + distinct + 1))
     frequent = words.orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).toArrow()
-    table = sc.broadcast((HashIndex(frequent["key"].to_numpy().view(U64)), frequent["n"].to_numpy()))
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
+    table = sc.broadcast((HashIndex(frequent["key"].to_numpy().view(U64)), frequent["n"].to_numpy(),
+                          HashIndex(often["key"].to_numpy().view(U64)), often["value"].to_numpy()))
+    del often
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int32())]))
 
     def score(batches):
-        index, count = table.value
+        index, count, gram_index, value = table.value
         for b in chunks(batches):
             w = Words(b, lower=True)
-            u = Units(w, b.num_rows)
             spot = index(w.hashes)
             hit = spot >= 0
             gain = np.zeros(w.total)
             gain[hit] = np.log10(count[spot[hit]] + 1)
             base = np.bincount(w.doc, weights=gain, minlength=b.num_rows)
             known = np.bincount(w.doc, weights=hit, minlength=b.num_rows).astype(np.int64)
-            unit, place, symbol = u.symbols()
-            each = np.bincount(unit, weights=trie.value.log10(place, symbol), minlength=len(u.length))
-            total = np.bincount(u.row, weights=each[u.which], minlength=b.num_rows)
-            doc, rare = w.doc[~hit], w.hashes[~hit]
-            order = np.lexsort((rare, doc))
-            doc, rare = doc[order], rare[order]
-            first = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])][:len(doc)])
-            times = np.diff(np.r_[first, len(doc)])
-            bounds = np.searchsorted(doc[first], np.arange(b.num_rows + 1)).astype(np.int32)
+            symbol, begin, restart = symbols(w, b.num_rows)
+            gram = grams(symbol, restart)
+            at = gram_index(gram)
+            there = at >= 0
+            each = np.zeros(len(gram))
+            each[there] = value[at[there]]
+            total = np.add.reduceat(each, begin)
+            lost = np.flatnonzero(~there)
+            rare = [np.concatenate(x) for x in zip(
+                _rare(w.doc[~hit], w.hashes[~hit], WORD),
+                _rare(np.searchsorted(begin, lost, "right") - 1, gram[lost], TRIE))]
+            order = np.argsort(rare[0], kind="stable")
+            doc, which, key, times = (x[order] for x in rare)
+            bounds = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
             flat = pa.StructArray.from_arrays(
-                [pa.array(rare[first].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "n"])
+                [pa.array(which), pa.array(key), pa.array(times.astype(np.int32))], ["kind", "key", "n"])
             yield record(doc_id=b.column("doc_id"), tokens=w.lengths + 1, known=known, base=base, score=total,
                          rare=pa.ListArray.from_arrays(pa.array(bounds), flat).cast(kind))
 
-    shape = "doc_id long, tokens long, known long, base double, score double, rare array<struct<key:long,n:int>>"
+    shape = ("doc_id long, tokens long, known long, base double, score double, "
+             "rare array<struct<kind:int,key:long,n:int>>")
     scored = stash(map_arrow(rows, score, shape).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", F.col("r.n").alias("times"))
-    more = (rare.join(words, "key").groupBy("row")
-            .agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("gain"), F.sum("times").alias("found")))
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.kind", "r.key", F.col("r.n").alias("times"))
+    values = (words.select(F.lit(WORD).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))
+              .unionByName(settled.where(F.col("n") < least).select(F.lit(TRIE).alias("kind"), "key", "value")))
+    part = F.col("times") * F.col("value")
+    more = (rare.join(values, ["kind", "key"]).groupBy("row")
+            .agg(F.sum(F.when(F.col("kind") == WORD, part)).alias("gain"),
+                 F.sum(F.when(F.col("kind") == WORD, F.col("times"))).alias("found"),
+                 F.sum(F.when(F.col("kind") == TRIE, part)).alias("rest")))
     end = float(np.log10(texts + 1))
     return scored.drop("rare").join(more, "row", "left").select(
         "doc_id", F.col("tokens").alias("n_tokens"),
         (F.col("known") + F.coalesce("found", F.lit(0)) + int(texts > 0)).cast("long").alias("n_known"),
         F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) + end - F.col("tokens") * scale).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("gain", F.lit(0.0)) + end - F.col("tokens") * scale).alias("base_score"),
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))

@@ -254,3 +254,28 @@ def test_licenses(spark, nothing):
     assert license_scan(df).count() == len(files)
     assert all(r["score"] is None or BAR <= r["score"] <= 1 for r in license_scan(df).collect())
     assert license_scan(nothing.withColumn("path", F.col("text"))).count() == 0
+
+
+def brute_ppm(texts, learnt):
+    """log10 probability of each text by the trie of all contexts, none dropped."""
+    def runs(text):
+        words = (text or "").encode().lower().split()
+        units = [w + (b" " if i + 1 < len(words) else b"\xff") for i, w in enumerate(words)] or [b"\xff"]
+        return [np.frombuffer(u, np.uint8) for u in units]
+
+    seen = collections.Counter()
+    for text in learnt:
+        for symbol in runs(text):
+            for context, use in context_keys(np.arange(len(symbol)), symbol):
+                seen.update(entry_key(context[use], symbol[use]).tolist())
+    trie = Trie(np.array(list(seen), np.uint64), np.array(list(seen.values())))
+    return [sum(trie.log10(np.arange(len(s)), s).sum() for s in runs(t)) for t in texts]
+
+
+def test_ppm_drops_no_entry(messy, rows, monkeypatch):
+    monkeypatch.setattr("attrix.llm.ppm.MAX_GRAMS", 50)
+    even = [t for d, t, *_ in rows if d is not None and d % 2 == 0]
+    want = brute_ppm([t for _, t, *_ in rows], even)
+    got = score_ppm(messy, learn=F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))).collect()
+    assert sorted(((r["doc_id"], round(r["score"], 4)) for r in got), key=key) == sorted(
+        ((d, round(s, 4)) for (d, *_), s in zip(rows, want)), key=key)
