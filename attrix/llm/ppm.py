@@ -3,8 +3,8 @@ add-one unigram of words.
 
 The model is a trie of byte contexts of up to ``ORDER`` symbols, pretrained on
 the rows that may be learnt from.  It models the text as its words, A-Z in lower
-case, with one space between and an end symbol after the last; a unit is a word
-with the symbol after it, and the context of a unit begins with a start marker.  A symbol is predicted by its
+case, with one space between and an end symbol after the last; contexts run across
+the spaces and begin anew, with a start marker, only where a text begins.  A symbol is predicted by its
 longest known context with escape method D (half a count for each distinct
 symbol); after an escape, the symbols of the longer context are excluded from the
 shorter one, whose counts are of the longer contexts a symbol follows (update
@@ -42,9 +42,8 @@ BLOCK, ENTRIES = 4_000_000, 4_000_000
 WORD, TRIE = 0, 1
 
 
-def symbols(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols of a chunk end to end, where each row's begin, and where
-    contexts restart."""
+def symbols(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a chunk end to end, and where each row's begin."""
     size = w.end - w.begin + 1
     empty = w.lengths == 0
     before = np.cumsum(empty) - empty  # rows without words have the end symbol only
@@ -58,7 +57,7 @@ def symbols(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out[closing] = 0x20
     out[inner] = np.minimum(_LOWER[w.data[~_SPACE[w.data]]], START - 1)
     out[begin[1:] - 1] = END
-    return out, begin[:-1], np.sort(np.r_[closing - size + 1, begin[:-1][empty]])
+    return out, begin[:-1]
 
 
 def grams(symbol: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -158,9 +157,9 @@ def _count(batches):
         w = Words(b, lower=True)
         lesson = b.column("lesson").to_numpy(zero_copy_only=False).astype(bool)
         words.add(*np.unique(w.hashes[lesson[w.doc]], return_counts=True))
-        symbol, begin, restart = symbols(w, b.num_rows)
+        symbol, begin = symbols(w)
         learnt = np.repeat(lesson, np.diff(np.r_[begin, len(symbol)]))
-        block.append((grams(symbol, restart) << U64(1)) | learnt)
+        block.append((grams(symbol, begin) << U64(1)) | learnt)
         size += len(symbol)
         if size > BLOCK:
             fold_block()
@@ -403,8 +402,8 @@ def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
             gain[hit] = np.log10(count[spot[hit]] + 1)
             base = np.bincount(w.doc, weights=gain, minlength=b.num_rows)
             known = np.bincount(w.doc, weights=hit, minlength=b.num_rows).astype(np.int64)
-            symbol, begin, restart = symbols(w, b.num_rows)
-            gram = grams(symbol, restart)
+            symbol, begin = symbols(w)
+            gram = grams(symbol, begin)
             at = gram_index(gram)
             there = at >= 0
             each = np.zeros(len(gram))

@@ -258,18 +258,16 @@ def test_licenses(spark, nothing):
 
 def brute_ppm(texts, learnt):
     """log10 probability of each text by the trie of all contexts, none dropped."""
-    def runs(text):
-        words = (text or "").encode().lower().split()
-        units = [w + (b" " if i + 1 < len(words) else b"\xff") for i, w in enumerate(words)] or [b"\xff"]
-        return [np.frombuffer(u, np.uint8) for u in units]
+    def symbols(text):
+        return np.frombuffer(b" ".join((text or "").encode().lower().split()) + b"\xff", np.uint8)
 
     seen = collections.Counter()
     for text in learnt:
-        for symbol in runs(text):
-            for context, use in context_keys(np.arange(len(symbol)), symbol):
-                seen.update(entry_key(context[use], symbol[use]).tolist())
+        symbol = symbols(text)
+        for context, use in context_keys(np.arange(len(symbol)), symbol):
+            seen.update(entry_key(context[use], symbol[use]).tolist())
     trie = Trie(np.array(list(seen), np.uint64), np.array(list(seen.values())))
-    return [sum(trie.log10(np.arange(len(s)), s).sum() for s in runs(t)) for t in texts]
+    return [trie.log10(np.arange(len(s)), s).sum() for s in map(symbols, texts)]
 
 
 def test_ppm_drops_no_entry(messy, rows, monkeypatch):
@@ -279,3 +277,12 @@ def test_ppm_drops_no_entry(messy, rows, monkeypatch):
     got = score_ppm(messy, learn=F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))).collect()
     assert sorted(((r["doc_id"], round(r["score"], 4)) for r in got), key=key) == sorted(
         ((d, round(s, 4)) for (d, *_), s in zip(rows, want)), key=key)
+
+
+def test_ppm_score_follows_word_order(spark):
+    line = "every morning the old baker carries warm bread across the frozen river to market"
+    words = line.split()
+    mixed = " ".join(words[1:-1][::-1] + words[:1] + words[-1:])  # the same words, the same last
+    docs = spark.createDataFrame([(i, line) for i in range(20)] + [(90, line), (91, mixed)], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in score_ppm(docs, learn=F.col("doc_id") < 90).where("doc_id >= 90").collect()}
+    assert score[90] > score[91] + 5
