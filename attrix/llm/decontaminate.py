@@ -4,8 +4,12 @@ Method: CGK random walks turn edit distance over words into Hamming distance;
 each of ``R`` repetitions samples two places of the embedding of every
 item-sized window and looks the pair up among the items' (bit-sampling LSH);
 candidates are verified by an exact edit distance against the best aligned part
-of the text.  ``R`` follows from the target recall for passages at the limit of
-``share`` edits, where about half the walk's places are taken to agree.  Windows
+of the text.  Walks drift apart with every edit, so places lie among the first
+``WALK``, and every second repetition walks from the window's end.  ``R`` is found
+for each item length by trials: it is the least number that finds the target
+recall of ``TRIALS`` random passages with ``floor(share * n)`` edits, for
+substitutions, insertions and deletions anywhere and for substitutions all at
+either end (at most ``MOST``, which shares near 1 need).  Windows
 are embedded only where they can match at all: a passage with ``k`` edits holds
 an unedited run of ``floor((n - k) / (k + 1))`` item words and ``n - 2k`` words
 of items of that length (both lossless).
@@ -22,7 +26,7 @@ ignored; an empty benchmark or table gives no hits.
 
 from __future__ import annotations
 
-from math import ceil, log
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +35,12 @@ from pyspark.sql import functions as F
 
 from attrix.llm.text import BASES, PLAIN, U64, Words, chunks, id_and_text, map_arrow, mix, rolling
 
-BLOCK, SAMPLED, AGREE, SEED = 20_000, 2, 0.5, 7
+BLOCK, SAMPLED, WALK, SEED = 20_000, 2, 40, 7
+TRIALS, MOST = 200, 1000
 CHUNK = 8 << 20
 HITS = "array<struct<item_id:long,from:int,to:int,edits:int>>"
 
 
-def repetitions(target_recall: float) -> int:
-    return ceil(log(1 - target_recall) / log(1 - AGREE ** SAMPLED))
-
-
 def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, salt: np.ndarray, places) -> list[np.ndarray]:
     """The walk's symbols at ``places`` for windows of ``n`` words from each
     start; 0 stands for "past the window's end"."""
@@ -55,6 +56,66 @@ def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, salt:
     return out
 
 
+def window_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, rep: tuple) -> np.ndarray:
+    """Keys of one repetition for windows of ``n`` words from each start."""
+    places, salt, back = rep
+    if back:
+        starts, ends = len(words) - np.minimum(starts + n, ends), len(words) - starts
+        words = words[::-1]
+    out = np.zeros(len(starts), U64)
+    for symbol in embed(words, starts, ends, n, salt, places):
+        out = mix(out * BASES[0] + symbol)
+    return out
+
+
+def edited(size: int, k: int, rng) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Random items and passages of them with ``k`` edits, kind by kind."""
+    def fresh(n):
+        return rng.integers(1, 1 << 63, n).astype(U64)
+
+    out = []
+    for kind in range(5):
+        for _ in range(TRIALS):
+            item = fresh(size)
+            some = rng.choice(size, k, replace=False)
+            if kind == 1:
+                passage = np.insert(item, rng.integers(0, size + 1, k), fresh(k))
+            elif kind == 2:
+                passage = np.delete(item, some)
+            else:
+                passage = item.copy()
+                passage[[some, None, None, slice(0, k), slice(size - k, size)][kind]] = fresh(k)
+            out.append((item, passage))
+    return out
+
+
+@lru_cache(1 << 12)
+def repetitions(size: int, share: float, target_recall: float) -> list[tuple]:
+    """Places, salt and direction of each repetition that items of ``size``
+    words need."""
+    rng = np.random.default_rng([SEED, size])
+    pairs = edited(size, int(share * size), rng)
+    items = np.concatenate([p[0] for p in pairs])
+    pads = [rng.integers(1, 1 << 63, size + 2).astype(U64) for _ in range(2 * len(pairs))]
+    texts = [np.r_[pads[2 * i], p[1], pads[2 * i + 1]] for i, p in enumerate(pairs)]
+    ends = np.cumsum([len(t) for t in texts])
+    length = np.array([len(p[1]) for p in pairs])
+    begin = ends - length - size - 2
+    near = np.arange(-2, 3)  # windows that begin or end about where the passage does
+    starts = np.c_[begin[:, None] + near, (begin + length - size)[:, None] + near]
+    words, own = np.concatenate(texts), np.arange(len(pairs)) * size
+    found, reps = np.zeros(len(pairs), bool), []
+    while len(reps) < MOST and (not reps or found.reshape(5, TRIALS).mean(1).min() < target_recall):
+        steps = min(2 * size, WALK)
+        rep = (sorted(rng.choice(steps, min(SAMPLED, steps), replace=False).tolist()),
+               rng.integers(0, 1 << 63, steps).astype(U64), len(reps) % 2 == 1)
+        reps.append(rep)
+        goal = window_keys(items, own, own + size, size, rep)
+        keys = window_keys(words, starts.ravel(), np.repeat(ends, starts.shape[1]), size, rep)
+        found |= (keys.reshape(starts.shape) == goal[:, None]).any(1)
+    return reps
+
+
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edits between ``item`` and any part of ``text``, and that part."""
     m = len(text)
@@ -97,21 +158,18 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[bytes], share: float, target_recall: float):
         words = Words(pa.record_batch([pa.array(texts, pa.binary())], names=["text"]), table=PLAIN)
-        rng = np.random.default_rng(SEED)
         self.ids, self.by_size, grams = ids, {}, {}
         self.words = [words.hashes[s:s + n] for s, n in zip(words.starts, words.lengths)]
         for size in sorted({len(w) for w in self.words} - {0}):
             own = [i for i, w in enumerate(self.words) if len(w) == size]
             k = int(share * size)
             reps = []
-            for _ in range(repetitions(target_recall)):
-                places = sorted(rng.choice(2 * size, min(SAMPLED, 2 * size), replace=False).tolist())
-                salt = rng.integers(0, 1 << 63, 2 * size).astype(U64)
+            for rep in repetitions(size, share, target_recall):
                 flat = np.concatenate([self.words[i] for i in own])
                 starts = np.arange(len(own)) * size
-                key = self.key(embed(flat, starts, starts + size, size, salt, places))
+                key = window_keys(flat, starts, starts + size, size, rep)
                 order = np.argsort(key)
-                reps.append((places, salt, key[order], np.array(own)[order]))
+                reps.append((rep, key[order], np.array(own)[order]))
             run = min(4, max(1, (size - k) // (k + 1)))
             found = np.unique(np.concatenate([rolling(self.words[i], run, BASES[0]) for i in own]))
             grams.setdefault(run, []).append((size, found))
@@ -123,13 +181,6 @@ class Items:
             order = np.argsort(gram, kind="stable")
             self.grams[run] = (gram[order], size[order], Lookup(gram))
 
-    @staticmethod
-    def key(symbols: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(symbols[0]), U64)
-        for s in symbols:
-            out = mix(out * BASES[0] + s)
-        return out
-
     def places(self, w: Words) -> dict[int, np.ndarray]:
         """Window starts to embed, for each item size."""
         ends = (w.starts + w.lengths)[w.doc]
@@ -172,8 +223,8 @@ class Items:
                 continue
             k, _, reps = self.by_size[size]
             pairs = set()
-            for places, salt, keys, owner in reps:
-                key = self.key(embed(w.hashes, starts, ends[starts], size, salt, places))
+            for rep, keys, owner in reps:
+                key = window_keys(w.hashes, starts, ends[starts], size, rep)
                 lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 for i in np.flatnonzero(hi > lo):
                     pairs.update((int(owner[x]), int(starts[i])) for x in range(lo[i], hi[i]))

@@ -7,17 +7,19 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attrix.llm.decontaminate import best_alignment, contamination
+from attrix.llm.decontaminate import Items, best_alignment, contamination
 from attrix.llm.fingerprints import HASH_BITS, K, PLACE_BITS, SLOTS, edit_probe
 from attrix.llm.licenses import BAR, TEMPLATES, license_scan
 from attrix.llm.mixing import mix_sources
 from attrix.llm.ppm import Trie, context_keys, entry_key, score_ppm
 from attrix.llm.quality import filter_quality, pool_adjacent, score_quality
 from attrix.llm.queries import part_of
+from attrix.llm.text import PLAIN, Words
 from attrix.llm.toxicity import score_toxicity
 from tests.conftest import SF01
 from tests.llm.conftest import WORDS, key, prose
@@ -163,6 +165,26 @@ def test_contamination_recall(spark, messy, nothing):
     assert contamination(messy, items.limit(0)).where("size(hits) > 0").count() == 0
 
 
+@pytest.mark.parametrize("size", [15, 50, 80, 150, 300])
+def test_contamination_recall_at_full_share(size):
+    rng = random.Random(size)
+    k, trials = int(0.2 * size), 40
+    items, texts = [], []
+    for kind in ("swap", "add", "drop", "swap front", "swap back"):
+        for _ in range(trials):
+            item = [f"w{rng.randrange(10 ** 6)}" for _ in range(size)]
+            w = list(item)
+            spots = {"swap front": range(k), "swap back": range(size - k, size)}.get(kind, rng.sample(range(size), k))
+            for j in sorted(spots, reverse=True):
+                w[j:j + 1] = {"drop": [], "add": ["new", w[j]]}.get(kind, [f"x{rng.randrange(10 ** 6)}"])
+            items.append(" ".join(item))
+            texts.append(" ".join([prose(rng, 2 * size), *w, prose(rng, size)]).encode())
+    search = Items(list(range(len(items))), [i.encode() for i in items], 0.2, 0.99)
+    got = search.search(Words(pa.record_batch([pa.array(texts, pa.binary())], names=["text"]), table=PLAIN))
+    found = np.array([any(h["item_id"] == i for h in got.get(i, [])) for i in range(len(items))])
+    assert found.reshape(5, trials).mean(1).min() >= 0.95, found.reshape(5, trials).mean(1)
+
+
 def test_mixing(messy, nothing, rows):
     got = mix_sources(messy).collect()
     size = collections.Counter()
