@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attrix.llm.decontaminate import Items, best_alignment, contamination
 from attrix.llm.fingerprints import HASH_BITS, K, PLACE_BITS, SLOTS, edit_probe
-from attrix.llm.licenses import BAR, TEMPLATES, license_scan
+from attrix.llm.licenses import BAR, TEMPLATES, license_scan, own_licenses
 from attrix.llm.mixing import mix_sources
 from attrix.llm.ppm import Trie, context_keys, entry_key, score_ppm
 from attrix.llm.quality import filter_quality, pool_adjacent, score_quality
@@ -308,3 +308,23 @@ def test_ppm_score_follows_word_order(spark):
     docs = spark.createDataFrame([(i, line) for i in range(20)] + [(90, line), (91, mixed)], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in score_ppm(docs, learn=F.col("doc_id") < 90).where("doc_id >= 90").collect()}
     assert score[90] > score[91] + 5
+
+
+def test_license_siblings(spark):
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    notice = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU {}General "
+              "Public License as published by the Free Software Foundation; either version {} of the License, or (at your "
+              "option) any later version.")
+    cases = [("GPL-2.0", gnu.format("", 2)), ("GPL-3.0", gnu.format("", 3)), ("LGPL-3.0", gnu.format("Lesser ", 3)),
+             ("AGPL-3.0", gnu.format("Affero ", 3)), ("LGPL-2.1", notice.format("Lesser ", "2.1")),
+             ("LGPL-2.0", notice.format("Library ", 2)), ("GPL-2.0", notice.format("", 2)), (None, gnu.format("", 7)),
+             ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+             ("CC-BY-ND-3.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 License."),
+             ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+             (None, "Redistribution and use in source and binary forms, with or without modification, are permitted")]
+    cases += TEMPLATES
+    docs = spark.createDataFrame([(i, "x", f"Some Words\n{t}\nmore words") for i, (_, t) in enumerate(cases)] + [
+        (1000 + i, "x", "plain words " * 9) for i in range(300)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in own_licenses(docs).collect()}
+    assert [(got[i], t) for i, (_, t) in enumerate(cases)] == [(n, t) for n, t in cases]
+    assert not any(got[1000 + i] for i in range(300))
