@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrix.llm.alignment import cross_tokenizer_alignment
 from attrix.llm.decontaminate import contamination
 from attrix.llm.fingerprints import edit_probe
 from attrix.llm.jaccard_join import jaccard_join
@@ -100,7 +101,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer_alignment(table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES = {
+    "op13_token_alignment": op13_token_alignment,
     "op2_license_scan": op2_license_scan,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_lm_scoring": op7_lm_scoring,

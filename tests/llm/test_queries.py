@@ -23,12 +23,13 @@ WANT = {
     "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op10_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
 def test_all_registered():
     have = E.queries()
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= set(have) and have["pipeline"] is P.run
     assert set(ORACLE) <= set(E.oracle_sql())
 
