@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrix.llm.alignment import cross_tokenizer_alignment
+from attrix.llm.centroids import K, ROUNDS, centroid_clusters, with_inertia
 from attrix.llm.decontaminate import contamination
 from attrix.llm.fingerprints import edit_probe
 from attrix.llm.jaccard_join import jaccard_join
 from attrix.llm.licenses import license_scan
 from attrix.llm.mixing import mix_sources
+from attrix.llm.pii import BASE, LEAST, SHARE, STEM, SUPPORT, WIDTH, listed, personal_data
 from attrix.llm.ppm import score_ppm
 from attrix.llm.quality import score_quality
 from attrix.llm.substring_dedup import substring_dedup
@@ -101,11 +103,24 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE)]
+    return rows.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*centroid_clusters(table(spark, sf_dir, "embeddings")))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_tokenizer_alignment(table(spark, sf_dir, "documents"))[0]
 
 
 QUERIES = {
+    "op11_pii": op11_pii,
+    "op12_centroids": op12_centroids,
     "op13_token_alignment": op13_token_alignment,
     "op2_license_scan": op2_license_scan,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
@@ -123,7 +138,84 @@ QUERIES = {
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def pii_sql() -> str:
+    """Places from the lengths of matches and gaps; the disclosing terms by the same counts."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "term": r"[\p{L}\p{N}]+"}
+    searched = " UNION ALL ".join(
+        f"SELECT rid, '{kind}' AS kind, {k} AS k, regexp_extract_all(text, '{p}') AS f, string_split_regex(text, '{p}') AS g FROM d"
+        for k, (kind, p) in enumerate(patterns.items()))
+    short = "len(ltrim(p, '0')) <= 3 AND coalesce(try_cast(left(ltrim(p, '0'), 3) AS INT), 0) <= 255"
+    digit = "reverse(left(digits, 19))[i]::INT"
+    luhn = (f"list_sum(list_transform(range(1, least(len(digits), 19) + 1), lambda i: CASE WHEN i % 2 = 0 THEN 2 * {digit} "
+            f"- CASE WHEN {digit} > 4 THEN 9 ELSE 0 END ELSE {digit} END)) % 10 = 0")
+    terms = ("list_filter(list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w)), "
+             f"lambda w: len(w) >= {LEAST})").format
+    share = "CASE WHEN ln({t} / n_e) > 0 THEN 1 - ln(greatest(1.0, {a} / {b}::DOUBLE)) / ln({t} / n_e) END".format
+    total = "(SELECT sum(n_t) FROM w)::DOUBLE"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({searched}),
+u AS (SELECT rid, kind, k, f[i] AS value, g[i] AS bef, g[i + 1] AS aft, i, len(g[i]) + CASE WHEN i > 1 THEN len(f[i - 1]) ELSE 0 END AS step
+      FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m)),
+s AS (SELECT *, sum(step) OVER (PARTITION BY rid, k ORDER BY i)::BIGINT AS start, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM u),
+v AS (SELECT *, start + len(value) AS stop FROM s WHERE CASE kind
+      WHEN 'email' THEN true WHEN 'ip' THEN list_bool_and(list_transform(string_split(value, '.'), lambda p: {short}))
+      WHEN 'card' THEN len(digits) BETWEEN 12 AND 19 AND {luhn} WHEN 'phone' THEN len(digits) BETWEEN 9 AND 15 ELSE false END),
+c AS (SELECT kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(value) END AS entity,
+             list_reverse(list_reverse({terms("bef")})[:{WIDTH}]) AS b, {terms("aft")}[:{WIDTH}] AS a, count(*) AS n FROM v GROUP BY ALL),
+e AS (SELECT entity, sum(n) AS n_e FROM c GROUP BY entity),
+near AS (SELECT entity, term, sum(n) AS n_te, count(*) AS seen
+         FROM (SELECT entity, n, unnest(list_distinct(list_concat(b, a))) AS term FROM c) GROUP BY ALL),
+w AS (SELECT term, count(*) AS n_t FROM (SELECT unnest({terms("text")}) AS term FROM d) GROUP BY term),
+ws AS (SELECT left(term, {STEM}) AS stem, sum(n_t) AS n_s FROM w GROUP BY ALL),
+ns AS (SELECT entity, left(term, {STEM}) AS stem, sum(n_te) AS n_se FROM near GROUP BY ALL),
+strong AS (SELECT near.entity, term, left(term, {STEM}) AS stem FROM near JOIN w USING (term) JOIN e USING (entity)
+           WHERE seen >= {SUPPORT} AND {share(t=total, a="n_t", b="n_te")} >= {SHARE}),
+marked AS (SELECT term, max(CASE WHEN {share(t=total, a="n_s", b="n_se")} >= {SHARE} OR len(term) <= {STEM} THEN 'removed'
+           ELSE 'generalised' END) AS kind FROM strong JOIN ns USING (entity, stem) JOIN ws USING (stem) JOIN e USING (entity) GROUP BY term),
+t AS (SELECT s.rid, marked.kind, start, start + len(value) AS stop FROM s JOIN marked ON s.kind = 'term' AND lower(value) = marked.term
+      WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.rid = s.rid AND v.start < s.start + len(s.value) AND v.stop > s.start)),
+x AS (SELECT rid, kind, k, start, stop FROM v UNION ALL SELECT rid, kind, CASE kind WHEN 'generalised' THEN 4 ELSE 5 END, start, stop FROM t),
+o AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) AS spans,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (WHERE k < 4) AS base,
+             {", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{kind}" for i, kind in enumerate(BASE))} FROM x GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (rid)
+"""
+
+
+def centroid_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds, unrolled; every distance is computed."""
+    near = """a{r} AS (SELECT rid, min([d, c]) AS m FROM (
+    SELECT e.rid, c{r}.c, list_sum(list_transform(list_zip(e.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM e, c{r}) GROUP BY rid),"""
+    move = """s{r} AS (SELECT a.m[2] AS c, i, sum(e.v[i])::HUGEINT AS s, count(*)::HUGEINT AS n
+    FROM e JOIN a{r} a USING (rid), range(1, 65) t(i) GROUP BY ALL),
+c{q} AS (SELECT c{r}.c, coalesce(f.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c) f ON f.c = c{r}.c),"""
+    steps = "\n".join(near.format(r=r) + "\n" + move.format(r=r, q=r + 1) for r in range(rounds))
+    return f"""
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id,
+           list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY h, v) - 1)::BIGINT AS c, v FROM (
+       SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM e ORDER BY h, v LIMIT {k})),
+{steps}
+{near.format(r=rounds)}
+i AS (SELECT m[2] AS c, sum(m[1])::BIGINT AS n FROM a{rounds} GROUP BY m[2])
+SELECT vec_id, m[2]::INTEGER AS cluster, m[1] AS distance, i.n AS cluster_inertia, (SELECT sum(n)::BIGINT FROM i) AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (rid) JOIN i ON i.c = m[2] JOIN c{rounds} ON c{rounds}.c = m[2]
+"""
+
+
 ORACLE = {
+    "op11_pii": pii_sql(),
+    "op12_centroids": centroid_sql(K, ROUNDS),
     "op8_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k
            FROM documents),
