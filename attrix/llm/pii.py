@@ -85,13 +85,16 @@ def located(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
     """Add ``{name}`` (matches of ``text``), ``{name}_gaps`` (what lies around them) and
     ``{name}_starts`` (their places in characters).
 
-    Each column is used more than once by the next, so that Spark computes it once."""
+    Lambdas use their arguments only: a column that they named could be computed anew
+    for every element.  ``running`` uses its list more than once, so that it is kept."""
     found, gaps, steps, blocks, starts = name, *(f"{name}_{x}" for x in ("gaps", "steps", "blocks", "starts"))
     empty = F.array().cast("array<string>")
     df = df.withColumn(found, F.when(when, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
     df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split("text", pattern, -1)).otherwise(empty))
-    df = df.withColumn(steps, F.transform(F.col(found), lambda m, i: (
-        F.length(F.get(F.col(gaps), i)) + F.coalesce(F.length(F.get(F.col(found), i - 1)), F.lit(0))).cast("bigint")))
+    before = F.concat(F.array(F.lit("")), F.slice(found, F.lit(1), F.size(found) - 1))
+    df = df.withColumn(steps, F.when(F.size(found) > 0, F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(found)), before, lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))).otherwise(
+            F.array().cast("array<bigint>")))
     return df.withColumn(blocks, running(steps)).withColumn(starts, joined(blocks)).drop(steps, blocks)
 
 
@@ -131,16 +134,19 @@ def with_base(df: DataFrame, kind: str) -> tuple[DataFrame, Column, Column]:
         need = need & F.col("text").rlike(r"[0-9][.\x20-]?[0-9]")
     df = located(df, kind, PATTERNS[kind], need)
     found, starts, gaps, good = (F.col(f"{kind}{x}") for x in ("", "_starts", "_gaps", "_good"))
-    df = df.withColumn(f"{kind}_good", F.filter(
-        F.transform(found, lambda m, i: F.struct(F.get(starts, i).alias("start"), m.alias("value"), i.alias("i"))),
+    near = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.slice(gaps, F.lit(2), F.size(found)),
+                      lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+    placed = F.zip_with(found, starts, lambda m, s: F.struct(s.alias("start"), m.alias("value")))
+    df = df.withColumn(f"{kind}_good", F.filter(F.zip_with(placed, near, lambda p, n: F.struct(
+        p["start"].alias("start"), p["value"].alias("value"), n["before"].alias("before"), n["after"].alias("after"))),
         lambda s: passes(kind, s["value"])))
     spans = F.transform(good, lambda s: F.struct(
         s["start"].alias("start"), F.lit(BASE.index(kind)).alias("kind"), (s["start"] + F.length(s["value"])).alias("end"),
         s["value"].alias("value")))
     around = F.transform(good, lambda s: F.struct(
         entity(kind, s["value"]).alias("entity"),
-        F.reverse(F.slice(F.reverse(terms(F.get(gaps, s["i"]))), 1, WIDTH)).alias("before"),
-        F.slice(terms(F.get(gaps, s["i"] + 1)), 1, WIDTH).alias("after")))
+        F.reverse(F.slice(F.reverse(terms(s["before"])), 1, WIDTH)).alias("before"),
+        F.slice(terms(s["after"]), 1, WIDTH).alias("after")))
     return df, spans, around
 
 
@@ -256,5 +262,5 @@ def sanitise(docs: DataFrame, stem: int = STEM, **settings) -> DataFrame:
     parts = F.transform("spans", lambda s, i: F.concat(cut(F.get(F.col("_past"), i), s["start"]), F.coalesce(
         F.get(tags, s["kind"]), F.when(s["kind"] == KINDS.index("generalised"), F.concat(F.substring(s["value"], 1, stem), F.lit("*"))),
         F.lit("[...]"))))
-    last = cut(F.get(F.col("_past"), F.size("spans")), F.length("text").cast("bigint"))
+    last = cut(F.element_at("_past", -1), F.length("text").cast("bigint"))
     return df.select("doc_id", "text", F.concat(F.array_join(parts, ""), last).alias("sanitised"))
