@@ -14,8 +14,9 @@ entity's information is ``ln(N / n)`` and the term reveals the share::
     PMI / information = 1 - ln(n_t / n_te) / ln(N / n)
 
 1: the term stands only with this entity; 0: it stands there by chance.  Terms of at
-least ``SHARE``, seen in ``SUPPORT`` or more different contexts of the entity (copies of
-a document are one context), disclose it.  A disclosing term is *generalised* to its
+least ``SHARE``, seen in ``SUPPORT`` or more contexts of the entity, disclose it.  Copies
+of a context count once, and so do all contexts that repeat each other (near copies): a
+context counts by itself when a quarter of its words stand in no other one of the entity.  A disclosing term is *generalised* to its
 first ``STEM`` characters when the stem's own share is lower, otherwise *removed*; in
 every text, whether or not the entity itself stands there.
 
@@ -167,10 +168,14 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share:
                stem: int = STEM) -> DataFrame:
     """``term, kind, share, stem_share`` of every term that discloses an entity (its
     largest share); ``found`` comes from ``base_spans``."""
-    contexts = (found.select(F.explode("contexts").alias("c"))
-                .groupBy("c.entity", "c.before", "c.after").agg(F.count("*").alias("n")))
-    near = (contexts.select("entity", "n", F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
-            .groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")))
+    contexts = stash(found.select(F.explode("contexts").alias("c")).groupBy("c.entity", "c.before", "c.after")
+                     .agg(F.count("*").alias("n")).select("entity", "n", F.array_distinct(F.concat("before", "after")).alias("words"))
+                     .withColumn("id", F.monotonically_increasing_id()), "contexts")
+    once = (contexts.select("entity", "id", F.explode("words").alias("term")).groupBy("entity", "term")
+            .agg(F.count("*").alias("n"), F.first("id").alias("id")).where("n = 1").groupBy("entity", "id").agg(F.count("*").alias("own")))
+    apart = contexts.join(once, ["entity", "id"], "left").withColumn("apart", (4 * F.coalesce("own", F.lit(0)) >= F.size("words")).cast("int"))
+    near = (apart.select("entity", "n", "apart", F.explode("words").alias("term")).groupBy("entity", "term")
+            .agg(F.sum("n").alias("n_te"), (F.sum("apart") + F.max(1 - F.col("apart"))).alias("contexts")))
     near = stash(near, "near")
     entities = contexts.groupBy("entity").agg(F.sum("n").alias("n_e"))
     words = stash(docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term"))
@@ -203,12 +208,13 @@ def term_spans(docs: DataFrame, found: DataFrame, marked: DataFrame) -> DataFram
     table = marked.select("term", "kind")
     table = F.broadcast(table) if size <= SMALL else table
     text = F.coalesce("text", F.lit(""))
-    held = (docs.select(text.alias("text"), F.explode(terms(text)).alias("term")).join(table, "term")
-            .select("text").distinct())
-    df = located(held, "term", TERM, F.lit(True))
-    words = df.select(text_key(F.col("text")).alias("key"), F.explode(F.arrays_zip(
-        F.col("term").alias("w"), F.col("term_starts").alias("s"))).alias("x")).select(
-        "key", F.lower("x.w").alias("term"), F.col("x.s").alias("start"), (F.col("x.s") + F.length("x.w")).alias("end"), F.col("x.w").alias("value"))
+    held = (docs.select(text.alias("text"), F.explode(F.array_distinct(terms(text))).alias("term")).join(table, "term")
+            .groupBy("text").agg(F.collect_set("term").alias("marked")))
+    df = located(held, "word", TERM, F.lit(True)).withColumn("key", text_key(F.col("text")))
+    placed = F.filter(F.zip_with("word", "word_starts", lambda w, s: F.struct(F.lower(w).alias("term"), s.alias("start"), w.alias("value"))),
+                      lambda x: F.array_contains("marked", x["term"]))
+    words = df.select("key", F.explode(placed).alias("x")).select(
+        "key", "x.term", "x.start", (F.col("x.start") + F.length("x.value")).alias("end"), "x.value")
     added = words.join(table, "term").select("key", "start", "kind", "end", "value")
     base = (found.join(added.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("spans").alias("spans"))
             .select("key", F.explode("spans").alias("s")).select("key", "s.*"))

@@ -167,8 +167,10 @@ v AS (SELECT *, start + len(value) AS stop FROM s WHERE CASE kind
 c AS (SELECT kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(value) END AS entity,
              list_reverse(list_reverse({terms("bef")})[:{WIDTH}]) AS b, {terms("aft")}[:{WIDTH}] AS a, count(*) AS n FROM v GROUP BY ALL),
 e AS (SELECT entity, sum(n) AS n_e FROM c GROUP BY entity),
-near AS (SELECT entity, term, sum(n) AS n_te, count(*) AS seen
-         FROM (SELECT entity, n, unnest(list_distinct(list_concat(b, a))) AS term FROM c) GROUP BY ALL),
+cw AS (SELECT *, unnest(ws) AS term FROM (SELECT entity, n, row_number() OVER () AS id, list_distinct(list_concat(b, a)) AS ws FROM c)),
+own AS (SELECT id, count(*) AS own FROM (SELECT entity, term, min(id) AS id FROM cw GROUP BY ALL HAVING count(*) = 1) GROUP BY id),
+near AS (SELECT entity, term, sum(n) AS n_te, sum(apart) + max(1 - apart) AS seen
+         FROM (SELECT cw.*, (4 * coalesce(own, 0) >= len(ws))::INT AS apart FROM cw LEFT JOIN own USING (id)) GROUP BY ALL),
 w AS (SELECT term, count(*) AS n_t FROM (SELECT unnest({terms("text")}) AS term FROM d) GROUP BY term),
 ws AS (SELECT left(term, {STEM}) AS stem, sum(n_t) AS n_s FROM w GROUP BY ALL),
 ns AS (SELECT entity, left(term, {STEM}) AS stem, sum(n_te) AS n_se FROM near GROUP BY ALL),
