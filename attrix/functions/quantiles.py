@@ -1,24 +1,24 @@
 """Exact quantiles with bounded memory (linear interpolation, like
-``numpy.percentile`` / ``quantile_cont``).
+``numpy.percentile`` / ``quantile_cont``), as Spark tables.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-task at the final merge.  Here, per (column, probability) the two order
-statistics around rank ``p·(n−1)`` are found by iterative bracketing:
-
-1. ``percentile_approx`` (accuracy ``acc``) on the rows inside the current
-   bracket gives a narrower bracket around the wanted ranks (the sketch's
-   rank error is ≤ size/acc, so a ±2/acc window contains them).
-2. One aggregate counts, per bracket, the rows below it, inside it, and the
-   inside min/max.  A bracket whose rows all share one value is resolved on
-   the spot (a value holding a third of all rows costs nothing extra).
-   Brackets still holding more than ``max_collect`` rows (or, on floating
-   edges, missing the ranks) are narrowed by equal-width histograms of the
-   bracket (``grouped_exact_quantiles``), which always converges.
-3. Small brackets are resolved exactly from their distinct values and
-   counts (one filtered, map-side-combined ``groupBy`` per column, unioned
-   into one job), walked on the driver.
-
-Extra aggregates (moments, counts) ride along with the first sketch.
+task at the final merge.  Here the two order statistics around rank
+``p * (n - 1)`` of each (group, probability) are bracketed:
+
+1. One pass takes a KLL sketch of each group (mergeable, bounded).  Its values at
+   the wanted ranks, widened by ``SLACK``, are the first brackets.
+2. One pass counts the rows below and inside each bracket, with the inside's
+   minimum, maximum and its own sketch.  A bracket of equal values is settled; one of
+   at most ``SMALL`` rows is *narrow*; a wider one is narrowed by its sketch, or halved
+   where that does not narrow it, and counted again; one that missed its ranks (a
+   sketch errs with a small probability) goes on with the side that holds them.
+3. One pass counts the distinct values inside narrow brackets (a group of at most
+   ``SMALL`` rows is one narrow bracket for all its probabilities), adds them up in
+   order (at most ``SMALL`` rows a bracket) and picks the values at the ranks.
+
+The brackets are a table, one row a group, joined to the rows on the group; the driver
+sees how many brackets are open and nothing else.  A value or a group holding a third of
+all rows is combined map side in every pass.
 """
 
 from __future__ import annotations
@@ -26,32 +26,142 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_COLLECT = 100_000
-
-
-def _in(x, lo, hi):
-    lo_c = F.lit(-math.inf) if lo is None else F.lit(float(lo))
-    hi_c = F.lit(math.inf) if hi is None else F.lit(float(hi))
-    return (x >= lo_c) & (x <= hi_c), lo_c
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], acc: int = 10000,
-                    extra_aggs: list | None = None, max_collect: int = MAX_COLLECT,
-                    max_rounds: int = 6):
-    """Return ``({(column, p): value}, first_aggregate_row)``; NaN/NULL are
-    ignored."""
-    vals = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    w = 2.0 / acc
-    aggs = [F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)]
-    for i, c in enumerate(columns):
-        ps = [max(0.0, p - w) for p in probs] + [min(1.0, p + w) for p in probs]
-        aggs.append(F.percentile_approx(vals[c], ps, acc).alias(f"b{i}"))
-    row = df.agg(*aggs, *(extra_aggs or [])).first()
+from attrix.session import stash
+
+#: KLL parameter, its rank error with a margin, and the rows of a narrow bracket.
+KLL_K, SLACK, SMALL = 2000, 0.004, 100_000
+GRID = 256
+
+
+def _number(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _sketch(x: Column) -> Column:
+    return F.kll_sketch_agg_double(x, KLL_K)
+
+
+def _at(sketch: Column, ranks: list[float]) -> Column:
+    """The sketch's values at fixed ranks (null without rows)."""
+    held = F.when(F.kll_sketch_get_n_double(sketch) > 0, sketch)
+    return F.kll_sketch_get_quantile_double(held, F.array(*[F.lit(min(1.0, max(0.0, float(r)))) for r in ranks]))
+
+
+def _interpolated(v0, v1, part):
+    return v0 + (v1 - v0) * part
+
+
+def group_quantiles(df: DataFrame, group: str, column: str, probs: list[float], small: int | None = None) -> DataFrame:
+    """One row per non-null group: ``g`` (as string), ``n, min, max`` and ``q0, q1, ...``
+    for ``probs``; NULL and NaN values are ignored, groups without values left out."""
+    small = SMALL if small is None else small
+    src = df.select(F.col(group).cast("string").alias("g"), _number(column).alias("x")).where("g IS NOT NULL AND x IS NOT NULL")
+    js = range(len(probs))
+    seen = src.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), _sketch(F.col("x")).alias("sk"))
+    first = _at(F.col("sk"), [p + s for p in probs for s in (-SLACK, SLACK)])
+    state = seen.withColumn("at", first).select("g", "n", "min", "max", (F.col("n") <= small).alias("whole"), *[e for j, p in enumerate(probs) for e in (
+        F.floor(F.lit(p) * (F.col("n") - 1)).alias(f"r{j}"),
+        F.lit(None).cast("double").alias(f"q{j}"), F.lit(False).alias(f"narrow{j}"), F.lit(0).cast("long").alias(f"below{j}"),
+        F.get("at", F.lit(2 * j)).alias(f"lo{j}"), F.get("at", F.lit(2 * j + 1)).alias(f"hi{j}"),
+        F.col("min").alias(f"from{j}"), F.col("max").alias(f"to{j}"))])  # surely around the ranks
+    state = stash(state, "brackets")
+    wide = reduce(lambda a, b: a | b, [F.col(f"q{j}").isNull() & ~F.col(f"narrow{j}") for j in js]) & ~F.col("whole")
+    while not (open_ := state.where(wide)).isEmpty():
+        state = stash(state.where(~wide).unionByName(_narrowed(src, open_, probs, small)), "brackets")
+    return _settled(src, state, probs)
+
+
+def _narrowed(src: DataFrame, open_: DataFrame, probs: list[float], small: int) -> DataFrame:
+    """One counting pass over the groups with open brackets."""
+    js = range(len(probs))
+    x = F.col("x")
+    rows = src.join(open_.select("g", *[f"{e}{j}" for j in js for e in ("lo", "hi")]), "g")
+    aggs = []
+    for j in js:
+        lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
+        inside = F.when((x >= lo) & (x <= hi), x)
+        aggs += [F.count(F.when(x < lo, 1)).alias(f"b{j}"), F.count(inside).alias(f"i{j}"), F.min(inside).alias(f"mn{j}"),
+                 F.max(inside).alias(f"mx{j}"), F.max(F.when(x < lo, x)).alias(f"less{j}"),
+                 F.min(F.when(x > hi, x)).alias(f"more{j}"), _sketch(inside).alias(f"sk{j}")]
+    seen = rows.groupBy("g").agg(*aggs)
+    seen = seen.select("g", *[f"{e}{j}" for j in js for e in ("b", "i", "mn", "mx", "less", "more")],
+                       *[_at(F.col(f"sk{j}"), [i / GRID for i in range(GRID + 1)]).alias(f"grid{j}") for j in js])
+    out = open_.join(seen, "g")
+    cols = [F.col(c) for c in ("g", "n", "min", "max", "whole")]
+    for j, p in enumerate(probs):
+        rank, below, inside = F.col(f"r{j}"), F.col(f"b{j}"), F.col(f"i{j}")
+        lo, hi, mn, mx, less, more, from_, to = (F.col(f"{e}{j}") for e in ("lo", "hi", "mn", "mx", "less", "more", "from", "to"))
+        done = F.col(f"q{j}").isNotNull() | F.col(f"narrow{j}")
+        last = F.least(rank + 1, F.col("n") - 1)  # the second order statistic
+        end = below + inside
+        hit = (below <= rank) & (last < end)
+        part = F.lit(p) * (F.col("n") - 1) - rank
+        value = (F.when(hit & (mn == mx), mn)
+                 .when((rank < below) & (last >= below) & (inside > 0), _interpolated(less, mn, part))  # on both sides of an end
+                 .when((rank < end) & (last >= end) & (inside > 0), _interpolated(mx, more, part))
+                 .when((rank < below) & (last >= below), _interpolated(less, more, part)))
+        narrow = hit & (inside <= small)
+        grid = F.col(f"grid{j}")
+        # relative ranks of the two order statistics inside the bracket, widened
+        a = F.floor(((rank - below) / inside - SLACK) * GRID).cast("int")
+        b = F.ceil(((last + 1 - below) / inside + SLACK) * GRID).cast("int")
+        next_lo = F.greatest(F.get(grid, F.greatest(a, F.lit(0))), mn)
+        next_hi = F.least(F.get(grid, F.least(b, F.lit(GRID))), mx)
+        stuck = (next_lo <= mn) & (next_hi >= mx)
+        cols += [rank.alias(f"r{j}"),
+                 F.when(done, F.col(f"q{j}")).otherwise(value).alias(f"q{j}"),
+                 F.when(done, F.col(f"narrow{j}")).otherwise(narrow & value.isNull()).alias(f"narrow{j}"),
+                 F.when(done, F.col(f"below{j}")).otherwise(below).alias(f"below{j}"),
+                 F.when(done | narrow, lo).when(hit, F.when(stuck, mn).otherwise(next_lo)).when(last < below, from_).otherwise(more).alias(f"lo{j}"),
+                 F.when(done | narrow, hi).when(hit, F.when(stuck, mn / 2 + mx / 2).otherwise(next_hi)).when(last < below, less).otherwise(to).alias(f"hi{j}"),
+                 F.when(hit, mn).when(last < below, from_).otherwise(F.coalesce(more, from_)).alias(f"from{j}"),
+                 F.when(hit, mx).when(last < below, F.coalesce(less, to)).otherwise(to).alias(f"to{j}")]
+    return out.select(*cols)
+
+
+def _settled(src: DataFrame, state: DataFrame, probs: list[float]) -> DataFrame:
+    """Pick the order statistics from the distinct values of narrow brackets."""
+    js = range(len(probs))
+    part = [F.lit(p) * (F.col("n") - 1) - F.col(f"r{j}") for j, p in enumerate(probs)]
+    open_ = state.where(F.col("whole") | reduce(lambda a, b: a | b, [F.col(f"q{j}").isNull() for j in js]))
+    x = F.col("x")
+    holds = F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.array_compact(F.array(*[F.when(
+        F.col(f"q{j}").isNull() & (x >= F.col(f"lo{j}")) & (x <= F.col(f"hi{j}")), F.lit(j)) for j in js])))
+    counts = (src.join(open_.select("g", "whole", *[f"{e}{j}" for j in js for e in ("q", "lo", "hi")]), "g")
+              .select("g", "x", F.explode(holds).alias("b")).groupBy("g", "b", "x").agg(F.count("*").alias("c")))
+    order = Window.partitionBy("g", "b").orderBy("x")
+    placed = counts.withColumn("upto", F.sum("c").over(order)).join(
+        open_.select("g", "n", "whole", *[f"{e}{j}" for j in js for e in ("r", "below")]), "g")
+    picks = []
+    for j in js:
+        mine = F.col("whole") | (F.col("b") == j)
+        upto = F.col("upto") + F.when(F.col("whole"), F.lit(0)).otherwise(F.col(f"below{j}"))
+        for name, rank in (("u", F.col(f"r{j}")), ("v", F.least(F.col(f"r{j}") + 1, F.col("n") - 1))):
+            picks.append(F.max(F.when(mine & (upto - F.col("c") <= rank) & (rank < upto), x)).alias(f"{name}{j}"))
+    picked = placed.groupBy("g").agg(*picks)
+    return state.join(picked, "g", "left").select("g", "n", "min", "max", *[
+        F.coalesce(F.when(~F.col("whole"), F.col(f"q{j}")), _interpolated(F.col(f"u{j}"), F.col(f"v{j}"), part[j])).alias(f"q{j}")
+        for j in js])
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], extra_aggs: list | None = None,
+                    small: int | None = None):
+    """``({(column, p): value}, first_aggregate_row)`` over the whole frame; NaN/NULL are
+    ignored.  ``extra_aggs`` ride along with the sketches; the driver sees a few numbers
+    a column and probability."""
+    spark = df.sparkSession
+    small = SMALL if small is None else small
+    vals = {c: _number(c) for c in columns}
+    ranks = [p + s for p in probs for s in (-SLACK, SLACK)]
+    sketches = [_sketch(vals[c]).alias(f"_kll{i}") for i, c in enumerate(columns)]
+    got = df.agg(*[F.count(vals[c]).alias(f"n{i}") for i, c in enumerate(columns)], *sketches, *(extra_aggs or []))
+    row = got.select(*[c for c in got.columns if not c.startswith("_kll")],
+                     *[_at(F.col(f"_kll{i}"), ranks).alias(f"b{i}") for i in range(len(columns))]).first()
     out: dict = {}
-    # entry: (column, p, n, r0, r1, lo, hi)
     entries = []
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
@@ -59,164 +169,50 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], acc:
             if not n:
                 out[(c, p)] = None
                 continue
-            b = row[f"b{i}"]
-            pos = p * (n - 1)
-            entries.append([c, p, n, math.floor(pos), math.ceil(pos), b[j],
-                            b[len(probs) + j]])
+            at = math.floor(p * (n - 1))
+            entries.append((c, p, n, at, min(at + 1, n - 1), row[f"b{i}"][2 * j], row[f"b{i}"][2 * j + 1]))
     stats = []
-    for k, (c, p, n, r0, r1, lo, hi) in enumerate(entries):
-        x = vals[c]
-        inside, lo_c = _in(x, lo, hi)
-        stats += [F.count(F.when(x < lo_c, 1)).alias(f"below{k}"),
-                  F.count(F.when(inside, 1)).alias(f"in{k}"),
-                  F.min(F.when(inside, x)).alias(f"mn{k}"),
-                  F.max(F.when(inside, x)).alias(f"mx{k}")]
+    for k, (c, _, _, _, _, lo, hi) in enumerate(entries):
+        inside = F.when((vals[c] >= lo) & (vals[c] <= hi), vals[c])
+        stats += [F.count(F.when(vals[c] < lo, 1)).alias(f"below{k}"), F.count(inside).alias(f"in{k}"),
+                  F.min(inside).alias(f"mn{k}"), F.max(inside).alias(f"mx{k}")]
     st = df.agg(*stats).first() if stats else None
-    small, hard = [], set()
+    narrow, hard = [], set()
     for k, (c, p, n, r0, r1, lo, hi) in enumerate(entries):
         below, inside = st[f"below{k}"], st[f"in{k}"]
-        if not (below <= r0 and r1 < below + inside) or inside > max_collect:
-            hard.add(c)              # sketch missed or bracket still large
+        if not (below <= r0 and r1 < below + inside):
+            hard.add(c)
         elif st[f"mn{k}"] == st[f"mx{k}"]:
-            out[(c, p)] = st[f"mn{k}"]        # all tied: exact already
+            out[(c, p)] = st[f"mn{k}"]
+        elif inside > small:
+            hard.add(c)
         else:
-            small.append((c, p, n, r0, r1, lo, hi, below))
-    small = [t for t in small if t[0] not in hard]
-    if small:
-        _resolve_small(df, vals, small, out)
-    # rare path: deterministic histogram narrowing (always converges)
+            narrow.append((k, c, p, n, r0, r1, lo, hi, below))
+    if narrow:
+        out.update(_picked(spark, df, vals, narrow))
     for c in sorted(hard):
-        g = grouped_exact_quantiles(df.select(F.lit("all").alias("_g"), F.col(c)), "_g", c,
-                                    probs, acc, max_collect)
-        for p in probs:
-            out[(c, p)] = g.get(("all", p))
-    del max_rounds
+        settled = group_quantiles(df.select(F.lit("all").alias("_g"), F.col(c)), "_g", c, probs, small).first()
+        out.update({(c, p): settled[f"q{j}"] for j, p in enumerate(probs)})
     return out, row
 
 
-def _resolve_small(df, vals, small, out):
-    per_col: dict = {}
-    for c, p, n, r0, r1, lo, hi, below in small:
-        per_col.setdefault(c, []).append(_in(vals[c], lo, hi)[0])
+def _picked(spark, df: DataFrame, vals: dict, narrow: list[tuple]) -> dict:
+    """Values at the ranks of narrow brackets (a row a column and probability)."""
+    table = spark.createDataFrame([(k, float(lo), float(hi), r0, r1, below) for k, _, _, _, r0, r1, lo, hi, below in narrow],
+                                  "k int, lo double, hi double, r0 long, r1 long, below long")
     parts = []
-    for c, conds in per_col.items():
-        cond = reduce(lambda a, b: a | b, conds)
-        parts.append(df.select(vals[c].alias("v")).where(cond).groupBy("v").agg(
-            F.count(F.lit(1)).alias("c")).select(F.lit(c).alias("col"), "v", "c"))
-    rows = reduce(lambda a, b: a.unionByName(b), parts).collect()
-    by_col: dict = {}
-    for r in rows:
-        by_col.setdefault(r["col"], []).append((r["v"], r["c"]))
-    for c, p, n, r0, r1, lo, hi, below in small:
-        lo_v = -math.inf if lo is None else lo
-        hi_v = math.inf if hi is None else hi
-        cum = below
-        v0 = v1 = None
-        for v, cnt in sorted(t for t in by_col.get(c, []) if lo_v <= t[0] <= hi_v):
-            if v0 is None and cum <= r0 < cum + cnt:
-                v0 = v
-            if v1 is None and cum <= r1 < cum + cnt:
-                v1 = v
-            cum += cnt
-        out[(c, p)] = v0 + (v1 - v0) * (p * (n - 1) - r0)
-
-
-def grouped_exact_quantiles(df: DataFrame, group: str, column: str, probs: list[float],
-                            acc: int = 10000, max_collect: int = MAX_COLLECT, bins: int = 1024,
-                            max_rounds: int = 12, stats: dict | None = None) -> dict:
-    """Exact per-group quantiles ``{(group_value, p): value}``.
-
-    Pass 1 sketches every group (``percentile_approx`` grouped, bounded per
-    group).  The brackets form a small table — one row per (group, p) — that
-    is broadcast and joined to the rows, so every pass is a plain grouped
-    aggregate: counts below / inside and min / max inside each bracket.  A
-    bracket with all-equal values is resolved directly; a small one is
-    resolved from its (value, count) pairs; a large one is split into
-    ``bins`` equal-width bins whose counts locate the wanted ranks and become
-    the next, narrower bracket.  No task ever holds a group's values."""
-    spark = df.sparkSession
-    x = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
-    src = df.select(F.col(group).cast("string").alias("g"), x.alias("x")).where(
-        F.col("g").isNotNull() & F.col("x").isNotNull())
-    w = 2.0 / acc
-    ps = [max(0.0, p - w) for p in probs] + [min(1.0, p + w) for p in probs]
-    first = src.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
-                                 F.max("x").alias("mx"),
-                                 F.percentile_approx("x", ps, acc).alias("b")).collect()
-    if stats is not None:       # per-group (n, min, max) ride along with the sketch
-        stats.update({r["g"]: (r["n"], r["mn"], r["mx"]) for r in first})
-    out: dict = {}
-    entries = []   # (g, p, n, r0, r1, lo, hi)
-    for r in first:
-        for j, p in enumerate(probs):
-            pos = p * (r["n"] - 1)
-            entries.append((r["g"], p, r["n"], math.floor(pos), math.ceil(pos),
-                            r["b"][j], r["b"][len(probs) + j]))
-    for _round in range(max_rounds):
-        if not entries:
-            return out
-        table = spark.createDataFrame(
-            [(k, e[0], float(e[5]), float(e[6])) for k, e in enumerate(entries)],
-            "k int, g string, lo double, hi double")
-        long = src.join(F.broadcast(table), "g")       # ≤ #groups × #probs rows broadcast
-        inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-        st = {r["k"]: r for r in long.groupBy("k").agg(
-            F.count(F.when(F.col("x") < F.col("lo"), 1)).alias("below"),
-            F.count(F.when(inside, 1)).alias("inside"),
-            F.min(F.when(inside, F.col("x"))).alias("mn"),
-            F.max(F.when(inside, F.col("x"))).alias("mx")).collect()}
-        small, big, nxt = [], [], []
-        for k, (g, p, n, r0, r1, lo, hi) in enumerate(entries):
-            s = st.get(k)
-            below = s["below"] if s else 0
-            ins = s["inside"] if s else 0
-            if not (below <= r0 and r1 < below + ins):
-                nxt.append((g, p, n, r0, r1, -math.inf, math.inf))
-            elif s["mn"] == s["mx"]:
-                out[(g, p)] = s["mn"]
-            elif ins <= max_collect:
-                small.append((k, g, p, n, r0, r1, below))
-            else:
-                big.append((k, g, p, n, r0, r1, below, s["mn"], s["mx"]))
-        if small:
-            keys = [t[0] for t in small]
-            rows = (long.where(inside & F.col("k").isin(keys)).groupBy("k", "x")
-                    .agg(F.count(F.lit(1)).alias("c")).collect())
-            by_k: dict = {}
-            for r in rows:
-                by_k.setdefault(r["k"], []).append((r["x"], r["c"]))
-            for k, g, p, n, r0, r1, below in small:
-                cum, v0, v1 = below, None, None
-                for v, c in sorted(by_k.get(k, [])):
-                    if v0 is None and cum <= r0 < cum + c:
-                        v0 = v
-                    if v1 is None and cum <= r1 < cum + c:
-                        v1 = v
-                    cum += c
-                out[(g, p)] = v0 + (v1 - v0) * (p * (n - 1) - r0)
-        if big:
-            keys = [t[0] for t in big]
-            span = {t[0]: (t[7], t[8]) for t in big}
-            lo_map = F.create_map(*[e for k in keys for e in (F.lit(k), F.lit(float(span[k][0])))])
-            hi_map = F.create_map(*[e for k in keys for e in (F.lit(k), F.lit(float(span[k][1])))])
-            lo_k, hi_k = lo_map[F.col("k")], hi_map[F.col("k")]
-            b = F.least(F.floor((F.col("x") - lo_k) / (hi_k - lo_k) * bins), F.lit(bins - 1))
-            hist = (long.where(inside & F.col("k").isin(keys)).groupBy("k", b.alias("bin"))
-                    .agg(F.count(F.lit(1)).alias("c")).collect())     # ≤ bins rows per bracket
-            by_k = {}
-            for r in hist:
-                by_k.setdefault(r["k"], []).append((r["bin"], r["c"]))
-            for k, g, p, n, r0, r1, below, mn, mx in big:
-                cum, b0, b1 = below, None, None
-                for bi, c in sorted(by_k.get(k, [])):
-                    if b0 is None and cum <= r0 < cum + c:
-                        b0 = bi
-                    if b1 is None and cum <= r1 < cum + c:
-                        b1 = bi
-                    cum += c
-                width = (mx - mn) / bins
-                new_lo = mn + b0 * width
-                new_hi = mx if b1 == bins - 1 else mn + (b1 + 1) * width
-                nxt.append((g, p, n, r0, r1, new_lo, new_hi))
-        entries = nxt
-    raise RuntimeError("grouped exact quantile did not converge")
+    for c in dict.fromkeys(t[1] for t in narrow):
+        mine = [t for t in narrow if t[1] == c]
+        holds = F.array_compact(F.array(*[F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.lit(k))
+                                          for k, _, _, _, _, _, lo, hi, _ in mine]))
+        parts.append(df.select(vals[c].alias("v")).where(reduce(lambda a, b: a | b, [
+            (F.col("v") >= lo) & (F.col("v") <= hi) for *_, lo, hi, _ in mine])).select("v", F.explode(holds).alias("k")))
+    counts = reduce(lambda a, b: a.unionByName(b), parts).groupBy("k", "v").agg(F.count("*").alias("c"))
+    upto = (counts.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("v")))
+            .join(F.broadcast(table), "k").withColumn("upto", F.col("upto") + F.col("below")))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("c") <= F.col(rank)) & (F.col(rank) < F.col("upto")), F.col("v")))
+
+    found = {r["k"]: r for r in upto.groupBy("k").agg(at("r0").alias("v0"), at("r1").alias("v1")).collect()}
+    return {(c, p): _interpolated(found[k]["v0"], found[k]["v1"], p * (n - 1) - r0) for k, c, p, n, r0, *_ in narrow}

@@ -1,174 +1,179 @@
 """Exact DBSCAN (Euclidean, on population z-scores; min_samples counts the
-point itself; noise = −1).
-
-Distributed plan:
-
-1. Identical points collapse into one weighted point (``groupBy`` on the
-   scaled coordinates, map-side combined) — a value repeated a billion
-   times is one row with weight 1e9.
-2. Space is cut into ``slabs`` along the first axis at approximate
-   quantiles (bounded boundary array).  Every point lives in its home slab
-   and is copied into the neighbouring slabs whose range is within ``eps``
-   (the halo), so each slab sees every neighbour of its home points.
-3. Per slab (``applyInPandas``): neighbour weight sums for home points by
-   blocked numpy distances → core flags (exact).  Flags are joined back to
-   all copies.
-4. Per slab again: connected components of core points (edges d ≤ eps),
-   border points take the smallest neighbouring core label.
-5. Local clusters that share a core point are merged by connected
-   components over the label graph (iterative min-label propagation in
-   Spark, lineage cut with ``checkpoint()`` — the graph has one node per
-   local cluster, far fewer than points).
-6. Final ids are dense 0..k−1 ordered by each cluster's smallest point.
-
-Work inside a slab is quadratic in the slab's (weighted-unique) point
-count — bounded by choosing enough slabs; exactness never depends on it.
+point itself; noise = -1) on a grid.
+
+1. Identical points collapse into one weighted point (map-side combined).
+2. Space is cut into cells of side ``eps / sqrt(d)``: points of one cell are within
+   ``eps`` of each other.  A cell of weight ``min_samples`` or more is *dense*, all its
+   points are core at once.
+3. Other cells hold fewer than ``min_samples`` points, so only those few visit the
+   neighbouring cells to be counted: a join on the cell, at most neighbours x
+   ``min_samples`` visitors a point.  Cells of more than ``SALT_ROWS`` points are cut into
+   salts, which every visitor of the cell visits.
+4. Core cells are the nodes of a graph.  Two neighbouring ones are linked when some
+   pair of their core points is within ``eps``.  Boxes decide: tight bounding boxes of
+   the cells' points, then of their sub-cells, halved level by level, for the pairs
+   that are neither certainly within (farthest corners) nor certainly beyond (nearest
+   faces).  So two cells of a million points each are linked without their pairs.
+5. Components of the cell graph are the clusters; a point that is not core joins the
+   first cluster with a core point within ``eps``.
+6. Clusters are numbered by their smallest core point's coordinates.
+
+Everything is DataFrame joins and aggregates.  Neighbouring cells are found through
+their first ``GRID_DIMS`` coordinates and checked on all.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attrix.functions.graph import components
+from attrix.functions.rank import with_row_number
 from attrix.ml.basics import complete_rows, require_rows
 from attrix.ml.models import scaler_stats
-from attrix.session import ensure_checkpoint_dir, partitions_for, ship_package
+from attrix.session import ensure_checkpoint_dir, stash
 
-BLOCK = 2048
+SALT_ROWS, GRID_DIMS = 100_000, 2
 
 
-def _zcols(d):
+def _zcols(d: int) -> list[str]:
     return [f"z{i}" for i in range(d)]
 
 
-def _core_flags(d: int, eps: float, min_samples: int):
-    zc = _zcols(d)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = pdf[zc].to_numpy(dtype=float)
-        w = pdf["w"].to_numpy(dtype=float)
-        home = pdf["home"].to_numpy(dtype=bool)
-        hi = np.flatnonzero(home)
-        counts = np.zeros(len(hi))
-        e2 = eps * eps
-        for s in range(0, len(hi), BLOCK):
-            q = X[hi[s:s + BLOCK]]
-            counts[s:s + BLOCK] = (_d2(q, X) <= e2) @ w
-        return pd.DataFrame({"pid": pdf["pid"].to_numpy()[hi], "core": counts >= min_samples})
-    return fn
-
+def _squares(a: list[Column], b: list[Column]) -> Column:
+    return sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0))
 
-def _d2(q, X):
-    return np.maximum((q * q).sum(1)[:, None] - 2 * q @ X.T + (X * X).sum(1)[None, :], 0.0)
 
+def _all(columns: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & c
+    return out
 
-def _local_clusters(d: int, eps: float):
-    zc = _zcols(d)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        slab = int(pdf["slab"].iloc[0])
-        X = pdf[zc].to_numpy(dtype=float)
-        core = pdf["core"].to_numpy(dtype=bool)
-        home = pdf["home"].to_numpy(dtype=bool)
-        pid = pdf["pid"].to_numpy()
-        ci = np.flatnonzero(core)
-        e2 = eps * eps
-        lab = np.arange(len(ci))
-        C = X[ci]
-        # min-label propagation with pointer jumping until stable
-        changed = True
-        while changed and len(ci):
-            changed = False
-            new = lab.copy()
-            for s in range(0, len(ci), BLOCK):
-                adj = _d2(C[s:s + BLOCK], C) <= e2
-                m = np.where(adj, lab[None, :], np.iinfo(np.int64).max).min(axis=1)
-                new[s:s + BLOCK] = np.minimum(new[s:s + BLOCK], m)
-            new = new[new]
-            if not np.array_equal(new, lab):
-                changed = True
-                lab = new
-        rows_pid, rows_label, rows_core = [], [], []
-        base = np.int64(slab) << np.int64(32)
-        for k, i in enumerate(ci):
-            rows_pid.append(pid[i])
-            rows_label.append(int(base + lab[k]))
-            rows_core.append(True)
-        # border points: home, not core, nearest label = smallest core label within eps
-        bi = np.flatnonzero(home & ~core)
-        if len(bi) and len(ci):
-            for s in range(0, len(bi), BLOCK):
-                adj = _d2(X[bi[s:s + BLOCK]], C) <= e2
-                m = np.where(adj, lab[None, :], np.iinfo(np.int64).max).min(axis=1)
-                for j, v in zip(bi[s:s + BLOCK], m):
-                    if v != np.iinfo(np.int64).max:
-                        rows_pid.append(pid[j])
-                        rows_label.append(int(base + v))
-                        rows_core.append(False)
-        return pd.DataFrame({"pid": np.array(rows_pid, dtype=np.int64),
-                             "label": np.array(rows_label, dtype=np.int64),
-                             "core": np.array(rows_core, dtype=bool)})
-    return fn
+def _box(d: int) -> list[Column]:
+    return [e for i in range(d) for e in (F.min(f"z{i}").alias(f"lo{i}"), F.max(f"z{i}").alias(f"hi{i}"))]
+
+
+def _box_distances(d: int) -> tuple[Column, Column]:
+    """Least and greatest squared distance of boxes ``a`` and ``b`` (prefixes)."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for i in range(d):
+        alo, ahi, blo, bhi = (F.col(f"{s}{e}{i}") for s in "ab" for e in ("lo", "hi"))
+        gap = F.greatest(blo - ahi, alo - bhi, F.lit(0.0))
+        wide = F.greatest(bhi - alo, ahi - blo)
+        near, far = near + gap * gap, far + wide * wide
+    return near, far
+
+
+def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
+
+
+def _cell_pairs(cells: DataFrame, d: int) -> DataFrame:
+    """``acell, bcell``: cells whose points may be within eps, each with itself too."""
+    g = min(d, GRID_DIMS)
+    reach = int(d ** 0.5) + 1
+    # the gap between two cells is (|offset| - 1) sides; eps is sqrt(d) sides
+    near = [o for o in product(range(-reach, reach + 1), repeat=g) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= d]
+    offsets = F.array(*[F.struct(*[F.lit(x).cast("long").alias(f"o{i}") for i, x in enumerate(o)]) for o in near])
+    at = [f"k{i}" for i in range(d)]
+    a = cells.select(F.col("cell").alias("acell"), *[F.col(k).alias(f"a{k}") for k in at], F.explode(offsets).alias("o")).select(
+        "acell", *[f"a{k}" for k in at], *[(F.col(f"ak{i}") + F.col(f"o.o{i}")).alias(f"k{i}") for i in range(g)])
+    b = cells.select(F.col("cell").alias("bcell"), *at)
+    joined = a.join(b, at[:g])
+    gap = sum((F.pow(F.greatest(F.abs(F.col(f"ak{i}") - F.col(f"k{i}")) - 1, F.lit(0)), F.lit(2)) for i in range(d)), F.lit(0.0))
+    return joined.where(gap <= d).select("acell", "bcell")
+
+
+def _linked_cells(core: DataFrame, pairs: DataFrame, d: int, side: float, e2: float) -> DataFrame:
+    """``u, v``: neighbouring core cells with a pair of points within eps."""
+    near, far = _box_distances(d)
+    open_ = pairs.where("acell < bcell").select("acell", "bcell", F.lit("").alias("apart"), F.lit("").alias("bpart"))
+    found, level = None, 0
+    while True:
+        # sub-cells by halving: two letters a level and dimension would do, the index is plainer
+        width = side / 2 ** level
+        part = F.concat_ws(",", *[F.floor(F.col(f"z{i}") / width).cast("string") for i in range(d)]) if level else F.lit("")
+        up = (F.concat_ws(",", *[F.floor(F.col(f"z{i}") / (2 * width)).cast("string") for i in range(d)]) if level > 1 else F.lit(""))
+        wanted = open_.select(F.col("acell").alias("cell"), F.col("apart").alias("up")).unionByName(
+            open_.select(F.col("bcell").alias("cell"), F.col("bpart").alias("up"))).distinct()
+        boxes = stash(core.withColumn("part", part).withColumn("up", up).join(wanted, ["cell", "up"], "left_semi")
+                      .groupBy("cell", "up", "part").agg(*_box(d), F.count("*").alias("n")), "boxes")
+        a = _prefixed(boxes, "a", [])
+        b = _prefixed(boxes, "b", [])
+        tried = (open_.withColumnRenamed("apart", "aup").withColumnRenamed("bpart", "bup")
+                 .join(a, ["acell", "aup"]).join(b, ["bcell", "bup"])
+                 .select("acell", "bcell", "apart", "bpart", near.alias("near"), far.alias("far")))
+        # boxes of one point each are decided by near = far
+        tried = stash(tried.where(F.col("near") <= e2), "tried")
+        sure = tried.where(F.col("far") <= e2).select(F.col("acell").alias("u"), F.col("bcell").alias("v")).distinct()
+        found = sure if found is None else found.unionByName(sure)
+        left = tried.join(sure.select(F.col("u").alias("acell"), F.col("v").alias("bcell")), ["acell", "bcell"], "left_anti")
+        open_ = stash(left.where(F.col("far") > e2).select("acell", "bcell", "apart", "bpart"), "open")
+        if open_.isEmpty():
+            return found
+        level += 1
 
 
 def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5,
-           keep: list[str] | None = None, slabs: int | None = None) -> DataFrame:
-    """Rows (keep + features) with ``cluster`` (−1 = noise) and ``is_core``."""
+           keep: list[str] | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Rows (keep + features) with ``cluster`` (-1 = noise) and ``is_core``."""
     keep = list(keep or [])
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     src = complete_rows(df, features)
     require_rows(src, "clustering")
-    d = len(features)
+    d, e2 = len(features), eps * eps
+    # slightly smaller cells: a cell's corners are within eps whatever the rounding
+    side = eps / d ** 0.5 * (1 - 1e-9)
     stats = scaler_stats(src, features)
     zc = _zcols(d)
-    zexpr = [((F.col(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"z{i}")
-             for i, (c, (m, s)) in enumerate(zip(features, stats))]
-    rows = src.select(*keep, *features, *zexpr).withColumn("pid", F.xxhash64(*zc))
-    pts = rows.groupBy("pid", *zc).agg(F.count(F.lit(1)).alias("w"))
-    # enough slabs to keep each slab's quadratic work small (one scalar count)
-    S = slabs or partitions_for(pts.count(), 20_000)
-    probs = [i / S for i in range(1, S)]
-    bounds = (pts.select(F.percentile_approx("z0", probs, 10000).alias("b")).scalar() if probs
-              else F.array().cast("array<double>"))
-    slab_of = lambda x: F.size(F.filter(F.col("_b"), lambda b: b < x))
-    copies = (pts.withColumn("_b", bounds)
-              .withColumn("home_slab", slab_of(F.col("z0")))
-              .withColumn("s_lo", slab_of(F.col("z0") - eps))
-              .withColumn("s_hi", slab_of(F.col("z0") + eps))
-              .select("pid", *zc, "w", "home_slab",
-                      F.explode(F.sequence("s_lo", "s_hi")).alias("slab"))
-              .withColumn("home", F.col("slab") == F.col("home_slab")).drop("home_slab"))
-    schema_core = "pid long, core boolean"
-    core = copies.groupBy("slab").applyInPandas(_core_flags(d, eps, min_samples), schema_core)
-    flagged = copies.join(core, "pid")
-    local = flagged.groupBy("slab").applyInPandas(_local_clusters(d, eps),
-                                                  "pid long, label long, core boolean")
-    local = local.checkpoint(eager=True)
-    core_labels = local.where("core")
-    # merge: a core point seen in several slabs links their local labels
-    per_pid = core_labels.groupBy("pid").agg(F.min("label").alias("a"),
-                                             F.collect_set("label").alias("ls"))
-    edges = per_pid.select("a", F.explode("ls").alias("b")).where(F.col("a") != F.col("b"))
-    linked = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    comp = (core_labels.select("label").distinct()
-            .join(linked, F.col("label") == F.col("node"), "left")
-            .select("label", F.coalesce("component", "label").alias("comp")))
-    # final label per point: core points by their own label; border points
-    # by the smallest component among their candidate labels
-    lab = local.join(comp, "label").groupBy("pid").agg(
-        F.min("comp").alias("comp"), F.max(F.col("core").cast("int")).alias("core"))
-    first_pid = lab.groupBy("comp").agg(F.min("pid").alias("first"))
-    dense = first_pid.select("comp", (F.dense_rank().over(Window.orderBy("first")) - 1).alias(
-        "cluster"))   # one row per cluster
-    labelled = lab.join(dense, "comp").select("pid", "cluster",
-                                              (F.col("core") == 1).alias("is_core"))
-    out = rows.join(labelled, "pid", "left").select(
+    rows = src.select(*keep, *features, *[((F.col(c).cast("double") - F.lit(m)) / F.lit(s) + F.lit(0.0)).alias(z)
+                                          for z, c, (m, s) in zip(zc, features, stats)])
+    at = [f"k{i}" for i in range(d)]
+    weighed = rows.groupBy(*zc).agg(F.count("*").alias("w")).withColumns(
+        {k: F.floor(F.col(z) / side).cast("long") for k, z in zip(at, zc)})
+    found = stash(weighed.groupBy(*at).agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
+                  .withColumn("cell", F.monotonically_increasing_id()), "cells")
+    pts = stash(weighed.join(found.select("cell", "weight", "n", *at), at).drop(*at)
+                .withColumn("pid", F.monotonically_increasing_id())
+                .withColumn("dense", F.col("weight") >= min_samples)
+                .withColumn("salts", F.ceil(F.col("n") / salt_rows).cast("int"))
+                .withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("salts")).cast("int")), "points")
+    pairs = stash(_cell_pairs(found, d), "pairs")
+    sizes = found.select(F.col("cell").alias("bcell"), F.ceil(F.col("n") / salt_rows).cast("int").alias("bsalts"))
+
+    def visits(points: DataFrame, to: DataFrame) -> DataFrame:
+        """Points with each neighbouring cell, all its salts, of those in ``to``."""
+        v = points.select("pid", F.col("cell").alias("acell"), *[F.col(z).alias(f"a{z}") for z in zc])
+        return (v.join(pairs, "acell").join(to, "bcell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("bsalts") - 1)))
+                .withColumnRenamed("bcell", "cell"))
+
+    within = _squares([F.col(f"a{z}") for z in zc], [F.col(z) for z in zc]) <= e2
+    few = pts.where(~F.col("dense"))
+    targets = pts.select("cell", "salt", "w", *zc)
+    counted = (visits(few, sizes).join(targets, ["cell", "salt"]).where(within)
+               .groupBy("pid").agg(F.sum("w").alias("around")).where(F.col("around") >= min_samples))
+    flagged = stash(pts.join(counted.select("pid", F.lit(True).alias("_met")), "pid", "left")
+                    .withColumn("core", F.col("dense") | F.coalesce("_met", F.lit(False))).drop("_met"), "flagged")
+    core = flagged.where("core")
+    core_cells = core.select("cell").distinct()
+    between = (pairs.join(core_cells.withColumnRenamed("cell", "acell"), "acell", "left_semi")
+               .join(core_cells.withColumnRenamed("cell", "bcell"), "bcell", "left_semi"))
+    label = components(_linked_cells(core, between, d, side, e2))
+    of_cell = core_cells.join(label, core_cells["cell"] == label["node"], "left").select(
+        "cell", F.coalesce("component", "cell").alias("comp"))
+    first = core.join(of_cell, "cell").groupBy("comp").agg(F.min(F.struct(*zc)).alias("first"))
+    numbered = stash(with_row_number(first, [F.col("first")], "number").select(
+        "comp", (F.col("number") - 1).cast("int").alias("cluster")), "clusters")
+    of_cell = stash(of_cell.join(numbered, "comp").select("cell", "cluster"), "of-cell")
+    near_core = (visits(flagged.where(~F.col("core")), sizes.join(of_cell.withColumnRenamed("cell", "bcell"), "bcell"))
+                 .join(core.select("cell", "salt", *zc), ["cell", "salt"]).where(within)
+                 .groupBy("pid").agg(F.min("cluster").alias("cluster")))
+    named = (core.join(of_cell, "cell").select(*zc, "cluster", F.lit(True).alias("is_core"))
+             .unionByName(flagged.where(~F.col("core")).join(near_core, "pid").select(*zc, "cluster", F.lit(False).alias("is_core"))))
+    return rows.join(named, zc, "left").select(
         *keep, *features, F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster"),
         F.coalesce(F.col("is_core"), F.lit(False)).alias("is_core"))
-    return out

@@ -18,9 +18,10 @@ Output layout (one row per key plus a leading total row)::
     contribution_pp, is_total, rank
 
 ``rank`` is 0 on the total row and 1.. by ``abs(delta)`` desc (ties by key).
-It is computed over the aggregated table (one row per dimension value),
-partitioned by dimension; pass ``rank=False`` to get a distributed global
-sort instead for very high-cardinality keys.
+It is computed over the aggregated table (one row per dimension value): with
+``top_n`` by a limit in every task, otherwise over ranges of the order
+(:mod:`attrix.functions.rank`), so that no dimension is ranked in one task
+unless the scanned files prove it small; ``rank=False`` sorts without numbers.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.functions.exprs import TOTAL_LABEL, safe_ratio_pct
+from attrix.functions.rank import fits_one_task, with_row_number
 from attrix.operators.periods import PeriodPair, in_period
+from attrix.session import stash
 
 METHODS = ("sum", "daily_avg")
 
@@ -95,10 +98,12 @@ def _total_measures(tot_b: Column, tot_t: Column) -> list[Column]:
     ]
 
 
-def _attach(agg: DataFrame, keys: list[Column], rank_partition: list[str], top_n, rank: bool,
+def _attach(agg: DataFrame, keys: list[Column], source: DataFrame, top_n, rank: bool,
             key_order: list[str]) -> DataFrame:
     """Detail rows (with totals from a reused-exchange scalar subquery) plus
-    the total row, ranked."""
+    the total row, ranked; ``agg`` is an aggregate of ``source``."""
+    spread = rank and top_n is None and not fits_one_task(source)
+    agg = stash(agg, "sums") if spread else agg  # ranking reads it twice
     tot = agg.select(
         F.struct(F.sum("base").alias("b"), F.sum("target").alias("t")).alias("tot")
     ).scalar()
@@ -110,10 +115,10 @@ def _attach(agg: DataFrame, keys: list[Column], rank_partition: list[str], top_n
         F.lit(False).alias("is_total"),
     )
     order = [F.abs(F.col("delta")).desc(), *[F.col(k).asc() for k in key_order]]
-    if rank or top_n is not None:
-        w = Window.partitionBy(*rank_partition).orderBy(*order) if rank_partition else \
-            Window.orderBy(*order)
-        detail = detail.withColumn("rank", F.row_number().over(w).cast("long"))
+    if spread:
+        detail = with_row_number(detail, order)
+    elif rank or top_n is not None:
+        detail = detail.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
         if top_n is not None:
             detail = detail.where(F.col("rank") <= top_n)
     total = agg.groupBy().agg(F.sum("base").alias("tb"), F.sum("target").alias("tt"))
@@ -134,7 +139,7 @@ def contribution(
     """Single-dimension attribution (AN1)."""
     agg = period_sums(df, [dimension], metric, date_col, periods, method, grain)
     agg = agg.select(F.col(dimension).cast("string").alias("value"), "base", "target")
-    detail, total, order = _attach(agg, [F.col("value")], [], top_n, rank, ["value"])
+    detail, total, order = _attach(agg, [F.col("value")], df, top_n, rank, ["value"])
     detail = detail.select(F.lit(dimension).alias("dimension"), "*")
     total_row = total.select(
         F.lit(dimension).alias("dimension"),
@@ -164,7 +169,7 @@ def multi_contribution(
     of the total row carries the total label."""
     agg = period_sums(df, dims, metric, date_col, periods, method, grain)
     agg = agg.select(*[F.col(d).cast("string").alias(d) for d in dims], "base", "target")
-    detail, total, order = _attach(agg, [F.col(d) for d in dims], [], top_n, rank, dims)
+    detail, total, order = _attach(agg, [F.col(d) for d in dims], df, top_n, rank, dims)
     total_row = total.select(
         *[F.lit(TOTAL_LABEL).alias(d) for d in dims],
         *_total_measures(F.coalesce(F.col("tb"), F.lit(0.0)), F.coalesce(F.col("tt"), F.lit(0.0))),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.functions.exprs import guarded_corr
-from attrix.functions.quantiles import exact_quantiles, grouped_exact_quantiles
+from attrix.functions.quantiles import group_quantiles
+from attrix.session import stash
 
 
 def _group_sum(df: DataFrame, dims: list[str], metric: str) -> DataFrame:
@@ -52,55 +53,33 @@ def box_summary(df: DataFrame, metric: str, dim: str | None = None, exact: bool
     linear interpolation, whiskers at the most extreme values within
     1.5·IQR of the box, number of outliers.
 
-    Quartiles are exact with bounded memory (iterative bracketing, see
-    ``functions.quantiles``) — a hot group never has its values gathered
-    in one task; ``exact=False`` uses the sketch quantiles directly.  The
-    quartiles form a small table (one row per group) that is broadcast to
-    the rows for the whisker / outlier pass."""
-    spark = df.sparkSession
-    gk = [dim] if dim else []
+    Quartiles are exact with bounded memory (see ``functions.quantiles``): a
+    hot group never has its values gathered in one task, and the quartiles are a
+    Spark table, one row per group, joined to the rows for the whisker / outlier
+    pass; ``exact=False`` uses the sketch quantiles directly."""
+    key = dim or "_all"
     x = F.col(metric).cast("double")
-    src = df.select(*[F.col(d).cast("string").alias(d) for d in gk], x.alias("m")).where(
-        F.col("m").isNotNull() & ~F.isnan("m"))
-    for d in gk:
-        src = src.where(F.col(d).isNotNull())
+    value = F.col(dim).cast("string") if dim else F.lit("all")
+    src = df.select(value.alias(key), x.alias("m")).where(F.col("m").isNotNull() & ~F.isnan("m") & F.col(key).isNotNull())
     probs = [0.25, 0.5, 0.75]
-    bschema = (f"`{dim}` string, " if dim else "") + "n long, min double, max double"
-    if exact and dim:
-        st: dict = {}
-        qs = grouped_exact_quantiles(src, dim, "m", probs, accuracy, stats=st)
-        groups = sorted({g for g, _ in qs})
-        qrows = [(g, qs[(g, 0.25)], qs[(g, 0.5)], qs[(g, 0.75)]) for g in groups]
-        base = spark.createDataFrame([(g, *st[g]) for g in groups], bschema)   # one row/group
-    elif exact:
-        qs, row = exact_quantiles(src, ["m"], probs, accuracy,
-                                  [F.min("m").alias("_mn"), F.max("m").alias("_mx")])
-        qrows = [(qs[("m", 0.25)], qs[("m", 0.5)], qs[("m", 0.75)])]
-        base = spark.createDataFrame([(row["n0"], row["_mn"], row["_mx"])], bschema)
+    if exact:
+        q = group_quantiles(src, key, "m", probs).select(
+            F.col("g").alias(key), "n", "min", "max", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     else:
-        base = src.groupBy(*gk).agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("min"),
-                                    F.max("m").alias("max"))
-        qrows = [tuple(([r[dim]] if dim else []) + list(r["q"])) for r in src.groupBy(*gk).agg(
-            F.percentile_approx("m", probs, accuracy).alias("q")).collect()]
-    qschema = (f"`{dim}` string, " if dim else "") + "q1 double, median double, q3 double"
-    q = spark.createDataFrame(qrows, qschema).withColumn("iqr", F.col("q3") - F.col("q1"))
-    fences = q.select(*gk, (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"),
-                      (F.col("q3") + 1.5 * F.col("iqr")).alias("hi"))
-    # one row per group: a bounded broadcast
-    joined = src.join(F.broadcast(fences), on=gk) if dim else src.crossJoin(F.broadcast(fences))
-    wh = joined.groupBy(*gk).agg(
+        q = src.groupBy(key).agg(F.count("*").alias("n"), F.min("m").alias("min"), F.max("m").alias("max"),
+                                 F.percentile_approx("m", probs, accuracy).alias("q"))
+        q = q.select(key, "n", "min", "max", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    q = stash(q.withColumn("iqr", F.col("q3") - F.col("q1")), "box")
+    lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
+    joined = src.join(q.select(key, lo.alias("lo"), hi.alias("hi")), key)
+    wh = joined.groupBy(key).agg(
         F.min(F.when(F.col("m") >= F.col("lo"), F.col("m"))).alias("whisker_low"),
         F.max(F.when(F.col("m") <= F.col("hi"), F.col("m"))).alias("whisker_high"),
         F.count(F.when((F.col("m") < F.col("lo")) | (F.col("m") > F.col("hi")), 1)).alias(
             "outliers"),
     )
-    if dim:
-        return base.join(q, dim).join(wh, dim).select(
-            dim, "n", "min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
-            "outliers")
-    return base.crossJoin(q).crossJoin(wh).select(
-        "n", "min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high",
-        "outliers")
+    return q.join(wh, key).select(
+        *([dim] if dim else []), "n", "min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers")
 
 
 def scatter_ols(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.functions.exprs import TOTAL_LABEL, period_label
+from attrix.functions.rank import with_row_number
 
 UNITS = ("day", "week", "month", "year")
 
@@ -99,9 +100,8 @@ def latest_dim_summary(
         F.avg("m").alias("mean"),
         F.count("m").alias("count"),
     )
-    w = Window.orderBy(F.col("sum").desc(), F.col("value").asc())
-    detail = per.select("value", "sum", "mean", "count", F.lit(False).alias("is_total"),
-                        F.row_number().over(w).cast("long").alias("rank"))
+    detail = with_row_number(per.select("value", "sum", "mean", "count", F.lit(False).alias("is_total")),
+                             [F.col("sum").desc(), F.col("value").asc()], source=df)
     total = latest.agg(
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("m"))), F.lit(0.0)).alias("sum"),
         F.avg("m").alias("mean"),

@@ -37,7 +37,7 @@ def describe(df: DataFrame, columns: list[str], exact: bool = True,
         ]
     probs = [0.25, 0.5, 0.75]
     if exact:
-        q, row = exact_quantiles(df, columns, probs, accuracy, moments)
+        q, row = exact_quantiles(df, columns, probs, moments)
     else:
         row = df.agg(*moments, *[F.percentile_approx(
             F.col(c).cast("double"), probs, accuracy).alias(f"pa{i}")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attrix.functions.exprs import safe_ratio_pct, sign_class
+from attrix.functions.rank import with_row_number
 
 
 def _d(date_col: str, grain: str):
@@ -60,5 +60,4 @@ def trend_growth(
         sign_class(change).alias("trend"),
         "points",
     )
-    w = Window.orderBy(F.abs(F.col("change")).desc(), F.col(dim).asc())
-    return out.withColumn("rank", F.row_number().over(w).cast("long"))
+    return with_row_number(out, [F.abs(F.col("change")).desc(), F.col(dim).asc()], source=df)

@@ -84,6 +84,28 @@ QUERIES = {
 # ---------------------------------------------------------------------------
 
 
+def report_sql(predictions: str) -> str:
+    """The classification report of a table expression with ``label, prediction``."""
+    return rounded_sql(f"""
+WITH r AS {predictions},
+     k AS (SELECT DISTINCT label AS cls FROM r UNION SELECT DISTINCT prediction FROM r),
+     s AS (SELECT cls,
+             count_if(r.label = cls AND r.prediction = cls) AS tp,
+             count_if(r.prediction = cls) AS pn,
+             count_if(r.label = cls) AS support FROM k, r GROUP BY cls),
+     m AS (SELECT cls, CASE WHEN pn > 0 THEN tp / pn ELSE 0.0 END AS precision,
+                  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+                  support, tp FROM s),
+     f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall
+                  / (precision + recall) ELSE 0.0 END AS f1 FROM m)
+SELECT cls AS class, precision, recall, f1, support::BIGINT AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, SUM(tp) / SUM(support), SUM(support)::BIGINT FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), SUM(support)::BIGINT FROM f
+UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support),
+       SUM(recall * support) / SUM(support), SUM(f1 * support) / SUM(support),
+       SUM(support)::BIGINT FROM f""", ["precision", "recall", "f1"])
+
+
 def _z_sql(keep):
     stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in Z_FEATURES)
     zs = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS {c}_z"
@@ -137,24 +159,7 @@ WITH c AS (SELECT DISTINCT label AS v FROM {RULE_SQL} UNION SELECT DISTINCT pred
      n AS (SELECT label, prediction, count(*) AS cnt FROM {RULE_SQL} GROUP BY ALL)
 SELECT a.v AS label, b.v AS prediction, COALESCE(cnt, 0)::BIGINT AS count
 FROM c a CROSS JOIN c b LEFT JOIN n ON n.label = a.v AND n.prediction = b.v""",
-    "class_report": rounded_sql(f"""
-WITH r AS {RULE_SQL},
-     k AS (SELECT DISTINCT label AS cls FROM r UNION SELECT DISTINCT prediction FROM r),
-     s AS (SELECT cls,
-             count_if(r.label = cls AND r.prediction = cls) AS tp,
-             count_if(r.prediction = cls) AS pn,
-             count_if(r.label = cls) AS support FROM k, r GROUP BY cls),
-     m AS (SELECT cls, CASE WHEN pn > 0 THEN tp / pn ELSE 0.0 END AS precision,
-                  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
-                  support, tp FROM s),
-     f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall
-                  / (precision + recall) ELSE 0.0 END AS f1 FROM m)
-SELECT cls AS class, precision, recall, f1, support::BIGINT AS support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, SUM(tp) / SUM(support), SUM(support)::BIGINT FROM f
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), SUM(support)::BIGINT FROM f
-UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support),
-       SUM(recall * support) / SUM(support), SUM(f1 * support) / SUM(support),
-       SUM(support)::BIGINT FROM f""", ["precision", "recall", "f1"]),
+    "class_report": report_sql(RULE_SQL),
     "cluster_stats": rounded_sql(" UNION ALL ".join(
         f"SELECT label AS cluster, 'e{i}' AS feature, avg(embedding[{i + 1}]::DOUBLE) AS mean, "
         f"stddev_samp(embedding[{i + 1}]::DOUBLE) AS std, count(embedding[{i + 1}]) AS count "

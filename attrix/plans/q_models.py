@@ -9,7 +9,8 @@ from attrix.ml import isoforest
 from attrix.ml import models as M
 from attrix.ml.basics import anomaly_summary
 from attrix.operators.normality import shapiro_wilk
-from attrix.plans.common import finalize, table
+from attrix.plans.common import finalize, rounded_sql, table
+from attrix.plans.q_ml_basic import report_sql
 
 PART_F = ["p_size", "p_retailprice"]
 CUST_F = ["c_acctbal", "c_nationkey"]
@@ -67,6 +68,15 @@ def _clf(alg, **kw):
     return q
 
 
+def _knn_predictions(s, sf):
+    """Every held-out vector with its vote among the five nearest, key by key."""
+    from attrix.ml.basics import train_test_split
+    from attrix.ml.knn import knn_classify
+
+    train, test = train_test_split(emb(s, sf), "vec_id")
+    return knn_classify(train, test, EMB_F, "label", 5, "vec_id", M.scaler_stats(train, EMB_F))
+
+
 def _pca(s, sf):
     return finalize(M.pca(emb(s, sf), EMB_F, 3).variance)
 
@@ -125,6 +135,7 @@ QUERIES = {
     "rf_clf": _clf("rf", n_estimators=100),
     "svm_linear": _clf("svm", C=1.0, max_iter=1000),
     "knn": _clf("knn", n_neighbors=5),
+    "knn_predictions": _knn_predictions,
     "dt_clf": _clf("dt", max_depth=5),
     "nb": _clf("nb"),
     "mlp_clf": _clf("mlp", hidden=50, max_iter=1000),
@@ -132,7 +143,25 @@ QUERIES = {
     "pca_loadings": _pca_loadings,
     "feat_importance": _feat_importance,
 }
+#: All pairs of held-out and training vectors, z-scored by the training rows.
+KNN_SQL = """(
+WITH e AS (SELECT vec_id, label::VARCHAR AS label, embedding::DOUBLE[] AS v,
+                  ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % 5 AS b FROM embeddings
+           WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x))) = 64),
+u AS (SELECT vec_id, b, i, v[i] AS x FROM e, range(1, 65) t(i)),
+st AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM u WHERE b <> 0 GROUP BY i),
+z AS (SELECT vec_id, list((x - m) / s ORDER BY i) AS z FROM u JOIN st USING (i) GROUP BY vec_id),
+f AS (SELECT e.vec_id, label, b, z.z FROM e JOIN z USING (vec_id)),
+n AS (SELECT q.vec_id, q.label, r.label AS near, row_number() OVER (
+          PARTITION BY q.vec_id ORDER BY list_distance(q.z, r.z), r.label) AS k
+      FROM f q JOIN f r ON q.b = 0 AND r.b <> 0 QUALIFY k <= 5),
+votes AS (SELECT vec_id, label, near, count(*) AS c FROM n GROUP BY ALL)
+SELECT vec_id, label, arg_min(near, [-c::VARCHAR::DOUBLE, r]) AS prediction
+FROM (SELECT *, (rank() OVER (ORDER BY near))::DOUBLE AS r FROM votes) GROUP BY vec_id, label)"""
+
 ORACLE: dict = {
+    "knn_predictions": f"SELECT * FROM {KNN_SQL}",
+    "knn": report_sql(KNN_SQL),
     "dbscan_partition": """
 WITH RECURSIVE st AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mn,
                              stddev_pop(c_nationkey) AS sn FROM customer),

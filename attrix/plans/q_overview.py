@@ -74,6 +74,8 @@ QUERIES = {
                                                        "p_retailprice", 10)),
     "box_summary": lambda s, sf: finalize(charts.box_summary(table(s, sf, "part"),
                                                              "p_retailprice", "p_type")),
+    "box_summary_parts": lambda s, sf: finalize(charts.box_summary(table(s, sf, "lineitem"),
+                                                                   "l_extendedprice", "l_partkey"), 11),
     "box_summary_all": lambda s, sf: finalize(charts.box_summary(table(s, sf, "lineitem"),
                                                                  "l_extendedprice")),
     "scatter_ols": lambda s, sf: finalize(charts.scatter_ols(
@@ -205,6 +207,19 @@ SELECT q.p_type, n, min, max, q1, median, q3, q3 - q1 AS iqr,
            AS outliers
 FROM q JOIN s USING (p_type) GROUP BY ALL""",
         ["min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high"]),
+    "box_summary_parts": rounded_sql("""
+WITH s AS (SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, l_extendedprice::DOUBLE AS m FROM lineitem
+           WHERE l_extendedprice IS NOT NULL AND l_partkey IS NOT NULL),
+     q AS (SELECT l_partkey, count(*) AS n, min(m) AS min, max(m) AS max,
+                  quantile_cont(m, 0.25) AS q1, quantile_cont(m, 0.5) AS median,
+                  quantile_cont(m, 0.75) AS q3 FROM s GROUP BY 1)
+SELECT q.l_partkey, n, min, max, q1, median, q3, q3 - q1 AS iqr,
+       min(CASE WHEN m >= q1 - 1.5 * (q3 - q1) THEN m END) AS whisker_low,
+       max(CASE WHEN m <= q3 + 1.5 * (q3 - q1) THEN m END) AS whisker_high,
+       count(CASE WHEN m < q1 - 1.5 * (q3 - q1) OR m > q3 + 1.5 * (q3 - q1) THEN 1 END)
+           AS outliers
+FROM q JOIN s USING (l_partkey) GROUP BY ALL""",
+        ["min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high"], 11),
     "box_summary_all": rounded_sql("""
 WITH s AS (SELECT l_extendedprice::DOUBLE AS m FROM lineitem WHERE l_extendedprice IS NOT NULL),
      q AS (SELECT count(*) AS n, min(m) AS min, max(m) AS max,

@@ -120,8 +120,8 @@ def _partition(labels):
     return sorted(map(frozenset, groups.values()), key=min), {i for i, l in enumerate(labels) if l < 0}
 
 
-@pytest.mark.parametrize("slabs", [1, 3, 8])
-def test_dbscan_matches_bruteforce(spark, slabs):
+@pytest.mark.parametrize("salt_rows", [7, 100_000])
+def test_dbscan_matches_bruteforce(spark, salt_rows):
     from attrix.ml.dbscan import dbscan
 
     rng = np.random.default_rng(7)
@@ -129,7 +129,7 @@ def test_dbscan_matches_bruteforce(spark, slabs):
     X = np.vstack([c + rng.normal(0, 0.3, (20, 2)) for c in centers] + [[[15, -5]], [[-9, 12]]])
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(X)]
     df = spark.createDataFrame(rows, "id long, a double, b double")
-    out = dbscan(df, ["a", "b"], eps=0.5, min_samples=5, keep=["id"], slabs=slabs)
+    out = dbscan(df, ["a", "b"], eps=0.5, min_samples=5, keep=["id"], salt_rows=salt_rows)
     got = dict((r["id"], r["cluster"]) for r in out.collect())
     Z = (X - X.mean(0)) / X.std(0)
     ref, _ = _dbscan_brute(Z, 0.5, 5)
@@ -137,6 +137,103 @@ def test_dbscan_matches_bruteforce(spark, slabs):
     assert got[60] == -1 and got[61] == -1
 
 
+@pytest.mark.parametrize("d,eps", [(1, 0.05), (2, 0.2), (3, 0.6)])
+def test_dbscan_core_points_and_clusters(spark, d, eps):
+    """Dense and thin places, ties, chains that barely touch."""
+    from attrix.ml.dbscan import dbscan
+
+    rng = np.random.default_rng(d)
+    X = np.vstack([rng.uniform(-2, 2, (120, d)), rng.normal(0, 0.2, (150, d)), rng.normal(1, 0.05, (40, d)), np.zeros((30, d))])
+    cols = [f"f{i}" for i in range(d)]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "id long, " + ", ".join(f"{c} double" for c in cols))
+    out = {r["id"]: r for r in dbscan(df, cols, eps=eps, min_samples=5, keep=["id"], salt_rows=9).collect()}
+    Z = (X - X.mean(0)) / X.std(0)
+    ref, core = _dbscan_brute(Z, eps, 5)
+    assert [out[i]["is_core"] for i in range(len(X))] == core.tolist()
+    mine = [out[i]["cluster"] if core[i] else -1 for i in range(len(X))]
+    assert _partition(mine)[0] == _partition([r if c else -1 for r, c in zip(ref, core)])[0]
+    assert [out[i]["cluster"] == -1 for i in range(len(X))] == (ref == -1).tolist()
+    firsts = {}
+    for i in np.flatnonzero(core):
+        firsts[mine[i]] = min(firsts.get(mine[i], (np.inf,) * d), tuple(Z[i]))
+    assert [firsts[c] for c in sorted(firsts)] == sorted(firsts.values())
+
+
+def test_dbscan_one_coordinate(spark):
+    """All points on one coordinate of the first axis; the hot place is one cell."""
+    from attrix.ml.dbscan import dbscan
+
+    rng = np.random.default_rng(1)
+    y = np.concatenate([np.zeros(300), rng.uniform(0, 0.001, 300), rng.uniform(5, 6, 200), [50.0]])
+    df = spark.createDataFrame([(i, 1.0, float(v)) for i, v in enumerate(y)], "id long, x double, y double")
+    out = {r["id"]: r["cluster"] for r in dbscan(df, ["x", "y"], eps=0.1, min_samples=5, keep=["id"], salt_rows=50).collect()}
+    z = np.column_stack([np.zeros(len(y)), (y - y.mean()) / y.std()])
+    ref, _ = _dbscan_brute(z, 0.1, 5)
+    assert _partition([out[i] for i in range(len(y))]) == _partition(ref)
+
+
+def _knn_brute(X, labels, Q, k):
+    out = []
+    for q in Q:
+        d = ((X - q) ** 2).sum(1)
+        out.append([labels[j] for j in sorted(range(len(X)), key=lambda j: (d[j], labels[j]))[:k]])
+    return out
+
+
+@pytest.mark.parametrize("pivots,block,visits", [(1, 32_768, 262_144), (7, 13, 11), (40, 50, 262_144)])
+def test_knn_join_matches_bruteforce(spark, monkeypatch, pivots, block, visits):
+    """Clusters, a hot point that a third of the rows repeat, ties, cells with less than k rows."""
+    from attrix.ml import knn
+
+    monkeypatch.setattr(knn, "BLOCK", block)
+    monkeypatch.setattr(knn, "VISITS", visits)
+    rng = np.random.default_rng(pivots)
+    X = np.vstack([rng.normal(c, 0.3, (40, 3)) for c in (0, 4, 9)] + [np.full((60, 3), 4.0)] + [rng.uniform(-20, 20, (15, 3))])
+    labels = [f"c{i % 5}" for i in range(len(X))]
+    Q = np.vstack([rng.uniform(-5, 12, (40, 3)), X[::9], np.full((5, 3), 4.0)])
+    zc = ["z0", "z1", "z2"]
+    shape = ", ".join(f"{z} double" for z in zc)
+    train = spark.createDataFrame([(lb, *map(float, x)) for lb, x in zip(labels, X)], f"label string, {shape}")
+    test = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(Q)], f"id long, {shape}")
+    got = {}
+    for r in knn.knn_join(train, test, 3, 5, pivots=pivots).collect():
+        got.setdefault(r["tid"], []).append((r["r"], r["nlabel"], r["dist"]))
+    want = _knn_brute(X, labels, Q, 5)
+    for i in range(len(Q)):
+        assert [x[1] for x in sorted(got[i])] == want[i]
+        assert sorted(x[2] for x in got[i]) == pytest.approx(sorted(np.sqrt(((X - Q[i]) ** 2).sum(1)))[:5], abs=1e-9)
+
+
+def test_knn_cells_are_pruned():
+    from attrix.ml.knn import _Cells
+
+    rng = np.random.default_rng(2)
+    centres = rng.uniform(-100, 100, (30, 8))
+    X = centres[rng.integers(0, 30, 3000)] + rng.normal(0, 1, (3000, 8))
+    cells = _Cells(centres)
+    home, d = cells.home(X)
+    far = d[np.arange(len(X)), home]
+    for j in range(30):
+        cells.count[j], cells.radius[j] = (home == j).sum(), far[home == j].max()
+        cells.smallest[j] = np.sort(far[home == j])[:5]
+    low = cells.below(X, d, home)
+    exact = np.stack([np.sqrt(((X[:, None] - X[None, home == j]) ** 2).sum(2)).min(1) for j in range(30)], 1)
+    assert (low <= exact + 1e-12).all()
+    assert (low <= cells.above(X, d, 5)[:, None]).mean() < 0.1
+
+
+def test_row_number_over_ranges(spark):
+    from attrix.functions.rank import with_row_number
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3).alias("tie"))
+    out = with_row_number(df, [F.col("tie").desc(), F.col("v").asc()])
+    got = [(r["tie"], r["v"]) for r in sorted(out.collect(), key=lambda r: r["rank"])]
+    assert got == sorted(got, key=lambda x: (-x[0], x[1])) and out.agg(F.max("rank"), F.countDistinct("rank")).first() == (5000, 5000)
+    assert with_row_number(df.where("v < 0"), [F.col("v")]).count() == 0
+    assert with_row_number(df, [F.col("v")], source=df).where("rank = v + 1").count() == 5000
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
 def test_silhouette_exact_matches_numpy(spark):
     from attrix.ml.models import silhouette_exact
 

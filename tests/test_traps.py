@@ -116,23 +116,29 @@ def test_exact_quantiles_iterative_and_ties(spark):
     x = np.concatenate([rng.normal(0, 1, 3000), np.full(2000, 0.5)])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0.1, 0.25, 0.5, 0.75, 0.99]
-    got, _ = exact_quantiles(df, ["x"], probs, acc=100, max_collect=50)
-    for p in probs:
-        assert got[("x", p)] == pytest.approx(float(np.percentile(x, p * 100)), abs=1e-12)
+    for small in (50, 100_000):
+        got, _ = exact_quantiles(df, ["x"], probs, small=small)
+        for p in probs:
+            assert got[("x", p)] == pytest.approx(float(np.percentile(x, p * 100)), abs=1e-12)
 
 
-def test_grouped_exact_quantiles_refinement(spark):
+@pytest.mark.parametrize("small", [3, 40, 100_000])
+def test_group_quantiles_refinement(spark, small):
+    """Ties at the ranks, two-valued groups, tiny groups, far-off values."""
     import numpy as np
 
-    from attrix.functions.quantiles import grouped_exact_quantiles
+    from attrix.functions.quantiles import group_quantiles
 
     rng = np.random.default_rng(12)
-    a = rng.normal(0, 1, 2000)
-    b = np.concatenate([rng.exponential(2.0, 1500), np.full(1500, 1.0)])
-    rows = [("a", float(v)) for v in a] + [("b", float(v)) for v in b]
+    groups = {"a": rng.normal(0, 1, 2000), "b": np.concatenate([rng.exponential(2.0, 1500), np.full(1500, 1.0)]),
+              "c": np.repeat([1.0, 5.0], [500, 1500]), "d": np.repeat([1.0, 5.0], [501, 500]), "e": np.array([7.0]), "f": np.array([1.0, 2.0]),
+              "g": np.concatenate([rng.normal(0, 1e-6, 900), [1e12, -1e12]]), "h": np.full(999, 3.0)}
+    rows = [(g, float(v)) for g, arr in groups.items() for v in arr] + [("z", None), (None, 1.0), ("a", float("nan"))]
     df = spark.createDataFrame(rows, "g string, x double")
-    probs = [0.25, 0.5, 0.75]
-    got = grouped_exact_quantiles(df, "g", "x", probs, acc=50, max_collect=40, bins=16)
-    for g, arr in (("a", a), ("b", b)):
-        for p in probs:
-            assert got[(g, p)] == pytest.approx(float(np.percentile(arr, p * 100)), abs=1e-12)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r["g"]: r for r in group_quantiles(df, "g", "x", probs, small=small).collect()}
+    assert sorted(got) == sorted(groups)
+    for g, arr in groups.items():
+        assert (got[g]["n"], got[g]["min"], got[g]["max"]) == (len(arr), arr.min(), arr.max())
+        for j, p in enumerate(probs):
+            assert got[g][f"q{j}"] == pytest.approx(float(np.percentile(arr, p * 100)), rel=1e-12, abs=1e-12), (g, p)
