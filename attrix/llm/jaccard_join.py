@@ -12,7 +12,8 @@ Method: a size-aware heavy-light join.
   the inverted lists.  The boundary is the largest size for which enumeration costs
   less than scanning lists of the mean length measured on the corpus; sets whose
   partners may lie on the other side do both.
-* Members are ordered light first, heavy (frequent) last, so that common
+* Members are ordered by weight: those that no other document holds first (they fill
+  the prefix and need no list), heavy (frequent) ones last, so that common
   lines rarely enter a prefix.  The order decides the cost only: the prefix rule
   holds for any order.
 * A count-min sketch over all members drops what no other document can hold,
@@ -46,13 +47,13 @@ from pyspark.sql import functions as F
 
 from attrix.functions.graph import components
 from attrix.llm import sketch
-from attrix.llm.text import BASES, U64, Words, chunks, id_and_text, map_arrow, mix, record, rolling, stash, text_bytes
+from attrix.llm.text import BASES, U64, Words, chunks, id_and_text, lean_arrow, mix, record, rolling, stash, text_bytes
 
 K = 5
 NULL_ID = -(1 << 63)
 #: Bound of the broadcast list of heavy shingles (2 MB), and of subset sizes.
 MAX_HEAVY, HEAVY_HITS, MAX_SMALL = 1 << 18, 64, 12
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 ROUNDS = 2  # of linear star links before lists are joined across components
 SALT = (U64(0x8CB92BA72F3D8DD7), U64(0xD6E8FEB86659FD93))
 
@@ -88,20 +89,20 @@ class Sets:
             out.append((total[self.bounds[1:]] - total[self.bounds[:-1]]).view(np.int64))
         return out[0], out[1]
 
-    def prefix(self, heavy: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, member)`` of the long prefix of sets whose partners may be
-        large."""
-        last = np.zeros(len(self.h), bool)
+    def prefix(self, heavy: np.ndarray, small: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, place of member)`` of the long prefix of sets whose partners may be
+        large: members that are not ``shared`` first, heavy ones last."""
+        last = shared.astype(np.int8)
         if len(heavy):
             spot = np.minimum(np.searchsorted(heavy, self.h), len(heavy) - 1)
-            last = heavy[spot] == self.h
+            last[shared & (heavy[spot] == self.h)] = 2
         order = np.lexsort((self.h, last, self.doc))
         doc = self.doc[order]
         rank = np.arange(len(doc)) - self.bounds[doc]
         n = self.n[doc]
         need = n - (4 * n + 4) // 5 + 1
         use = (rank < need + spare(n)) & (n * 5 // 4 > small)
-        return doc[use], self.h[order][use]
+        return doc[use], order[use]
 
     def subsets(self, small: int) -> tuple[np.ndarray, np.ndarray]:
         """``(row, key)`` of all subsets that small sets write down."""
@@ -120,11 +121,12 @@ class Sets:
         """``(row, key, is_subset)`` of the signatures that another document
         may hold, for documents that can link at all; and how many of each
         row's members no other document holds."""
-        own = self.n - np.bincount(self.doc[repeated(self.h)], minlength=len(self.n))
+        shared = repeated(self.h)
+        own = self.n - np.bincount(self.doc[shared], minlength=len(self.n))
         able = (self.n - own) * 5 >= self.n * 4
-        doc, member = self.prefix(heavy, small)
-        use = able[doc]
-        use[use] = repeated(member[use])
+        doc, at = self.prefix(heavy, small, shared)
+        use = able[doc] & shared[at]
+        member = self.h[at]
         row, key = self.subsets(small)
         found = repeated(key)
         return (np.r_[doc[use], row[found]], np.r_[member[use], key[found]],
@@ -191,7 +193,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("u"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("v"), F.col("members").alias("y"))
-    return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), shared, "u long, v long")
+    return lean_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y"), shared, "u long, v long")
 
 
 def _fits() -> F.Column:
@@ -220,7 +222,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     reachable by links)."""
     rows = id_and_text(docs)
     sc = rows.sparkSession.sparkContext
-    described = stash(map_arrow(rows, _describe, "doc_id long, n long, a long, b long, token long, hits long"), "sets")
+    described = stash(lean_arrow(rows, _describe, "doc_id long, n long, a long, b long, token long, hits long"), "sets")
     documents = described.where("token is null").drop("token", "hits")
     tokens = described.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits"))
     mean = tokens.agg((F.sum("hits") / F.count("*")).alias("m")).first()["m"]
@@ -235,7 +237,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             sets = Sets(b)
             yield from sketch.parts(np.r_[sets.h, sets.subsets(small)[1]], bits)
 
-    repeated = sc.broadcast(sketch.merge(map_arrow(rows, count, sketch.PARTS), bits))
+    repeated = sc.broadcast(sketch.merge(lean_arrow(rows, count, sketch.PARTS), bits))
 
     def offer(batches):
         for b in chunks(batches):
@@ -259,10 +261,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                 members=pa.array([s.h[s.bounds[i]:s.bounds[i + 1]].tobytes() for i in has], pa.binary()))
 
     classes = documents.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"))
-    offered = map_arrow(rows, offer, "doc_id long, n long, own long, a long, b long, keys array<long>, subsets array<long>, "
+    offered = lean_arrow(rows, offer, "doc_id long, n long, own long, a long, b long, keys array<long>, subsets array<long>, "
                                      "members binary")
     sets = stash(offered.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "a", "b"], "left_semi")
                  .select(F.col("doc_id").alias("node"), "n", "own", "keys", "subsets", "members"), "members")
+    repeated.destroy()  # what it was for is written
+    shared_heavy.destroy()
     lists = stash(sets.select("node", "n", "own", F.explode(F.concat(
         F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(0).alias("subset"))),
         F.transform("subsets", lambda k: F.struct(k.alias("key"), F.lit(1).alias("subset"))))).alias("k"))

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attrix.llm.text import _LOWER, _SPACE, U64, Words, chunks, id_and_text, map_arrow, mix, record, stash
+from attrix.llm.text import _LOWER, _SPACE, U64, Words, chunks, id_and_text, lean_arrow, mix, record, stash
 
 ORDER, SHARDS = 6, 4096
 MAX_GRAMS, MAX_FREQUENT = 2_000_000, 1 << 18
 #: Symbols that UTF-8 never uses.
 END, START = 0xFF, 0xFE
-BLOCK, ENTRIES = 4_000_000, 4_000_000
+BLOCK, ENTRIES = 1_000_000, 1_500_000
 WORD, TRIE = 0, 1
 
 
@@ -175,14 +175,18 @@ def _count(batches):
 
 
 def _merge(batches):
-    """One row for each shard of a partition."""
-    found: dict[tuple[int, int], Tally] = {}
+    """One row for each shard; a partition's rows are sorted by shard, so that one
+    shard is held at a time."""
+    now, tally = None, Tally()
     for b in batches:
-        for r in b.to_pylist():
-            found.setdefault((r["kind"], r["shard"]), Tally()).add(
-                np.frombuffer(r["keys"], U64), np.frombuffer(r["n"], np.int64))
-    for (kind, _), tally in found.items():
-        yield _blobs(kind, *tally.fold())
+        for r in zip(*(b.column(c).to_pylist() for c in ("kind", "shard", "keys", "n"))):
+            if r[:2] != now:
+                if now is not None:
+                    yield _blobs(now[0], *tally.fold())
+                now, tally = r[:2], Tally()
+            tally.add(np.frombuffer(r[2], U64), np.frombuffer(r[3], np.int64))
+    if now is not None:
+        yield _blobs(now[0], *tally.fold())
 
 
 def _arrays(batches):
@@ -242,7 +246,7 @@ class Trie:
     """Prediction by partial matching from (context, symbol) counts; a ``shard``
     has only some contexts of order two and more, and those below are counted already."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, max_entries: int | None = None, shard: bool = False):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shard: bool = False):
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(float)
         top = keys & U64(0xFF << 56)
@@ -250,15 +254,6 @@ class Trie:
         owner, self.of = np.unique(context, return_inverse=True)
         total = np.bincount(self.of, weights=counts, minlength=len(owner))
         kinds = np.bincount(self.of, minlength=len(owner))
-        if max_entries is not None and len(keys) > max_entries:  # keep the most frequent contexts, whole
-            rank = np.argsort(-total, kind="stable")
-            fits = np.searchsorted(np.cumsum(kinds[rank]), max_entries, "right")
-            least = total[rank[min(fits, len(rank) - 1)]]
-            good = total > least
-            keep = good[self.of]
-            keys, counts, context = keys[keep], counts[keep], context[keep]
-            owner, self.of = np.unique(context, return_inverse=True)
-            total, kinds = total[good], kinds[good]
         self.entries, self.contexts = HashIndex(keys), HashIndex(owner)
         order_of = (owner >> U64(56)).astype(np.int64)
         below = self.contexts(self.shorter(owner, order_of))
@@ -363,11 +358,11 @@ def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     lesson = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape = "kind int, shard int, keys binary, n binary"
-    counts = stash(map_arrow(map_arrow(rows.withColumn("lesson", lesson), _count, shape)
-                             .repartition(parts, "kind", "shard"), _merge, shape), "counts")
-    words = map_arrow(counts.where(F.col("kind") == WORD), _word_rows, "key long, n long")
+    counts = stash(lean_arrow(lean_arrow(rows.withColumn("lesson", lesson), _count, shape)
+                             .repartition(parts, "kind", "shard").sortWithinPartitions("kind", "shard"), _merge, shape), "counts")
+    words = lean_arrow(counts.where(F.col("kind") == WORD), _word_rows, "key long, n long")
     trie = counts.where(F.col("kind") == TRIE)
-    first = map_arrow(trie, _short, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    first = lean_arrow(trie, _short, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     short = sc.broadcast((first["key"].to_numpy().view(U64), first["n"].to_numpy()))
 
     def settle(batches):
@@ -379,7 +374,7 @@ def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
             yield record(key=gram.view(np.int64), n=np.bincount(place, weights=n, minlength=len(gram)).astype(np.int64),
                          value=gram_log10(gram, learnt, short.value))
 
-    settled = stash(map_arrow(trie, settle, "key long, n long, value double"), "grams")
+    settled = stash(lean_arrow(trie, settle, "key long, n long, value double"), "grams")
     least = least_count(settled)
     often = settled.where(F.col("n") >= least).select("key", "value").toArrow()
     texts = rows.where(lesson).count()
@@ -423,7 +418,7 @@ def score_ppm(docs: DataFrame, learn: Column | None = None) -> DataFrame:
 
     shape = ("doc_id long, tokens long, known long, base double, score double, "
              "rare array<struct<kind:int,key:long,n:int>>")
-    scored = stash(map_arrow(rows, score, shape).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = stash(lean_arrow(rows, score, shape).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.kind", "r.key", F.col("r.n").alias("times"))
     values = (words.select(F.lit(WORD).alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))
               .unionByName(settled.where(F.col("n") < least).select(F.lit(TRIE).alias("kind"), "key", "value")))

@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from attrix.llm import sketch
 from attrix.llm.text import (
-    BASES, U64, Words, chunks, covered, id_and_text, map_arrow, named_places, record, rolling, sliding_min,
+    BASES, U64, Words, chunks, covered, id_and_text, lean_arrow, named_places, record, rolling, sliding_min,
     spans_of, text_bytes, within,
 )
 
 SHINGLE = 8
+PART = 1 << 18  # bytes of text that a task takes at once where it looks windows up
 NULL_ID = -(1 << 63)
 RESULT = "doc_id long, n_words long, n_removed long, kept string, text string, spans array<struct<from:int,to:int>>"
 
@@ -80,21 +81,21 @@ def window_filter(rows: DataFrame, window: int, total_bytes: int) -> sketch.Repe
         for b in chunks(batches):
             yield from sketch.parts(_Windows(b, window).names(), bits)
 
-    return sketch.merge(map_arrow(rows, count, sketch.PARTS), bits)
+    return sketch.merge(lean_arrow(rows, count, sketch.PARTS), bits)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (), with_kept: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, kept`` (kept words
-    joined by one space), ``text`` (the input without the removed words and the
-    white space after each), ``spans`` (removed runs, in words) and the columns
-    named in ``carry``."""
+    joined by one space; null unless ``with_kept``), ``text`` (the input without the
+    removed words and the white space after each), ``spans`` (removed runs, in words)
+    and the columns named in ``carry``."""
     kept = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
     rows = id_and_text(docs)
     repeated = window_filter(rows, window, text_bytes(docs))
     shared = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def offer(batches):
-        for b in chunks(batches):
+        for b in chunks(batches, PART):
             w = _Windows(b, window)
             at, a, c, same = w.candidates(shared.value, window)
             at, a, c = at[~same], a[~same], c[~same]
@@ -102,13 +103,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
                 yield record(a=a.view(np.int64), b=c.view(np.int64), doc_id=_ids(b)[w.doc[at]])
 
     firsts = (
-        map_arrow(rows, offer, "a long, b long, doc_id long")
+        lean_arrow(rows, offer, "a long, b long, doc_id long")
         .groupBy("a", "b").agg(F.min("doc_id").alias("key"))
         .groupBy("key").agg(F.collect_list("a").alias("firsts"))
     )
 
     def cut(batches):
-        for b in chunks(batches):
+        for b in chunks(batches, PART):
             w = _Windows(b, window)
             at, a, _, same = w.candidates(shared.value, window)
             keep = np.zeros(len(at), bool)
@@ -120,17 +121,17 @@ def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
                     lo, hi = bounds[i], bounds[i + 1]
                     keep[lo:hi] = np.isin(a[lo:hi], own)
             gone = covered(at[same | ~keep], w.total, window)
-            out = _result(b, w, gone)
+            out = _result(b, w, gone, with_kept)
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, *[b.column(f"_{c}") for c in carry]], names=[*out.schema.names, *carry])
 
     joined = (id_and_text(kept, *[f"_{c}" for c in carry])
               .withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(firsts, "key", "left"))
     shape = ", ".join([RESULT, *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]])
-    return map_arrow(joined.drop("key"), cut, shape)
+    return lean_arrow(joined.drop("key"), cut, shape)
 
 
-def _result(batch: pa.RecordBatch, w: _Windows, gone: np.ndarray) -> pa.RecordBatch:
+def _result(batch: pa.RecordBatch, w: _Windows, gone: np.ndarray, with_kept: bool) -> pa.RecordBatch:
     kept, texts, spans = [], [], []
     removed = np.diff(np.r_[0, np.cumsum(gone)][np.r_[w.starts, w.total]])
     for i in range(batch.num_rows):
@@ -139,7 +140,7 @@ def _result(batch: pa.RecordBatch, w: _Windows, gone: np.ndarray) -> pa.RecordBa
         if removed[i]:
             first = w.starts[i]
             flags = gone[first:first + w.lengths[i]]
-            kept.append(b" ".join([x for x, f in zip(words, flags.tolist()) if not f]))
+            kept.append(b" ".join([x for x, f in zip(words, flags.tolist()) if not f]) if with_kept else None)
             out, at = [], 0
             for lo, hi in zip(*(x.tolist() for x in spans_of(flags))):
                 out.append(text[at:w.begin[first + lo] - w.offsets[i]])
@@ -147,7 +148,7 @@ def _result(batch: pa.RecordBatch, w: _Windows, gone: np.ndarray) -> pa.RecordBa
                 cut.append({"from": lo, "to": hi})
             texts.append(b"".join([*out, text[at:]]))
         else:
-            kept.append(b" ".join(words))
+            kept.append(b" ".join(words) if with_kept else None)
             texts.append(text)
         spans.append(cut)
     nulls = batch.column("text").is_null().to_numpy(zero_copy_only=False)

@@ -8,6 +8,7 @@ never cross a document boundary.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,36 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+#: Texts are long: so many bytes of rows go to a worker at once, not as many rows as usual.
+BATCH_BYTES = 4 << 20
+
+
+def lean_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``map_arrow`` with Arrow batches of at most ``BATCH_BYTES`` (a setting of the
+    session, lowered if it is higher) and freed memory given back to the system when a
+    task ends, as workers are used again."""
+    spark = df.sparkSession
+    have = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not have.isdigit() or int(have) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back_memory()
+
+    return map_arrow(df, run, schema)
+
+
+def give_back_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def id_and_text(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` as bytes; null text stays null."""
     return docs.select(
