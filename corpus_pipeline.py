@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that appear earlier."""
-    out = substring_dedup(docs, carry=("lang", "source"))
+    out = substring_dedup(docs, carry=("lang", "source"), with_kept=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
