@@ -10,6 +10,10 @@ feature table and advance every series together.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -20,7 +24,7 @@ from pyspark.sql.window import Window
 from attrix.forecast import solvers
 from attrix.forecast.prepare import FEATURES, feature_table, prepare_series
 from attrix.ml.basics import regression_metrics
-from attrix.session import ensure_checkpoint_dir, partitions_for, ship_package
+from attrix.session import ensure_checkpoint_dir, partitions_for, ship_package, stash
 
 SERIES = "_series"
 
@@ -39,12 +43,47 @@ def _key_schema(df: DataFrame, keys) -> str:
 def holt_winters(df: DataFrame, date_col: str, metric: str, horizon: int = 30,
                  series_keys: list[str] | None = None) -> DataFrame:
     """Additive trend + additive weekly season; needs ≥ 10 points.
-    Columns: keys, date, yhat, alpha, beta, gamma (smoothing parameters)."""
+    Columns: keys, date, yhat, alpha, beta, gamma (smoothing parameters).
+
+    The parameter grids are rows: each series (one array, bounded by its calendar
+    span) is dealt with eleven slices of the coarse grid, then of the fine grid around
+    the best point, so that a single long series uses as many tasks."""
     src, keys = _keys(df, series_keys)
     s = prepare_series(src, date_col, metric, keys)
-    schema = f"{_key_schema(s, keys)}, date date, yhat double, alpha double, beta double, " \
-             f"gamma double"
-    return s.groupBy(*keys).applyInPandas(solvers.hw_group(keys, horizon), schema)
+    packed = stash(s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "y"))).alias("p"))
+                   .select(*keys, F.element_at("p", -1)["date"].alias("last"), F.transform("p", lambda x: x["y"]).alias("y"))
+                   .where(F.size("y") >= 10), "series")
+    n = packed.count()
+    shape = f"{_key_schema(packed, keys)}, sse double, a double, b double, g double"
+
+    def best(rows: DataFrame, grids) -> DataFrame:
+        def fn(batches):
+            for batch in batches:
+                out = [solvers.hw_best(np.asarray(r["y"], float), *grids(r)) for r in batch.to_dict("records")]
+                yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(out, columns=["sse", "a", "b", "g"])], axis=1)
+
+        dealt = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(solvers.COARSE) - 1))))
+        found = dealt.repartition(max(1, min(len(solvers.COARSE) * n, 4096)), *keys, "part").mapInPandas(fn, shape)
+        return found.groupBy(*keys).agg(F.min(F.struct("sse", "a", "b", "g")).alias("best")).select(*keys, "best.*")
+
+    def coarse(r):
+        return solvers.COARSE[int(r["part"]):int(r["part"]) + 1], solvers.COARSE, solvers.COARSE
+
+    def fine(r):
+        return solvers.hw_around((r["a"], r["b"], r["g"]), int(r["part"]))
+
+    centre = stash(packed.join(best(packed, coarse).drop("sse"), keys), "centre")
+    chosen = packed.join(best(centre, fine).drop("sse"), keys)
+
+    def ahead(batches):
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                yhat = solvers.hw_forecast_at(np.asarray(r["y"], float), horizon, r["a"], r["b"], r["g"])
+                days = [r["last"] + timedelta(days=i) for i in range(1, horizon + 1)]
+                yield pd.DataFrame({**{k: [r[k]] * horizon for k in keys}, "date": days, "yhat": yhat,
+                                    "alpha": r["a"], "beta": r["b"], "gamma": r["g"]})
+
+    return chosen.mapInPandas(ahead, f"{_key_schema(packed, keys)}, date date, yhat double, alpha double, beta double, gamma double")
 
 
 def arima(df: DataFrame, date_col: str, metric: str, horizon: int = 30,

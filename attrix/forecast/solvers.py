@@ -51,28 +51,34 @@ def _hw_sse(y: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray, m: int =
     return sse, lev, tr, season
 
 
-def holt_winters_fit(y: np.ndarray, m: int = SEASON):
-    """Smoothing parameters by a coarse grid then a fine grid around the
-    best point, minimising the one-step squared error."""
-    grid = np.linspace(0.0, 1.0, 11)
-    A, B, G = (x.ravel() for x in np.meshgrid(grid, grid, grid, indexing="ij"))
+COARSE, FINE = np.linspace(0.0, 1.0, 11), np.linspace(-0.05, 0.05, 11)
+
+
+def hw_best(y: np.ndarray, alphas, betas, gammas, m: int = SEASON) -> tuple[float, float, float, float]:
+    """``(sse, alpha, beta, gamma)`` of the best of a grid (ties: the first)."""
+    A, B, G = (x.ravel() for x in np.meshgrid(alphas, betas, gammas, indexing="ij"))
     sse, *_ = _hw_sse(y, A, B, G, m)
     i = int(np.argmin(sse))
-    a0, b0, g0 = A[i], B[i], G[i]
-    fine = np.linspace(-0.05, 0.05, 11)
-    A2, B2, G2 = (np.clip(c + d, 0.0, 1.0).ravel() for c, d in
-                  zip((a0, b0, g0), np.meshgrid(fine, fine, fine, indexing="ij")))
-    sse2, lev, tr, season = _hw_sse(y, A2, B2, G2, m)
-    j = int(np.argmin(sse2))
-    return float(A2[j]), float(B2[j]), float(G2[j]), lev[j], tr[j], season[j], float(sse2[j])
+    return float(sse[i]), float(A[i]), float(B[i]), float(G[i])
 
 
-def holt_winters_forecast(y: np.ndarray, horizon: int, m: int = SEASON):
-    a, b, g, lev, tr, season, sse = holt_winters_fit(y, m)
-    n = len(y)
+def hw_around(centre: tuple[float, float, float], part: int | None = None) -> list[np.ndarray]:
+    """The fine grid around a point; ``part``: one of its values of alpha."""
+    grids = [np.clip(c + FINE, 0.0, 1.0) for c in centre]
+    return grids if part is None else [grids[0][part:part + 1], *grids[1:]]
+
+
+def hw_forecast_at(y: np.ndarray, horizon: int, a: float, b: float, g: float, m: int = SEASON) -> np.ndarray:
+    _, lev, tr, season = _hw_sse(y, np.array([a]), np.array([b]), np.array([g]), m)
     h = np.arange(1, horizon + 1)
-    idx = (n + h - 1) % m
-    return lev + h * tr + season[idx], (a, b, g)
+    return lev[0] + h * tr[0] + season[0][(len(y) + h - 1) % m]
+
+
+def holt_winters_forecast(y: np.ndarray, horizon: int, m: int = SEASON):
+    """One series in one place; ``models.holt_winters`` deals the grids to tasks."""
+    _, *centre = hw_best(y, COARSE, COARSE, COARSE, m)
+    _, a, b, g = hw_best(y, *hw_around(tuple(centre)), m)
+    return hw_forecast_at(y, horizon, a, b, g, m), (a, b, g)
 
 
 # ---------------------------------------------------------------------------
@@ -182,22 +188,6 @@ def _series(pdf: pd.DataFrame):
     return pdf, pdf["y"].to_numpy(dtype=float)
 
 
-def hw_group(keys, horizon):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, y = _series(pdf)
-        if len(y) < 10:
-            return pd.DataFrame(columns=[*keys, "date", "yhat", "alpha", "beta", "gamma"])
-        fc, (a, b, g) = holt_winters_forecast(y, horizon)
-        last = pd.Timestamp(pdf["date"].iloc[-1])
-        out = pd.DataFrame({"date": [(last + pd.Timedelta(days=i)).date()
-                                     for i in range(1, horizon + 1)],
-                            "yhat": fc, "alpha": a, "beta": b, "gamma": g})
-        for k in keys:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out[[*keys, "date", "yhat", "alpha", "beta", "gamma"]]
-    return fn
-
-
 def arima_group(keys, horizon):
     cols = [*keys, "date", "yhat", "lower", "upper", "aic", "bic"]
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attrix.functions.quantiles import exact_quantiles
 from attrix.ml.basics import complete_rows, require_rows
 from attrix.session import ship_package, stash
 
@@ -157,13 +158,14 @@ def score(df: DataFrame, features: list[str], nodes: pd.DataFrame, psi: int,
 
 def isolation_forest(df: DataFrame, features: list[str], contamination: float = 0.05,
                      n_trees: int = 100, max_samples: int = 256, seed: int = 42,
-                     keep: list[str] | None = None, accuracy: int = 100000) -> DataFrame:
+                     keep: list[str] | None = None) -> DataFrame:
     """Rows with ``score``, ``decision`` (score − threshold; negative =
-    anomaly) and ``is_anomaly``."""
+    anomaly) and ``is_anomaly``; the threshold is the scores' exact
+    ``contamination`` quantile (linear interpolation)."""
     src = complete_rows(df, features)
     require_rows(src, "anomaly")
     nodes, psi = fit(src, features, n_trees, max_samples, seed)
     scored = stash(score(src, features, nodes, psi, keep), "scores")  # scored once, read twice
-    thr = scored.select(F.percentile_approx("score", contamination, accuracy)).scalar()
-    return scored.withColumn("decision", F.col("score") - thr).withColumn(
+    thr = exact_quantiles(scored, ["score"], [contamination])[0][("score", contamination)]
+    return scored.withColumn("decision", F.col("score") - F.lit(thr)).withColumn(
         "is_anomaly", F.col("decision") < 0)

@@ -30,7 +30,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrix.ml.basics import (
@@ -141,8 +141,7 @@ def silhouette(labelled: DataFrame, features: list[str], cluster_col: str = "clu
     0 when fewer than two clusters remain.
 
     Distributed (MLlib evaluator, O(n·k)); it uses squared Euclidean
-    distance — the exact Euclidean score needs all point pairs, see
-    :func:`silhouette_sample` for an explicitly sampled exact score."""
+    distance; for the Euclidean score see :func:`silhouette_euclidean`."""
     src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
     stats = scaler_stats(src, features)
     z = assemble(src.select(F.col(cluster_col).cast("double").alias("c"),
@@ -203,8 +202,7 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
             # regParam reproduces the closed form (X'X + αI)⁻¹X'y.
             n, sy = tr.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
             est = LinearRegression(regParam=alpha * float(sy or 1.0) / n, elasticNetParam=0.0,
-                                   solver="l-bfgs", standardization=False, tol=1e-12,
-                                   maxIter=1000)
+                                   solver="normal", standardization=False)
         elif algorithm == "rf":
             est = RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth,
                                         featureSubsetStrategy="all", seed=seed,
@@ -403,69 +401,78 @@ def feature_importance(df: DataFrame, target: str, features: list[str],
     return imp, r2
 
 
-def silhouette_exact(labelled: DataFrame, features: list[str], cluster_col: str = "cluster",
-                     block_rows: int = 4096) -> DataFrame:
-    """Exact Euclidean silhouette (the reference's metric) on z-scored
-    features, noise (−1) removed, 0 with fewer than two clusters.
-
-    The scaled points are written by Spark into the shared checkpoint
-    folder; each task keeps its own block of points and streams all points
-    block by block, accumulating per-cluster distance sums (k numbers per
-    point).  O(n²) distance evaluations — what the exact score costs — but
-    memory stays bounded and only one value per point is emitted."""
-    import uuid
+def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col: str = "cluster",
+                         reference: int = 1000, seed: int = SEED, scale: bool = True) -> DataFrame:
+    """Euclidean silhouette (the reference's metric), noise (-1) removed, 0 with fewer
+    than two clusters: ``silhouette, clusters, error, exact``.
 
+    Every row is scored against a seeded sample of at most ``reference`` rows a cluster
+    (those of smallest hash; clusters x ``reference`` rows are broadcast, whatever the
+    table's size), kept as eight blocks.  Clusters that fit into the sample are measured
+    exactly, and with all of them the score is exact (``exact``, error 0); otherwise
+    ``error`` is the standard error of the mean over the blocks' own scores.  A row's
+    distance to itself is left out."""
     import numpy as np
     import pandas as pd
 
-    from attrix.session import ensure_checkpoint_dir, ship_package
+    from attrix.session import ship_package, stash
 
     spark = labelled.sparkSession
     ship_package(spark)
     src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
-    stats = scaler_stats(src, features)
-    d = len(features)
-    pts = src.select(F.col(cluster_col).cast("long").alias("c"),
-                     *[e.alias(f"z{i}") for i, e in enumerate(scaled_cols(features, stats))])
-    sizes = {r[0]: r[1] for r in pts.groupBy("c").count().collect()}  # one row per cluster
-    if len(sizes) < 2:
-        return spark.createDataFrame([(0.0, len(sizes))], "silhouette double, clusters long")
-    folder = ensure_checkpoint_dir(spark)
-    path = f"{folder.rstrip('/')}/silhouette-{uuid.uuid4().hex}"
-    pts.write.parquet(path)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    labels = sorted(sizes)
-    pos = {c: j for j, c in enumerate(labels)}
-    cnt = np.array([sizes[c] for c in labels], dtype=float)
-    zc = [f"z{i}" for i in range(d)]
+    cols = scaled_cols(features, scaler_stats(src, features)) if scale else [F.col(c).cast("double") for c in features]
+    zc = [f"z{i}" for i in range(len(features))]
+    pts = src.select(F.col(cluster_col).cast("string").alias("c"), *[e.alias(z) for z, e in zip(zc, cols)])
+    pts = stash(pts.withColumn("h", F.xxhash64(*zc, F.lit(seed))).withColumn("id", F.monotonically_increasing_id()), "silhouette")
+    sizes = {r["c"]: r["n"] for r in pts.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row a cluster
+    names = sorted(sizes)
+    if len(names) < 2:
+        return spark.createDataFrame([(0.0, len(names), 0.0, True)], "silhouette double, clusters long, error double, exact boolean")
+    first = Window.partitionBy("c").orderBy("h", "id")
+    sample = (pts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= reference)
+              .select("c", "id", *zc).orderBy("c", "id").toPandas())  # clusters x reference rows
+    place = {c: j for j, c in enumerate(names)}
+    blocks = 8
+    refs = [sample[sample["c"] == c] for c in names]
+    shared = spark.sparkContext.broadcast([(r[zc].to_numpy(dtype=float), r["id"].to_numpy(dtype=np.int64)) for r in refs])
+    n_of = np.array([sizes[c] for c in names], float)
+
+    def score(q, own, ids, part):
+        """Silhouettes of rows against the sample (``part``: one block of it, or None)."""
+        mean = np.zeros((len(q), len(names)))
+        alone = np.zeros(len(q), bool)
+        for j, (x, xid) in enumerate(shared.value):
+            at = np.arange(len(x)) if part is None or len(x) < 2 * blocks else np.arange(part, len(x), blocks)
+            d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x[at].T + (x[at] * x[at]).sum(1), 0.0))
+            mine = (own == j)[:, None] & (ids[:, None] == xid[at][None, :])
+            d[mine] = 0.0
+            count = len(at) - mine.sum(1)
+            alone |= (own == j) & ((count == 0) | (n_of[j] < 2))
+            mean[:, j] = d.sum(1) / np.maximum(count, 1)
+        rows = np.arange(len(q))
+        a = mean[rows, own]
+        mean[rows, own] = np.inf
+        b = mean.min(1)
+        return np.where(alone, 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
 
     def fn(batches):
-        import pyarrow.dataset as ds
-
-        for b in batches:
-            if b.empty:
-                continue
-            Q = b[zc].to_numpy(dtype=float)
-            own = np.array([pos[c] for c in b["c"]])
-            sums = np.zeros((len(Q), len(labels)))
-            for rb in ds.dataset(local, format="parquet").to_batches(batch_size=block_rows):
-                t = rb.to_pandas()
-                X = t[zc].to_numpy(dtype=float)
-                cj = np.array([pos[c] for c in t["c"]])
-                dist = np.sqrt(np.maximum((Q * Q).sum(1)[:, None] - 2 * Q @ X.T
-                                          + (X * X).sum(1)[None, :], 0.0))
-                for j in range(len(labels)):
-                    m = cj == j
-                    if m.any():
-                        sums[:, j] += dist[:, m].sum(axis=1)
-            n_own = cnt[own]
-            a = np.where(n_own > 1, sums[np.arange(len(Q)), own] / np.maximum(n_own - 1, 1), 0.0)
-            means = sums / cnt[None, :]
-            means[np.arange(len(Q)), own] = np.inf
-            bb = means.min(axis=1)
-            s = np.where(n_own > 1, (bb - a) / np.maximum(np.maximum(a, bb), 1e-300), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    per_point = pts.mapInPandas(fn, "s double")
-    return per_point.agg(F.avg("s").alias("silhouette")).withColumn(
-        "clusters", F.lit(len(sizes)).cast("long"))
+        total = np.zeros(blocks + 2)
+        for batch in batches:
+            for lo in range(0, len(batch), 2048):
+                b = batch.iloc[lo:lo + 2048]
+                q, ids = b[zc].to_numpy(dtype=float), b["id"].to_numpy(dtype=np.int64)
+                own = np.array([place[c] for c in b["c"]])
+                total[0] += len(b)
+                total[1] += score(q, own, ids, None).sum()
+                if not exact:
+                    total[2:] += [score(q, own, ids, k).sum() for k in range(blocks)]
+        yield pd.DataFrame([total], columns=[f"t{i}" for i in range(blocks + 2)])
+
+    exact = all(n <= reference for n in sizes.values())
+    sums = pts.mapInPandas(fn, ", ".join(f"t{i} double" for i in range(blocks + 2))).agg(
+        *[F.sum(f"t{i}").alias(f"t{i}") for i in range(blocks + 2)])
+    each = [F.col(f"t{i}") / F.col("t0") for i in range(2, blocks + 2)]
+    middle = sum(each, F.lit(0.0)) / blocks
+    spread = F.sqrt(sum(((e - middle) * (e - middle) for e in each), F.lit(0.0)) / (blocks - 1) / blocks)
+    return sums.select((F.col("t1") / F.col("t0")).alias("silhouette"), F.lit(len(names)).cast("long").alias("clusters"),
+                       (F.lit(0.0) if exact else spread).alias("error"), F.lit(exact).alias("exact"))

@@ -116,8 +116,7 @@ def _kind(dt) -> str:
     return "other"
 
 
-SMALL_DISTINCT = 1000      # exact distinct counts are reported below this
-PRESCREEN = 2000           # HLL estimate under which the exact count is taken
+PRESCREEN = 2000           # HLL estimate under which a set counts the distinct values
 
 
 def _num_expr(c: str, kind: str) -> Column:
@@ -130,16 +129,17 @@ def profile_stats(df: DataFrame, exclude: list[str] | None = None,
 
     Columns: ``column, position, dtype, role, rows, non_null, n_distinct,
     date_fraction, date_format, numeric_fraction``.  ``n_distinct`` counts
-    numbers (parsed numbers for text columns) and is exact below
-    ``SMALL_DISTINCT``, NULL (= "large") above.
+    numbers (parsed numbers for text columns) and is exact.
 
     Pass 1 is one wide aggregate per chunk of ``chunk`` columns (Parquet
     reads only a chunk's columns, so the passes together read each column
     once); it carries counts, date-parse coverage per format, min/max and an
-    HLL cardinality sketch.  Pass 2 takes exact distinct counts only for the
-    columns the sketch shows to be small, with ``size(collect_set)`` whose
-    state is bounded by that pre-screen.  The result has one row per column
-    and is assembled on the driver."""
+    HLL cardinality sketch.  Pass 2 counts distinct values: of the columns the
+    sketch shows to be small with ``size(collect_set)``, whose state is bounded
+    by that pre-screen; of the others in the long form ``(column, value)``,
+    de-duplicated map side and hashed over all tasks, so no task holds a
+    column's values.  The result has one row per column and is assembled on
+    the driver."""
     exclude = set(exclude or [])
     spark = df.sparkSession
     fields = list(df.schema.fields)
@@ -184,6 +184,12 @@ def profile_stats(df: DataFrame, exclude: list[str] | None = None,
         r = df.agg(*[F.size(F.collect_set(_num_expr(c, kind))).alias(f"x{i}")
                      for i, c, kind in small]).first()
         exact = {i: r[f"x{i}"] for i, _, _ in small}
+    large = [(i, c, kind) for i, c, dt, kind in info if kind in ("numeric", "text") and i not in exact]
+    if large:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), _num_expr(c, kind).alias("v")) for i, c, kind in large])
+        long = df.select(F.explode(pairs).alias("p")).select("p.i", "p.v").where("v IS NOT NULL").distinct()
+        exact |= {r["i"]: r["n"] for r in long.groupBy("i").agg(F.count("*").alias("n")).collect()}
+        exact |= {i: 0 for i, _, _ in large if i not in exact}
 
     out = []
     n = rows_total or 0
@@ -204,7 +210,6 @@ def profile_stats(df: DataFrame, exclude: list[str] | None = None,
         thr = 0.5 if has_date_keyword(c) else 0.9
         is_date = bool(best and n and dfrac > thr and best[2] is not None and best[2] < best[3])
         nd = exact.get(i)
-        nd_report = nd if (nd is not None and nd < SMALL_DISTINCT) else None
         nfrac = (fa.get(f"nv{i}", 0) / n) if (n and kind in ("numeric", "text")) else None
         low = nd is not None and nd < 10 and n and nd / n < 0.05
         if is_date:
@@ -213,7 +218,7 @@ def profile_stats(df: DataFrame, exclude: list[str] | None = None,
             role = "dimension" if low else "metric"
         else:
             role = "dimension"
-        out.append((c, i, dt.simpleString(), role, n, nn, nd_report, float(dfrac),
+        out.append((c, i, dt.simpleString(), role, n, nn, nd, float(dfrac),
                     best[0] if is_date else None, None if nfrac is None else float(nfrac)))
     schema = ("column string, position int, dtype string, role string, rows long, "
               "non_null long, n_distinct long, date_fraction double, date_format string, "

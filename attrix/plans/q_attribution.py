@@ -108,6 +108,11 @@ QUERIES = {
     "contribution_empty_base": q_contribution_empty_base,
     "cross_2d": q_cross_2d,
     "cross_2d_pivot": q_cross_2d_pivot,
+    "cross_pairs_top15": lambda s, sf: finalize(A.multi_contribution(
+        _orders_customer(s, sf), ["o_orderpriority", "c_mktsegment"], "o_totalprice", "o_orderdate", HALF_YEAR, top_n=15)),
+    "contribution_parts": lambda s, sf: finalize(A.contribution(
+        table(s, sf, "lineitem"), "l_partkey", "l_extendedprice", "l_shipdate", HALF_YEAR)),
+    "period_custom_explicit": lambda s, sf: resolve_period(table(s, sf, "orders"), "o_orderdate", "custom", custom=HALF_YEAR),
     "cross_3d": q_cross_3d,
     "cross_3d_rollup": q_cross_3d_rollup,
     "auto_attribution_topn": q_auto_attribution_topn,
@@ -182,6 +187,12 @@ ORACLE = {
                   "o_orderdate", HALF_YEAR, dim_label=False), MEASURES),
 }
 
+ORACLE["cross_pairs_top15"] = "SELECT * FROM (" + rounded_sql(
+    _attr_sql("(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey)", ["o_orderpriority", "c_mktsegment"],
+              "o_totalprice", "o_orderdate", HALF_YEAR, dim_label=False), MEASURES) + ") WHERE rank <= 15"
+ORACLE["contribution_parts"] = rounded_sql(
+    _attr_sql("lineitem", ["l_partkey"], "l_extendedprice", "l_shipdate", HALF_YEAR), MEASURES)
+
 ORACLE["contribution_full_outer"] = rounded_sql("""
 WITH d AS (SELECT max(o_orderdate)::DATE AS d1 FROM orders),
      b AS (SELECT o_orderpriority AS value, SUM(o_totalprice) AS v FROM orders, d
@@ -322,3 +333,5 @@ for _k, (_p, _t, _c) in {
     "period_last7_events": ("last7", "events", "ts"),
 }.items():
     ORACLE[_k] = _named_period_sql(_p, _t, _c)
+ORACLE["period_custom_explicit"] = f"""SELECT * REPLACE ('{HALF_YEAR.base_start}' AS base_start, '{HALF_YEAR.base_end}' AS base_end,
+  '{HALF_YEAR.target_start}' AS target_start, '{HALF_YEAR.target_end}' AS target_end) FROM ({ORACLE["period_custom"]})"""

@@ -68,7 +68,7 @@ QUERIES = {
     "confusion": lambda s, sf: B.confusion(rule_predictions(s, sf)),
     "class_report": lambda s, sf: finalize(B.classification_report(rule_predictions(s, sf))),
     "cluster_stats": lambda s, sf: finalize(B.cluster_stats(
-        _emb(s, sf), "label", ["e0", "e1", "e2", "e3"], decimals=None)),
+        _emb(s, sf, 64), "label", [f"e{i}" for i in range(64)], decimals=None)),
     "ts_prepare": lambda s, sf: finalize(FP.prepare_series(table(s, sf, "orders"), "o_orderdate",
                                                            "o_totalprice")),
     "ts_prepare_multi": lambda s, sf: finalize(FP.prepare_series(
@@ -163,7 +163,7 @@ FROM c a CROSS JOIN c b LEFT JOIN n ON n.label = a.v AND n.prediction = b.v""",
     "cluster_stats": rounded_sql(" UNION ALL ".join(
         f"SELECT label AS cluster, 'e{i}' AS feature, avg(embedding[{i + 1}]::DOUBLE) AS mean, "
         f"stddev_samp(embedding[{i + 1}]::DOUBLE) AS std, count(embedding[{i + 1}]) AS count "
-        f"FROM embeddings GROUP BY label" for i in range(4)), ["mean", "std"]),
+        f"FROM embeddings GROUP BY label" for i in range(64)), ["mean", "std"]),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attrix.functions.exprs import pct_format, smart_format
+from attrix.functions.exprs import pct_format, pp_format, signed_format, smart_format
 from attrix.operators import charts, cleaning, overview, stats, trend
 from attrix.plans.common import finalize, rounded_sql, table
 
@@ -104,6 +104,10 @@ QUERIES = {
         smart_format(F.avg("o_totalprice") / 1000).alias("mean_k_fmt"),
         pct_format(F.count(F.lit(1)) / 150.0).alias("share_fmt"),
     ),
+    "change_formats": lambda s, sf: table(s, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(
+        pp_format(F.count("*") / 64.0 - 3).alias("points_fmt"),
+        signed_format(F.avg("o_totalprice") - 150_000).alias("change_fmt"),
+    ),
 }
 
 
@@ -328,3 +332,7 @@ SELECT o_orderpriority,
        ELSE format('{:.2f}', AVG(o_totalprice) / 1000) END AS mean_k_fmt,
   format('{:.2f}', count(*)::DOUBLE / 150.0) || '%' AS share_fmt
 FROM orders GROUP BY 1"""
+ORACLE["change_formats"] = """
+SELECT o_orderpriority, o_orderstatus, format('{:.2f}', count(*)::DOUBLE / 64 - 3) || 'pp' AS points_fmt,
+  CASE WHEN avg(o_totalprice) >= 150000 THEN '+' ELSE '' END || format('{:,.2f}', avg(o_totalprice) - 150000) AS change_fmt
+FROM orders GROUP BY ALL"""

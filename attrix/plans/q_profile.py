@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from attrix.operators.profile import profile_stats
+from pyspark.sql import functions as F
+
+from attrix.operators.profile import profile, profile_stats
 from attrix.plans.common import finalize, rounded_sql, table
 
+def text_orders(s, sf):
+    """Orders as a text export has them: dates, thousands and percentages as strings."""
+    o = table(s, sf, "orders")
+    return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM/dd").alias("order_day"),
+                    F.format_number("o_totalprice", 2).alias("amount_text"),
+                    F.concat((F.col("o_custkey") % 97).cast("string"), F.lit("%")).alias("share_text"), "o_orderpriority")
+
+
 QUERIES = {
+    "profile_text": lambda s, sf: finalize(profile_stats(text_orders(s, sf))),
+    "profile_frame": lambda s, sf: finalize(profile(text_orders(s, sf))[0], 12),
     "profile": lambda s, sf: finalize(profile_stats(table(s, sf, "orders"))),
     "profile_lineitem": lambda s, sf: finalize(profile_stats(table(s, sf, "lineitem"))),
 }
@@ -54,7 +66,7 @@ def _profile_sql(tbl: str, cols: list[tuple[str, str, str]]) -> str:
         is_date = f"(rows > 0 AND {best} / rows > {thr} AND COALESCE({multi}, false))"
         parts.append(f"""SELECT '{c}' AS column, {i} AS position, '{dtype}' AS dtype,
   CASE WHEN {is_date} THEN 'date' ELSE {role_num} END AS role, rows, non_null,
-  CASE WHEN nd < 1000 AND {'false' if kind == 'ts' else 'true'} THEN nd END AS n_distinct,
+  {"NULL::BIGINT" if kind == "ts" else "nd"} AS n_distinct,
   ({best} / rows)::DOUBLE AS date_fraction, CASE WHEN {is_date} THEN {fmt} END AS date_format,
   {"NULL::DOUBLE" if kind == "ts" else "(nv / rows)::DOUBLE"} AS numeric_fraction
 FROM (SELECT count(*) AS rows, count({c}) AS non_null, count({num}) AS nv,
@@ -75,3 +87,19 @@ ORACLE = {
         ("l_returnflag", "text", "string"), ("l_linestatus", "text", "string"),
         ("l_shipdate", "ts", "timestamp_ntz")]),
 }
+
+ORACLE["profile_text"] = rounded_sql("""
+WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, round(o_totalprice, 2) AS a, (o_custkey % 97)::DOUBLE AS p, o_orderpriority FROM orders),
+t AS (SELECT count(*) AS rows FROM o)
+SELECT 'o_orderkey' AS column, 0 AS position, 'bigint' AS dtype, 'metric' AS role, rows, (SELECT count(o_orderkey) FROM o) AS non_null,
+  (SELECT count(DISTINCT o_orderkey) FROM o) AS n_distinct,
+  (SELECT count(*) FROM o WHERE o_orderkey BETWEEN 1678 AND 2261) / rows AS date_fraction, NULL::VARCHAR AS date_format,
+  1.0::DOUBLE AS numeric_fraction FROM t
+UNION ALL SELECT 'order_day', 1, 'string', 'date', rows, (SELECT count(d) FROM o), 0, 1.0, 'yyyy/M/d', 0.0 FROM t
+UNION ALL SELECT 'amount_text', 2, 'string', 'metric', rows, (SELECT count(a) FROM o), (SELECT count(DISTINCT a) FROM o), 0.0, NULL, 1.0 FROM t
+UNION ALL SELECT 'share_text', 3, 'string', 'metric', rows, (SELECT count(p) FROM o), (SELECT count(DISTINCT p) FROM o), 0.0, NULL, 1.0 FROM t
+UNION ALL SELECT 'o_orderpriority', 4, 'string', 'dimension', rows, (SELECT count(o_orderpriority) FROM o), 0, 0.0, NULL, 0.0 FROM t
+""", ["date_fraction", "numeric_fraction"])
+ORACLE["profile_frame"] = rounded_sql("""
+SELECT o_orderkey, o_orderdate::DATE::TIMESTAMP AS order_day, round(o_totalprice, 2) AS amount_text,
+       (o_custkey % 97)::DOUBLE AS share_text, o_orderpriority FROM orders""", ["amount_text", "share_text"], 12)

@@ -234,21 +234,44 @@ def test_row_number_over_ranges(spark):
     assert "SinglePartition" not in out._jdf.queryExecution().toString()
 
 
-def test_silhouette_exact_matches_numpy(spark):
-    from attrix.ml.models import silhouette_exact
-
-    rng = np.random.default_rng(3)
-    X = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(5, 1, (25, 2)), rng.normal([0, 6], 1, (20, 2))])
-    lab = np.array([0] * 30 + [1] * 25 + [2] * 20)
-    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(X, lab)],
-                               "a double, b double, cluster int")
-    got = silhouette_exact(df, ["a", "b"]).collect()[0]["silhouette"]
-    Z = (X - X.mean(0)) / X.std(0)
+def _silhouette_brute(Z, lab):
     D = np.sqrt(((Z[:, None] - Z[None]) ** 2).sum(2))
     s = []
     for i in range(len(Z)):
         own = lab == lab[i]
+        if own.sum() < 2:
+            s.append(0.0)
+            continue
         a = D[i, own].sum() / (own.sum() - 1)
         b = min(D[i, lab == k].mean() for k in set(lab) if k != lab[i])
         s.append((b - a) / max(a, b))
-    assert got == pytest.approx(np.mean(s), rel=1e-9)
+    return np.mean(s)
+
+
+def test_silhouette_euclidean_matches_numpy(spark):
+    from attrix.ml.models import silhouette_euclidean
+
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(0, 1, (30, 2)), rng.normal(5, 1, (25, 2)), rng.normal([0, 6], 1, (20, 2)), [[20, 20]], np.zeros((4, 2))])
+    lab = np.array([0] * 30 + [1] * 25 + [2] * 20 + [3] + [0] * 4)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(X, lab)] + [(9.0, 9.0, -1)],
+                               "a double, b double, cluster int")
+    got = silhouette_euclidean(df, ["a", "b"]).first()
+    Z = (X - X.mean(0)) / X.std(0)
+    assert got["silhouette"] == pytest.approx(_silhouette_brute(Z, lab), abs=1e-7)
+    assert (got["clusters"], got["error"], got["exact"]) == (4, 0.0, True)
+    one = silhouette_euclidean(df.where("cluster = 0"), ["a", "b"]).first()
+    assert (one["silhouette"], one["clusters"]) == (0.0, 1)
+
+
+def test_silhouette_sample_is_near_with_its_error(spark):
+    from attrix.ml.models import silhouette_euclidean
+
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(0, 1, (900, 2)), rng.normal(2.5, 1, (700, 2))])
+    lab = np.array([0] * 900 + [1] * 700)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(X, lab)], "a double, b double, cluster int")
+    got = silhouette_euclidean(df, ["a", "b"], reference=160).first()
+    want = _silhouette_brute((X - X.mean(0)) / X.std(0), lab)
+    assert not got["exact"] and 0 < got["error"] < 0.03
+    assert abs(got["silhouette"] - want) < max(5 * got["error"], 0.01)
