@@ -29,7 +29,7 @@ def _na_to_null(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            cols.append(F.when(F.trim(c).isin(NA_TOKENS), None).otherwise(c).alias(f.name))
+            cols.append(F.when(c.isin(NA_TOKENS), None).otherwise(c).alias(f.name))
         else:
             cols.append(c)
     return df.select(*cols)
@@ -67,31 +67,42 @@ def _infer(df: DataFrame) -> DataFrame:
 CORRUPT = "_corrupt_record"
 
 
-def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a newline: some line has an odd number of quotes
+    (doubled quotes come in pairs)."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(path).where(odd).isEmpty()
+
+
+def _raw_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All columns as text, quoted newlines and doubled quotes read as such,
     and ``_corrupt_record`` with the source of rows that have other fields than
-    the header."""
-    options = dict(header=True, encoding="UTF-8", multiLine=True, quote='"', escape='"',
+    the header.  Files without a quoted newline are split, one task a block;
+    others are read whole, one task a file."""
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
+    options = dict(header=True, encoding="UTF-8", multiLine=multi_line, quote='"', escape='"',
                    mode="PERMISSIVE", inferSchema=False)
     names = spark.read.options(**options).csv(path).schema.fieldNames()
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     return spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(schema).csv(path)
 
 
-def corrupt_rows(spark: SparkSession, path: str) -> int:
+def corrupt_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> int:
     """How many rows have more or fewer fields than the header."""
-    df = _raw_csv(spark, path)
+    df = _raw_csv(spark, path, multi_line)
     return df.select(F.count(CORRUPT), *[F.count(f"`{c}`") for c in df.columns]).first()[0]
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """Header row, UTF-8, quoted fields with newlines and doubled quotes, NA
     tokens → NULL, numbers inferred.  Malformed rows are kept (PERMISSIVE) and
-    counted by :func:`corrupt_rows`."""
+    counted by :func:`corrupt_rows`.  ``multi_line``: whether quoted fields hold
+    newlines; by default a first pass over the lines finds out."""
     if not path.lower().endswith(".csv") and not path.endswith("/"):
         raise SourceError(f"not a .csv path: {path}")
     try:
-        raw = _raw_csv(spark, path).drop(CORRUPT)  # lists the files, so errors surface here
+        raw = _raw_csv(spark, path, multi_line).drop(CORRUPT)  # lists the files, so errors surface here
     except Exception as e:  # noqa: BLE001
         raise SourceError(f"cannot read {path}: {e}") from e
     df = _na_to_null(raw)

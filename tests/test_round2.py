@@ -20,10 +20,10 @@ def test_components_of_a_long_chain(spark):
     assert {r["component"] for r in components(edges).collect()} == {0}
 
 
-def test_dbscan_cluster_across_many_slabs(spark):
+def test_dbscan_cluster_across_many_cells(spark):
     rows = [(i, float(i), 0.0) for i in range(400)] + [(1000 + i, 9000.0 + i, 0.0) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, x double, y double")
-    got = dbscan(df, ["x", "y"], eps=0.01, min_samples=2, keep=["id"], slabs=80)
+    got = dbscan(df, ["x", "y"], eps=0.01, min_samples=2, keep=["id"], salt_rows=3)
     by = {r["id"]: r["cluster"] for r in got.collect()}
     assert len({by[i] for i in range(400)}) == 1 and len({by[1000 + i] for i in range(40)}) == 1
     assert by[0] != by[1000] and -1 not in by.values()

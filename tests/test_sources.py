@@ -40,3 +40,25 @@ def test_snapshot_reset(spark):
     snap = Snapshot.of(df).apply(cleaning.drop_null_columns)
     assert snap.current.columns == ["a"]
     assert snap.reset().current.columns == ["a", "b"]
+
+
+def test_plain_csv_is_split_over_tasks(spark):
+    from attrix.sources.readers import spans_lines
+
+    plain = _csv('a,b\n' + "".join(f'{i},"x ""{i}"" y"\n' for i in range(60_000)))
+    folded = _csv('a,b\n1,"two\nlines"\n2,z\n')
+    assert not spans_lines(spark, plain) and spans_lines(spark, folded)
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = read_csv(spark, plain, infer=False)
+        assert df.rdd.getNumPartitions() > 4
+        assert df.count() == 60_000 and df.where("a = '7'").first()["b"] == 'x "7" y'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert [tuple(r) for r in read_csv(spark, folded).collect()] == [(1, "two\nlines"), (2, "z")]
+
+
+def test_na_tokens_are_compared_as_they_stand(spark):
+    got = [r["b"] for r in read_csv(spark, _csv('a,b\n1,NA\n2," NA"\n3,n/a\n')).collect()]
+    assert got == [None, " NA", None]
