@@ -6,9 +6,10 @@ extreme coefficients at each end.
 
 Distributed plan (no global sort into one task):
 
-1. ``groupBy(x).count()`` — ties collapse, map-side combined.
-2. Global ranks: distinct values are bucketed by approximate quantiles
-   (a bounded array of boundaries from ``percentile_approx``); bucket
+1. ``groupBy(x).count()`` — ties collapse, map-side combined; written once, and
+   all that follows reads the distinct values.
+2. Global ranks: distinct values are bucketed by their approximate quantiles
+   (a bounded array of boundaries, searched by halving); bucket
    totals (≤ ``buckets`` rows) give the bucket offsets; a window
    partitioned by bucket gives the running count inside each bucket.
 3. Each distinct value covers ranks ``lo+1 … hi``; Σ mᵢ over the range is
@@ -28,10 +29,13 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attrix.session import partitions_for, stash
+
 # ---------------------------------------------------------------------------
 # Fixed published constants.
 # Acklam's inverse-normal rational approximation.
@@ -82,8 +86,7 @@ def _poly_py(c, x):
     return sum(ci * x ** i for i, ci in enumerate(c))
 
 
-def shapiro_wilk(df: DataFrame, column: str, buckets: int = 256, exact_run: int = 64,
-                 accuracy: int = 100000) -> DataFrame:
+def shapiro_wilk(df: DataFrame, column: str, buckets: int = 256, exact_run: int = 64) -> DataFrame:
     """One row: ``column, n, W, p_value, is_normal (p > 0.05), explanation,
     p_reliable (n ≤ 5000)``; n < 3 → W and p are NULL."""
     spark: SparkSession = df.sparkSession
@@ -96,9 +99,10 @@ def shapiro_wilk(df: DataFrame, column: str, buckets: int = 256, exact_run: int
     # Σ m_i² over i = 1..n, distributed
     mi = norm_ppf((F.col("id").cast("double") - 0.375) / (nn + 0.25))
     mm = spark.range(1, n + 1).agg(F.sum(mi * mi)).first()[0]
+    g = stash(vals.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "ties")
     # extremes (bounded top-2 at each end)
-    lo2 = [r[0] for r in vals.orderBy("x").limit(2).collect()]
-    hi2 = [r[0] for r in vals.orderBy(F.col("x").desc()).limit(2).collect()]
+    lo2 = [r[0] for r in g.orderBy("x").limit(2).collect() for _ in range(min(r[1], 2))][:2]
+    hi2 = [r[0] for r in g.orderBy(F.col("x").desc()).limit(2).collect() for _ in range(min(r[1], 2))][:2]
     m_n = _py_ppf((nn - 0.375) / (nn + 0.25))
     m_n1 = _py_ppf((nn - 1.375) / (nn + 0.25))
     u = 1.0 / math.sqrt(nn)
@@ -114,29 +118,24 @@ def shapiro_wilk(df: DataFrame, column: str, buckets: int = 256, exact_run: int
         num = math.sqrt(0.5) * (hi2[0] - lo2[0])
     else:
         # Σ m_i x_(i) over all ranks, distributed
-        g = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = vals.select(F.percentile_approx("x", probs, accuracy).alias("b")).scalar()
-        g = g.withColumn("_b", bounds).withColumn(
-            "bucket", F.size(F.filter(F.col("_b"), lambda b: b < F.col("x")))).drop("_b")
-        btot = g.groupBy("bucket").agg(F.sum("c").alias("bc"))
-        boff = btot.select("bucket", (F.sum("bc").over(Window.orderBy("bucket").rowsBetween(
-            Window.unboundedPreceding, -1))).alias("boff"))   # ≤ buckets rows
+        bounds = g.agg(F.percentile_approx("x", probs, 16 * buckets)).first()[0]
+        splits = sorted({-math.inf, 0.0, math.inf, *bounds})  # any cuts will do
+        ranked = Bucketizer(splits=splits, inputCol="x", outputCol="bucket", handleInvalid="keep").transform(g)
+        boff = ranked.groupBy("bucket").agg(F.sum("c").alias("bc")).select("bucket", F.sum("bc").over(
+            Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("boff"))   # ≤ buckets rows
         win = Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = g.withColumn("inb", F.coalesce(F.sum("c").over(win), F.lit(0))).join(
-            F.broadcast(boff), "bucket").withColumn(
-            "lo", F.coalesce(F.col("boff"), F.lit(0)) + F.col("inb")).withColumn(
-            "hi", F.col("lo") + F.col("c"))
-        small = ranked.where(F.col("c") <= exact_run).select(
-            "x", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("i"))
-        s_small = small.agg(F.sum(F.col("x") * norm_ppf(
-            (F.col("i").cast("double") - 0.375) / (nn + 0.25)))).first()[0] or 0.0
+        lo = F.coalesce("boff", F.lit(0)) + F.coalesce("inb", F.lit(0))
+        ranked = (ranked.repartition(partitions_for(n, cap=buckets), "bucket").withColumn("inb", F.sum("c").over(win)).join(F.broadcast(boff), "bucket")
+                  .select("x", "c", lo.alias("lo"), (lo + F.col("c")).alias("hi")))
+        each = F.explode(F.when(F.col("c") <= exact_run, F.sequence(F.col("lo") + 1, F.col("hi"))).otherwise(
+            F.array(F.lit(None).cast("long"))))
         pa = (F.col("lo").cast("double") + 0.125) / (nn + 0.25)
         pb = (F.col("hi").cast("double") + 0.125) / (nn + 0.25)
         dens = lambda p: F.exp(-0.5 * norm_ppf(p) * norm_ppf(p)) / math.sqrt(2 * math.pi)
-        big = ranked.where(F.col("c") > exact_run).agg(
-            F.sum(F.col("x") * (nn + 0.25) * (dens(pa) - dens(pb)))).first()[0] or 0.0
-        s_mx = s_small + big
+        rank = norm_ppf((F.col("i").cast("double") - 0.375) / (nn + 0.25))
+        s_mx = ranked.select("*", each.alias("i")).agg(F.sum(F.col("x") * F.when(F.col("i").isNotNull(), rank).otherwise(
+            (nn + 0.25) * (dens(pa) - dens(pb))))).first()[0]
         inv = 1.0 / math.sqrt(phi)
         num = s_mx * inv
         # replace the coefficients at the extreme ranks

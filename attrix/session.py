@@ -115,3 +115,13 @@ def partitions_for(rows: int, rows_per_partition: int = 200_000, cap: int | None
     not inherit hundreds of shuffle partitions; big ones still spread)."""
     n = max(1, -(-int(rows) // rows_per_partition))
     return min(n, cap) if cap else n
+
+
+def spread(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
+    """``df`` dealt evenly over the cluster's cores for a job that passes over it again and
+    again.  A Parquet split holds whole row groups, so millions of narrow rows can be one
+    task; a table of up to ``rows_per_partition`` rows stays as it is read."""
+    rows = df.count()
+    most = max(4 * df.sparkSession.sparkContext.defaultParallelism, partitions_for(rows, 10 * rows_per_partition))
+    parts = partitions_for(rows, rows_per_partition, most)
+    return df if parts == 1 else df.repartition(parts)
