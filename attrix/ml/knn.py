@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attrix.session import ship_package, stash
+from attrix.session import ship_package, spread, stash
 
 MAX_PIVOTS, BLOCK, VISITS = 1024, 32_768, 262_144
+#: Rows that meet all pivots at a time, and rows handed on or compared at a time.
+ROWS, OUT = 512, 1 << 15
 #: Relative widening of the bounds.
 SLACK = 1e-9
 
@@ -70,13 +72,26 @@ def _pieces(batches, *keys: str):
                 yield tuple(part[c].iloc[0] for c in keys), part
 
 
+def _slices(batches):
+    """The batches in pieces whose table of distances to all pivots stays small."""
+    for b in batches:
+        for lo in range(0, len(b), ROWS):
+            yield b.iloc[lo:lo + ROWS]
+
+
 def _nearest(q: np.ndarray, x: np.ndarray, label: np.ndarray, k: int):
     """``(row, distance, label)`` of the k best rows of ``x`` for each row of ``q``."""
     k = min(k, len(x))
     approx = _distances(q, x) ** 2
     kth = np.partition(approx, k - 1, axis=1)[:, k - 1]
     room = SLACK * ((q * q).sum(1) + (x * x).sum(1).max()) + 1e-300
-    row, col = np.nonzero(approx <= (kth + 2 * room)[:, None])
+    close = approx <= (kth + 2 * room)[:, None]
+    if len(q) > 1 and np.count_nonzero(close) > OUT:  # many ties
+        del approx, close
+        half = len(q) // 2
+        low, high = _nearest(q[:half], x, label, k), _nearest(q[half:], x, label, k)
+        return np.r_[low[0], high[0] + half], np.r_[low[1], high[1]], np.r_[low[2], high[2]]
+    row, col = np.nonzero(close)
     exact = ((q[row] - x[col]) ** 2).sum(1)
     order = np.lexsort((label[col], exact, row))
     row, col, exact = row[order], col[order], exact[order]
@@ -175,7 +190,7 @@ def knn_join(train: DataFrame, test: DataFrame, d: int, k: int, pivots: int | No
     spark = train.sparkSession
     ship_package(spark)
     zc = [f"z{i}" for i in range(d)]
-    train = stash(train.select("label", *zc).withColumn("id", F.monotonically_increasing_id()), "knn-train")
+    train = stash(spread(train.select("label", *zc)).withColumn("id", F.monotonically_increasing_id()), "knn-train")
     n = train.count()
     want = pivots or min(MAX_PIVOTS, max(1, int(n ** 0.5 / 2)))
     seeds = [tuple(r) for r in train.select(*zc).distinct().orderBy(F.xxhash64(*zc), *zc).limit(want).collect()]
@@ -184,10 +199,9 @@ def knn_join(train: DataFrame, test: DataFrame, d: int, k: int, pivots: int | No
     cells = _Cells(np.array(seeds, np.float64).reshape(-1, d))
 
     def to_cell(batches):
-        for b in batches:
-            if not b.empty:
-                cell, far = cells.home(_coordinates(b, d))
-                yield b.assign(cell=cell, far=far[np.arange(len(b)), cell])
+        for b in _slices(batches):
+            cell, far = cells.home(_coordinates(b, d))
+            yield b.assign(cell=cell, far=far[np.arange(len(b)), cell])
 
     shape = ", ".join(f"{z} double" for z in zc)
     train = stash(train.select("id", "label", *zc).mapInPandas(to_cell, f"id long, label string, {shape}, cell int, far double"), "knn-cells")
@@ -199,11 +213,10 @@ def knn_join(train: DataFrame, test: DataFrame, d: int, k: int, pivots: int | No
         cells.smallest[r["cell"]] = np.array(small[r["cell"]])
 
     def go_home(batches):
-        for b in batches:
-            if not b.empty:
-                x = _coordinates(b, d)
-                cell, far = cells.home(x)
-                yield b.assign(cell=cell, most=cells.above(x, far, k))
+        for b in _slices(batches):
+            x = _coordinates(b, d)
+            cell, far = cells.home(x)
+            yield b.assign(cell=cell, most=cells.above(x, far, k))
 
     asked = stash(test.select("id", *zc).mapInPandas(go_home, f"id long, {shape}, cell int, most double"), "knn-test")
     near = stash(_meet(train, asked, cells, k), "knn-home")
@@ -211,16 +224,16 @@ def knn_join(train: DataFrame, test: DataFrame, d: int, k: int, pivots: int | No
     sharper = asked.join(kth, "id", "left").withColumn("most", F.least("most", F.col("kth") * (1 + SLACK))).drop("kth")
 
     def go_out(batches):
-        for b in batches:
-            if not b.empty:
-                x = _coordinates(b, d)
-                home = b["cell"].to_numpy()
-                low = cells.below(x, _distances(x, cells.pivots), home)
-                go = (low <= b["most"].to_numpy()[:, None]) & (cells.count > 0)
-                go[np.arange(len(b)), home] = False
-                row, cell = np.nonzero(go)
-                out = b.iloc[row][["id", *zc]]
-                yield out.assign(cell=cell.astype(np.int32))
+        for b in _slices(batches):
+            x = _coordinates(b, d)
+            home = b["cell"].to_numpy()
+            low = cells.below(x, _distances(x, cells.pivots), home)
+            go = (low <= b["most"].to_numpy()[:, None]) & (cells.count > 0)
+            go[np.arange(len(b)), home] = False
+            row, cell = np.nonzero(go)
+            point = b[["id", *zc]]
+            for lo in range(0, len(row), OUT):  # a row may go to every cell
+                yield point.iloc[row[lo:lo + OUT]].assign(cell=cell[lo:lo + OUT].astype(np.int32))
 
     away = stash(sharper.select("id", *zc, "cell", "most").mapInPandas(go_out, f"id long, {shape}, cell int"), "knn-away")
     return _best(near.unionByName(_meet(train, away, cells, k)), k)
@@ -231,8 +244,8 @@ def knn_classify(train: DataFrame, test: DataFrame, features: list[str], label:
     """(key,) label and prediction of every test row; ties in the vote go to the
     smallest label."""
     keep = [F.col(key).alias(key)] if key else []
-    asked = stash(test.select(F.col(label).cast("string").alias("label"), *[c.alias("_key") for c in keep],
-                              *_scaled(test, features, stats)).withColumn("id", F.monotonically_increasing_id()), "knn-asked")
+    asked = stash(spread(test.select(F.col(label).cast("string").alias("label"), *[c.alias("_key") for c in keep],
+                              *_scaled(test, features, stats))).withColumn("id", F.monotonically_increasing_id()), "knn-asked")
     known = train.select(F.col(label).cast("string").alias("label"), *_scaled(train, features, stats))
     nearest = knn_join(known, asked, len(features), k, pivots)
     votes = nearest.groupBy("tid", "nlabel").agg(F.count("*").alias("v"))
