@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -42,6 +43,7 @@ from attrix.ml.basics import (
     require_rows,
     split_bucket,
 )
+from attrix.session import spread
 
 SEED = 42
 
@@ -97,6 +99,23 @@ class ClusterResult:
     cost: float | None = None
 
 
+def _bisect(X: DataFrame, k: int, seed: int, max_iter: int):
+    """Bisecting k-means of ``max_iter`` iterations a split.  MLlib runs them all, long
+    after the centres stand still; here fits of 16, 32, ... iterations stop at the first
+    that ends where half as many did.  A row that changes sides moves a centre by far more
+    than the tolerance, which only covers sums added up in another order."""
+    was, turns = None, 16
+    while True:
+        turns = min(turns, max_iter)
+        model = BisectingKMeans(k=k, seed=seed, maxIter=turns).fit(X)
+        if turns == max_iter:
+            return model
+        now = list(model.summary.clusterSizes), np.array(model.clusterCenters())
+        if was and was[0] == now[0] and np.allclose(was[1], now[1], rtol=1e-11, atol=0):
+            return model
+        was, turns = now, 2 * turns
+
+
 def cluster(df: DataFrame, features: list[str], algorithm: str = "kmeans", k: int = 3,
             keep: list[str] | None = None, restarts: int = 10, seed: int = SEED,
             max_iter: int = 300) -> ClusterResult:
@@ -111,7 +130,7 @@ def cluster(df: DataFrame, features: list[str], algorithm: str = "kmeans", k: in
     require_rows(src, "clustering")
     stats = scaler_stats(src, features)
     shift = 10.0 if algorithm == "bisecting" else 0.0
-    z = src.select(*keep, *features, *scaled_cols(features, stats, shift))
+    z = spread(src.select(*keep, *features, *scaled_cols(features, stats, shift)))
     X = assemble(z, [f"{c}__z" for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if algorithm == "kmeans":
@@ -124,7 +143,7 @@ def cluster(df: DataFrame, features: list[str], algorithm: str = "kmeans", k: in
                     best, best_cost = m, cost
             model, cost = best, best_cost
         elif algorithm == "bisecting":
-            model = BisectingKMeans(k=k, seed=seed, maxIter=max_iter).fit(X)
+            model = _bisect(X, k, seed, max_iter)
             cost = model.summary.trainingCost
         else:
             raise ValueError(f"unknown clustering algorithm {algorithm!r}")
@@ -144,8 +163,8 @@ def silhouette(labelled: DataFrame, features: list[str], cluster_col: str = "clu
     distance; for the Euclidean score see :func:`silhouette_euclidean`."""
     src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
     stats = scaler_stats(src, features)
-    z = assemble(src.select(F.col(cluster_col).cast("double").alias("c"),
-                            *scaled_cols(features, stats)), [f"{c}__z" for c in features])
+    z = assemble(spread(src.select(F.col(cluster_col).cast("double").alias("c"),
+                                   *scaled_cols(features, stats))), [f"{c}__z" for c in features])
     n_clusters = z.select(F.count_distinct("c")).first()[0]
     if n_clusters < 2:
         score = 0.0
@@ -184,7 +203,7 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
     cols = features + [target]
     src = complete_rows(df, cols).select(*([key] if key else []), *cols)
     require_rows(src, "regression")
-    train, test = _split(src, key, cols)
+    train, test = (spread(d) for d in _split(src, key, cols))
     y = F.col(target).cast("double").alias("label")
     if algorithm == "ridge":
         stats = scaler_stats(train, features)
@@ -249,7 +268,7 @@ def classify(df: DataFrame, target: str, features: list[str], algorithm: str = "
         raise ValueError("classification takes at most 10,000 classes")
     if len(classes) < 2:
         raise ValueError("classification needs at least two classes")
-    train, test = _split(src, key, cols)
+    train, test = (spread(d) for d in _split(src, key, cols))
     indexer = StringIndexer(inputCol="label", outputCol="label_idx",
                             stringOrderType="alphabetAsc").fit(src.select("label"))
     scaled = algorithm in ("logreg", "svm", "knn", "mlp")
@@ -384,8 +403,8 @@ def feature_importance(df: DataFrame, target: str, features: list[str],
     and the training R²."""
     src = complete_rows(df, features + [target])
     require_rows(src, "reduction")
-    X = assemble(src.select(F.col(target).cast("double").alias("label"),
-                            *[F.col(c).cast("double") for c in features]), features)
+    X = assemble(spread(src.select(F.col(target).cast("double").alias("label"),
+                                   *[F.col(c).cast("double") for c in features])), features)
     X = X.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth,
@@ -412,7 +431,6 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col:
     exactly, and with all of them the score is exact (``exact``, error 0); otherwise
     ``error`` is the standard error of the mean over the blocks' own scores.  A row's
     distance to itself is left out."""
-    import numpy as np
     import pandas as pd
 
     from attrix.session import ship_package, stash
@@ -423,7 +441,7 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col:
     cols = scaled_cols(features, scaler_stats(src, features)) if scale else [F.col(c).cast("double") for c in features]
     zc = [f"z{i}" for i in range(len(features))]
     pts = src.select(F.col(cluster_col).cast("string").alias("c"), *[e.alias(z) for z, e in zip(zc, cols)])
-    pts = stash(pts.withColumn("h", F.xxhash64(*zc, F.lit(seed))).withColumn("id", F.monotonically_increasing_id()), "silhouette")
+    pts = stash(spread(pts).withColumn("h", F.xxhash64(*zc, F.lit(seed))).withColumn("id", F.monotonically_increasing_id()), "silhouette")
     sizes = {r["c"]: r["n"] for r in pts.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row a cluster
     names = sorted(sizes)
     if len(names) < 2:
@@ -442,11 +460,12 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col:
         mean = np.zeros((len(q), len(names)))
         alone = np.zeros(len(q), bool)
         for j, (x, xid) in enumerate(shared.value):
-            at = np.arange(len(x)) if part is None or len(x) < 2 * blocks else np.arange(part, len(x), blocks)
-            d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x[at].T + (x[at] * x[at]).sum(1), 0.0))
-            mine = (own == j)[:, None] & (ids[:, None] == xid[at][None, :])
+            at = slice(None) if part is None or len(x) < 2 * blocks else slice(part, None, blocks)
+            x, xid = x[at], xid[at]
+            d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1), 0.0))
+            mine = (own == j)[:, None] & (ids[:, None] == xid[None, :])
             d[mine] = 0.0
-            count = len(at) - mine.sum(1)
+            count = len(x) - mine.sum(1)
             alone |= (own == j) & ((count == 0) | (n_of[j] < 2))
             mean[:, j] = d.sum(1) / np.maximum(count, 1)
         rows = np.arange(len(q))
@@ -458,8 +477,8 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col:
     def fn(batches):
         total = np.zeros(blocks + 2)
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                b = batch.iloc[lo:lo + 2048]
+            for lo in range(0, len(batch), 256):  # x reference: what a task holds at a time
+                b = batch.iloc[lo:lo + 256]
                 q, ids = b[zc].to_numpy(dtype=float), b["id"].to_numpy(dtype=np.int64)
                 own = np.array([place[c] for c in b["c"]])
                 total[0] += len(b)
