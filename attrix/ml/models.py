@@ -492,6 +492,6 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col:
         *[F.sum(f"t{i}").alias(f"t{i}") for i in range(blocks + 2)])
     each = [F.col(f"t{i}") / F.col("t0") for i in range(2, blocks + 2)]
     middle = sum(each, F.lit(0.0)) / blocks
-    spread = F.sqrt(sum(((e - middle) * (e - middle) for e in each), F.lit(0.0)) / (blocks - 1) / blocks)
+    deviation = F.sqrt(sum(((e - middle) * (e - middle) for e in each), F.lit(0.0)) / (blocks - 1) / blocks)
     return sums.select((F.col("t1") / F.col("t0")).alias("silhouette"), F.lit(len(names)).cast("long").alias("clusters"),
-                       (F.lit(0.0) if exact else spread).alias("error"), F.lit(exact).alias("exact"))
+                       (F.lit(0.0) if exact else deviation).alias("error"), F.lit(exact).alias("exact"))
