@@ -5,6 +5,10 @@ Spark's exact ``percentile`` keeps every distinct value of a group in one
 task at the final merge.  Here the two order statistics around rank
 ``p * (n - 1)`` of each (group, probability) are bracketed:
 
+Groups of at most ``SMALL`` rows take no sketch: they are dealt, whole, to tasks of about
+``PER_TASK`` rows, sorted there and read at their ranks.  So a task's memory is the same
+however many groups there are.  For the larger ones (at most rows / ``SMALL`` of them):
+
 1. One pass takes a KLL sketch of each group (mergeable, bounded).  Its values at
    the wanted ranks, widened by ``SLACK``, are the first brackets.
 2. One pass counts the rows below and inside each bracket, with the inside's
@@ -12,12 +16,11 @@ task at the final merge.  Here the two order statistics around rank
    at most ``SMALL`` rows is *narrow*; a wider one is narrowed by its sketch, or halved
    where that does not narrow it, and counted again; one that missed its ranks (a
    sketch errs with a small probability) goes on with the side that holds them.
-3. One pass counts the distinct values inside narrow brackets (a group of at most
-   ``SMALL`` rows is one narrow bracket for all its probabilities), adds them up in
+3. One pass counts the distinct values inside narrow brackets, adds them up in
    order (at most ``SMALL`` rows a bracket) and picks the values at the ranks.
 
 The brackets are a table, one row a group, joined to the rows on the group; the driver
-sees how many brackets are open and nothing else.  A value or a group holding a third of
+sees how many brackets are open and how many rows small groups have, nothing else.  A value or a group holding a third of
 all rows is combined map side in every pass.
 """
 
@@ -29,10 +32,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.session import stash
+from attrix.session import partitions_for, stash
 
 #: KLL parameter, its rank error with a margin, and the rows of a narrow bracket.
 KLL_K, SLACK, SMALL = 2000, 0.004, 100_000
+#: Rows of small groups that one task sorts.
+PER_TASK = 250_000
 GRID = 256
 
 
@@ -55,24 +60,54 @@ def _interpolated(v0, v1, part):
     return v0 + (v1 - v0) * part
 
 
+def by_size(rows: DataFrame, key: str, groups: DataFrame, small: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """``rows`` of the groups (``key, n``) with more than ``small`` rows, the others dealt by
+    group, and over how many tasks.  What is broadcast is at most rows / ``small`` groups."""
+    small = SMALL if small is None else small
+    large = F.broadcast(groups.where(F.col("n") > small).select(key))
+    total = groups.where(F.col("n") <= small).agg(F.sum("n")).first()[0]
+    tasks = partitions_for(total or 0, PER_TASK)
+    return rows.join(large, key), rows.join(large, key, "left_anti").repartition(tasks, key), tasks
+
+
 def group_quantiles(df: DataFrame, group: str, column: str, probs: list[float], small: int | None = None) -> DataFrame:
     """One row per non-null group: ``g`` (as string), ``n, min, max`` and ``q0, q1, ...``
     for ``probs``; NULL and NaN values are ignored, groups without values left out."""
     small = SMALL if small is None else small
     src = df.select(F.col(group).cast("string").alias("g"), _number(column).alias("x")).where("g IS NOT NULL AND x IS NOT NULL")
     js = range(len(probs))
-    seen = src.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), _sketch(F.col("x")).alias("sk"))
+    groups = stash(src.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("min"), F.max("x").alias("max")), "groups")
+    large, rest, _ = by_size(src, "g", groups, small)
+    out = _sorted_groups(rest, probs)
+    if groups.where(F.col("n") > small).isEmpty():
+        return out
+    src = large
+    seen = groups.join(F.broadcast(src.groupBy("g").agg(_sketch(F.col("x")).alias("sk"))), "g")
     first = _at(F.col("sk"), [p + s for p in probs for s in (-SLACK, SLACK)])
-    state = seen.withColumn("at", first).select("g", "n", "min", "max", (F.col("n") <= small).alias("whole"), *[e for j, p in enumerate(probs) for e in (
+    state = seen.withColumn("at", first).select("g", "n", "min", "max", *[e for j, p in enumerate(probs) for e in (
         F.floor(F.lit(p) * (F.col("n") - 1)).alias(f"r{j}"),
         F.lit(None).cast("double").alias(f"q{j}"), F.lit(False).alias(f"narrow{j}"), F.lit(0).cast("long").alias(f"below{j}"),
         F.get("at", F.lit(2 * j)).alias(f"lo{j}"), F.get("at", F.lit(2 * j + 1)).alias(f"hi{j}"),
         F.col("min").alias(f"from{j}"), F.col("max").alias(f"to{j}"))])  # surely around the ranks
     state = stash(state, "brackets")
-    wide = reduce(lambda a, b: a | b, [F.col(f"q{j}").isNull() & ~F.col(f"narrow{j}") for j in js]) & ~F.col("whole")
+    wide = reduce(lambda a, b: a | b, [F.col(f"q{j}").isNull() & ~F.col(f"narrow{j}") for j in js])
     while not (open_ := state.where(wide)).isEmpty():
         state = stash(state.where(~wide).unionByName(_narrowed(src, open_, probs, small)), "brackets")
-    return _settled(src, state, probs)
+    return out.unionByName(_settled(src, state, probs))
+
+
+def _sorted_groups(rows: DataFrame, probs: list[float]) -> DataFrame:
+    """Quantiles of groups that one task each sorts."""
+    whole = Window.partitionBy("g")
+    at = F.row_number().over(whole.orderBy("x")) - 1
+    ranks = [F.floor(F.lit(p) * (F.col("n") - 1)) for p in probs]
+    picks = [F.max(F.when(F.col("at") == rank, F.col("x"))).alias(f"{name}{j}") for j, r in enumerate(ranks)
+             for name, rank in (("u", r), ("v", F.least(r + 1, F.col("n") - 1)))]
+    picked = (rows.withColumn("at", at).withColumn("n", F.count("*").over(whole))
+              .groupBy("g", "n").agg(F.min("x").alias("min"), F.max("x").alias("max"), *picks))
+    return picked.select("g", "n", "min", "max", *[
+        _interpolated(F.col(f"u{j}"), F.col(f"v{j}"), F.lit(p) * (F.col("n") - 1) - r).alias(f"q{j}")
+        for j, (p, r) in enumerate(zip(probs, ranks))])
 
 
 def _narrowed(src: DataFrame, open_: DataFrame, probs: list[float], small: int) -> DataFrame:
@@ -91,7 +126,7 @@ def _narrowed(src: DataFrame, open_: DataFrame, probs: list[float], small: int)
     seen = seen.select("g", *[f"{e}{j}" for j in js for e in ("b", "i", "mn", "mx", "less", "more")],
                        *[_at(F.col(f"sk{j}"), [i / GRID for i in range(GRID + 1)]).alias(f"grid{j}") for j in js])
     out = open_.join(seen, "g")
-    cols = [F.col(c) for c in ("g", "n", "min", "max", "whole")]
+    cols = [F.col(c) for c in ("g", "n", "min", "max")]
     for j, p in enumerate(probs):
         rank, below, inside = F.col(f"r{j}"), F.col(f"b{j}"), F.col(f"i{j}")
         lo, hi, mn, mx, less, more, from_, to = (F.col(f"{e}{j}") for e in ("lo", "hi", "mn", "mx", "less", "more", "from", "to"))
@@ -127,25 +162,23 @@ def _settled(src: DataFrame, state: DataFrame, probs: list[float]) -> DataFrame:
     """Pick the order statistics from the distinct values of narrow brackets."""
     js = range(len(probs))
     part = [F.lit(p) * (F.col("n") - 1) - F.col(f"r{j}") for j, p in enumerate(probs)]
-    open_ = state.where(F.col("whole") | reduce(lambda a, b: a | b, [F.col(f"q{j}").isNull() for j in js]))
+    open_ = state.where(reduce(lambda a, b: a | b, [F.col(f"q{j}").isNull() for j in js]))
     x = F.col("x")
-    holds = F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(F.array_compact(F.array(*[F.when(
-        F.col(f"q{j}").isNull() & (x >= F.col(f"lo{j}")) & (x <= F.col(f"hi{j}")), F.lit(j)) for j in js])))
-    counts = (src.join(open_.select("g", "whole", *[f"{e}{j}" for j in js for e in ("q", "lo", "hi")]), "g")
+    holds = F.array_compact(F.array(*[F.when(
+        F.col(f"q{j}").isNull() & (x >= F.col(f"lo{j}")) & (x <= F.col(f"hi{j}")), F.lit(j)) for j in js]))
+    counts = (src.join(open_.select("g", *[f"{e}{j}" for j in js for e in ("q", "lo", "hi")]), "g")
               .select("g", "x", F.explode(holds).alias("b")).groupBy("g", "b", "x").agg(F.count("*").alias("c")))
     order = Window.partitionBy("g", "b").orderBy("x")
     placed = counts.withColumn("upto", F.sum("c").over(order)).join(
-        open_.select("g", "n", "whole", *[f"{e}{j}" for j in js for e in ("r", "below")]), "g")
+        open_.select("g", "n", *[f"{e}{j}" for j in js for e in ("r", "below")]), "g")
     picks = []
     for j in js:
-        mine = F.col("whole") | (F.col("b") == j)
-        upto = F.col("upto") + F.when(F.col("whole"), F.lit(0)).otherwise(F.col(f"below{j}"))
+        upto = F.col("upto") + F.col(f"below{j}")
         for name, rank in (("u", F.col(f"r{j}")), ("v", F.least(F.col(f"r{j}") + 1, F.col("n") - 1))):
-            picks.append(F.max(F.when(mine & (upto - F.col("c") <= rank) & (rank < upto), x)).alias(f"{name}{j}"))
+            picks.append(F.max(F.when((F.col("b") == j) & (upto - F.col("c") <= rank) & (rank < upto), x)).alias(f"{name}{j}"))
     picked = placed.groupBy("g").agg(*picks)
     return state.join(picked, "g", "left").select("g", "n", "min", "max", *[
-        F.coalesce(F.when(~F.col("whole"), F.col(f"q{j}")), _interpolated(F.col(f"u{j}"), F.col(f"v{j}"), part[j])).alias(f"q{j}")
-        for j in js])
+        F.coalesce(f"q{j}", _interpolated(F.col(f"u{j}"), F.col(f"v{j}"), part[j])).alias(f"q{j}") for j in js])
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], extra_aggs: list | None = None,

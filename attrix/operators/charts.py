@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attrix.functions.exprs import guarded_corr
-from attrix.functions.quantiles import group_quantiles
+from attrix.functions.quantiles import SMALL, by_size, group_quantiles
 from attrix.session import stash
 
 
@@ -71,13 +71,16 @@ def box_summary(df: DataFrame, metric: str, dim: str | None = None, exact: bool
         q = q.select(key, "n", "min", "max", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     q = stash(q.withColumn("iqr", F.col("q3") - F.col("q1")), "box")
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    joined = src.join(q.select(key, lo.alias("lo"), hi.alias("hi")), key)
-    wh = joined.groupBy(key).agg(
+    fences = q.select(key, "n", lo.alias("lo"), hi.alias("hi"))
+    large, rest, tasks = by_size(src, key, fences)
+    aggs = [
         F.min(F.when(F.col("m") >= F.col("lo"), F.col("m"))).alias("whisker_low"),
         F.max(F.when(F.col("m") <= F.col("hi"), F.col("m"))).alias("whisker_high"),
         F.count(F.when((F.col("m") < F.col("lo")) | (F.col("m") > F.col("hi")), 1)).alias(
             "outliers"),
-    )
+    ]
+    wh = (large.join(F.broadcast(fences.where(F.col("n") > SMALL)), key).groupBy(key).agg(*aggs)
+          .unionByName(rest.join(fences.repartition(tasks, key), key).groupBy(key).agg(*aggs)))
     return q.join(wh, key).select(
         *([dim] if dim else []), "n", "min", "max", "q1", "median", "q3", "iqr", "whisker_low", "whisker_high", "outliers")
 
