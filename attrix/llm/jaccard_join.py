@@ -20,11 +20,19 @@ Method: a size-aware heavy-light join.
   and with it every document of which less than 80 % may be shared; members of
   its own also bound the overlap of a pair (both lossless).
 * Each list first links its documents to one pivot (linear), the one with the
-  least text of its own, then another; verified links become components.  Only
-  then are lists that still span several components
-  joined with themselves, across components, keeping pairs that share as many
-  prefix members as a link must.  So thousands of near copies of one text never
-  become pairs of each other, and no link between components is lost.
+  least text of its own, then another; verified links become components.
+* Lists that still span several components take a pivot from their largest one.  Near
+  it, a document is what it lacks of the pivot (``l`` members) and adds to it (``a``):
+  two documents link if and only if these differences share at least
+  ``(W + W' - N) / 9`` members, ``W = 5 l + 4 a`` and ``N`` the pivot's size.  A document
+  links to the pivot if ``W <= N``; two that do are connected already, so one of a pair
+  that matters does not, and the pair shares more than ``W' / 9`` members of the other's
+  difference.  Only short prefixes of the differences are joined, rare members first.
+* Pairs of which one is far from the pivot are joined on the lists themselves, across
+  components, if their distances from the pivot differ by 0.2 at most (the Jaccard
+  distance is a metric), keeping pairs that share as many prefix members as a link must.
+  So thousands of near copies of one text never become pairs of each other, linked or
+  just not linked, and no link between components is lost.
 
 Every candidate is verified on the full sets: ``100 * shared >= 80 * union``.
 
@@ -42,7 +50,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrix.functions.graph import components
@@ -216,6 +224,82 @@ def _spread(lists: DataFrame, label: DataFrame) -> DataFrame:
     return of.join(several, "key", "left_semi")
 
 
+#: Of a document's difference from its pivot: the weight, whether they link, are near.
+WEIGHT = "5 * lacks + 4 * adds"
+LINKED = "5 * lacks + 4 * adds <= size"
+NEAR = "2 * (size - lacks) >= size + adds"
+
+
+def _deltas(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """How many members of its pivot a document lacks, and has besides, the pivot's
+    ``size``, and which members they are if it is near."""
+
+    def differ(batches):
+        for b in batches:
+            lacks, adds, size, diff = [], [], [], []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                either = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(either)) // 2
+                lacks.append(len(y) - both)
+                adds.append(len(x) - both)
+                size.append(len(y))
+                diff.append(either.view(np.int64) if 2 * both >= len(x) + len(y) - both else either[:0].view(np.int64))
+            yield record(node=b.column("node"), pivot=b.column("pivot"), lacks=np.array(lacks, np.int64),
+                         adds=np.array(adds, np.int64), size=np.array(size, np.int64), diff=pa.array(diff, pa.list_(pa.int64())))
+
+    own = sets.select("node", F.col("members").alias("x"))
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("members").alias("y"))
+    return lean_arrow(pairs.join(own, "node").join(pivots, "pivot").select("node", "pivot", "x", "y"), differ,
+                      "node long, pivot long, lacks long, adds long, size long, diff array<long>")
+
+
+def _near_pairs(deltas: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidates ``u, v`` of different components that are near one pivot."""
+    near = deltas.where(NEAR).withColumn("w", F.expr(WEIGHT))
+    x = near.select("pivot", "node", "w", "size", F.explode("diff").alias("x"))
+    met = x.groupBy("pivot", "x").agg(F.count("*").alias("met")).where("met > 1")  # by another near document too
+    mine = Window.partitionBy("pivot", "node")
+    x = (x.join(met, ["pivot", "x"]).withColumn("at", F.row_number().over(mine.orderBy("met", "x")))
+         .withColumn("held", F.count("*").over(mine)))
+    # as one of a pair, or as the one of it that does not link to the pivot
+    one = F.col("held") - F.floor(F.col("w") / 9)
+    unlinked = F.col("held") - F.ceil((F.col("w") - F.col("size")) / 9) + 1
+    x = (x.withColumn("one", F.col("at") <= one).withColumn("unlinked", (F.col("w") > F.col("size")) & (F.col("at") <= unlinked))
+         .where("one or unlinked").join(label, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component"))
+    x = stash(x, "differences")
+    searched = x.where("one").select("pivot", "x", F.col("node").alias("v"), F.col("w").alias("w_v"),
+                                     F.col("held").alias("held_v"), F.col("of").alias("to"))
+    searching = x.where("unlinked")
+    found = searching.join(searched, ["pivot", "x"]).where("of <> to and node <> v").where(
+        9 * F.least("held", "held_v") >= F.col("w") + F.col("w_v") - F.col("size"))
+    return found.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+
+
+def _far_pairs(lists: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Candidates ``u, v`` of different components that meet in a list and of which one is
+    far from its pivot."""
+    apart = F.expr("1 - (size - lacks) / (size + adds)")
+    lists = lists.join(deltas.select("node", "pivot", F.expr(NEAR).alias("near"), apart.alias("d")), ["node", "pivot"])
+    far = lists.groupBy("key").agg(F.bool_or(~F.col("near")).alias("any")).where("any").select("key")
+    lists = lists.join(far, "key", "left_semi")
+    other = lists.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("own").alias("own_m"),
+                         F.col("of").alias("to"), F.col("near").alias("near_v"), F.col("d").alias("d_v"))
+    swap = F.col("node") < F.col("v")
+    pairs = (lists.where("of <> main").join(other, "key").where("of <> to and (node > v or to = main)")
+             .where("not (near and near_v) and abs(d - d_v) <= 0.2000001").where(_fits())
+             .groupBy(F.when(swap, F.col("v")).otherwise(F.col("node")).alias("u"),
+                      F.when(swap, F.col("node")).otherwise(F.col("v")).alias("v"),
+                      F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"),
+                      F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m"))
+             .agg(F.count("*").alias("c"), F.max("subset").alias("s")))
+    # what is shared outside the long prefixes is at most the longer remainder; a pair
+    # that is near the pivot of another of its lists is found there
+    reach = F.col("c") + F.greatest(_remainder("n"), _remainder("m"))
+    return (pairs.where((F.col("s") == 1) | (reach * 180 >= (F.col("n") + F.col("m")) * 80))
+            .select("u", "v").distinct())
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, class_id`` (smallest id of
     the documents with the same set) and ``component_id`` (smallest id
@@ -290,25 +374,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         label = components(links)
         spread = stash(_spread(lists, label), "open")
 
-    # the largest component of a list is searched, all others search
-    main = (spread.groupBy("key", "of").agg(F.count("*").alias("c"))
-            .groupBy("key").agg(F.max(F.struct("c", "of"))["of"].alias("main")))
-    probes = spread.join(main, "key").where("of <> main")
-    other = spread.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("own").alias("own_m"),
-                          F.col("of").alias("to"))
-    swap = F.col("node") < F.col("v")
-    pairs = (probes.join(other, "key").where("of <> to and (node > v or to = main)").where(_fits())
-             .groupBy(F.when(swap, F.col("v")).otherwise(F.col("node")).alias("u"),
-                      F.when(swap, F.col("node")).otherwise(F.col("v")).alias("v"),
-                      F.when(swap, F.col("m")).otherwise(F.col("n")).alias("n"),
-                      F.when(swap, F.col("n")).otherwise(F.col("m")).alias("m"))
-             .agg(F.count("*").alias("c"), F.max("subset").alias("s")))
-    # what is shared outside the long prefixes is at most the longer remainder
-    reach = F.col("c") + F.greatest(_remainder("n"), _remainder("m"))
-    rest = (pairs.where((F.col("s") == 1) | (reach * 180 >= (F.col("n") + F.col("m")) * 80))
-            .select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+    # the largest component of a list gives its pivot and is searched, all others search
+    main = (spread.groupBy("key", "of").agg(F.count("*").alias("c"), F.min(F.struct("own", "node"))["node"].alias("pivot"))
+            .groupBy("key").agg(F.max(F.struct("c", "of", "pivot")).alias("t")).select("key", F.col("t.of").alias("main"), "t.pivot"))
+    spread = stash(spread.join(main, "key").where("node <> pivot"), "pivots")
+    deltas = stash(_deltas(spread.select("node", "pivot").distinct(), sets), "deltas")
+    to_pivot = deltas.where(LINKED).select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+    rest = (_near_pairs(deltas, label).unionByName(_far_pairs(spread, deltas)).distinct()
+            .join(tried, ["u", "v"], "left_anti"))
     more = _verify(rest, sets)
-    label = components(links.unionByName(more))
+    label = components(links.unionByName(to_pivot).unionByName(more))
 
     named = classes.join(label, "node", "left").select(
         "a", "b", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
