@@ -13,6 +13,7 @@ coefficients and importances.  The assembled training frame is persisted
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,6 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     NaiveBayes,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -34,6 +34,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrix.ml import forest
 from attrix.ml.basics import (
     binarize_target,
     classification_report,
@@ -286,6 +287,13 @@ def classify(df: DataFrame, target: str, features: list[str], algorithm: str = "
         pred = knn_classify(train, test, features, "label", n_neighbors, key=key,
                             stats=scaler_stats(train, features))
         return _class_result(df.sparkSession, pred, None, features, None, src)
+    to_label = IndexToString(inputCol="prediction", outputCol="pred_label",
+                             labels=indexer.labels)
+    if algorithm == "rf":
+        model = forest.fit(indexer.transform(train), features, "label_idx", True, n_estimators, max_depth or 30,
+                           math.ceil(math.sqrt(len(features))), seed)
+        pred = to_label.transform(model.predict(test, ["label"])).select("label", F.col("pred_label").alias("prediction"))
+        return _class_result(df.sparkSession, pred, model, features, indexer, src)
     tr = prep(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = tr.count()
@@ -294,11 +302,6 @@ def classify(df: DataFrame, target: str, features: list[str], algorithm: str = "
             est = LogisticRegression(labelCol="label_idx", regParam=1.0 / (C * n),
                                      elasticNetParam=0.0, standardization=False,
                                      maxIter=max_iter, tol=1e-10)
-        elif algorithm == "rf":
-            est = RandomForestClassifier(labelCol="label_idx", numTrees=n_estimators,
-                                         maxDepth=max_depth or 30, impurity="gini",
-                                         featureSubsetStrategy="sqrt", seed=seed,
-                                         checkpointInterval=10)
         elif algorithm == "svm":
             svc = LinearSVC(labelCol="label_idx", regParam=1.0 / (C * n), standardization=False,
                             maxIter=max_iter)
@@ -318,8 +321,6 @@ def classify(df: DataFrame, target: str, features: list[str], algorithm: str = "
         model = est.fit(tr)
     finally:
         tr.unpersist()
-    to_label = IndexToString(inputCol="prediction", outputCol="pred_label",
-                             labels=indexer.labels)
     pred = to_label.transform(model.transform(prep(test))).select(
         "label", F.col("pred_label").alias("prediction"))
     return _class_result(df.sparkSession, pred, model, features, indexer, src)
@@ -331,7 +332,9 @@ def _class_result(spark, pred, model, features, indexer, src) -> ModelResult:
     metrics = acc.select("accuracy", "n_test",
                          src.select(F.count(F.lit(1))).scalar().alias("n_total"))
     imp = None
-    if model is not None and hasattr(model, "featureImportances"):
+    if isinstance(model, forest.Forest):
+        imp = _importance_frame(spark, features, model.importances(), "importance")
+    elif model is not None and hasattr(model, "featureImportances"):
         imp = _importance_frame(spark, features, model.featureImportances.toArray(), "importance")
     elif model is not None and hasattr(model, "coefficientMatrix"):
         imp = _importance_frame(spark, features, model.coefficientMatrix.toArray()[0],
