@@ -30,7 +30,7 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,6 +206,10 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
     require_rows(src, "regression")
     train, test = (spread(d) for d in _split(src, key, cols))
     y = F.col(target).cast("double").alias("label")
+    if algorithm == "rf":
+        model = forest.fit(train, features, target, False, n_estimators, max_depth, len(features), seed)
+        pred = model.predict(test.select(y, *features), ["label"])
+        return _reg_result(df.sparkSession, pred, model.importances(), "importance", features, model, src)
     if algorithm == "ridge":
         stats = scaler_stats(train, features)
         fcols = [f"{c}__z" for c in features]
@@ -223,10 +227,6 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
             n, sy = tr.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
             est = LinearRegression(regParam=alpha * float(sy or 1.0) / n, elasticNetParam=0.0,
                                    solver="normal", standardization=False)
-        elif algorithm == "rf":
-            est = RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth,
-                                        featureSubsetStrategy="all", seed=seed,
-                                        checkpointInterval=10)
         elif algorithm == "gbt":
             est = GBTRegressor(maxIter=n_estimators, stepSize=learning_rate, maxDepth=3,
                                seed=seed, checkpointInterval=10)
@@ -236,15 +236,18 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
     finally:
         tr.unpersist()
     pred = model.transform(prep(test)).select("label", "prediction")
-    spark = df.sparkSession
+    if hasattr(model, "featureImportances"):
+        values, kind = model.featureImportances.toArray(), "importance"
+    else:
+        values, kind = model.coefficients.toArray(), "coefficient"
+    return _reg_result(df.sparkSession, pred, values, kind, features, model, src)
+
+
+def _reg_result(spark, pred, values, kind, features, model, src) -> ModelResult:
     metrics = regression_metrics(pred).select(
         "r2", "rmse", "mae", F.col("n").alias("n_test"),
         src.select(F.count(F.lit(1))).scalar().alias("n_total"))
-    if hasattr(model, "featureImportances"):
-        imp = _importance_frame(spark, features, model.featureImportances.toArray(), "importance")
-    else:
-        imp = _importance_frame(spark, features, model.coefficients.toArray(), "coefficient")
-    return ModelResult(pred, metrics, imp, model)
+    return ModelResult(pred, metrics, _importance_frame(spark, features, values, kind), model)
 
 
 # ---------------------------------------------------------------------------
@@ -406,19 +409,11 @@ def feature_importance(df: DataFrame, target: str, features: list[str],
     and the training R²."""
     src = complete_rows(df, features + [target])
     require_rows(src, "reduction")
-    X = assemble(spread(src.select(F.col(target).cast("double").alias("label"),
-                                   *[F.col(c).cast("double") for c in features])), features)
-    X = X.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth,
-                                      featureSubsetStrategy="all", seed=seed,
-                                      checkpointInterval=10).fit(X)
-    finally:
-        X.unpersist()
+    X = spread(src.select(F.col(target).cast("double").alias("_label"), *features))
+    model = forest.fit(X, features, "_label", False, n_estimators, max_depth, len(features), seed)
     spark = df.sparkSession
-    imp = _importance_frame(spark, features, model.featureImportances.toArray(), "importance",
-                            ascending=True)
-    r2 = regression_metrics(model.transform(X).select("label", "prediction")).select(
+    imp = _importance_frame(spark, features, model.importances(), "importance", ascending=True)
+    r2 = regression_metrics(model.predict(X.withColumnRenamed("_label", "label"), ["label"])).select(
         F.col("r2").alias("train_r2"), F.col("n").alias("rows"))
     return imp, r2
 
