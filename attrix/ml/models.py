@@ -44,7 +44,8 @@ from attrix.ml.basics import (
     require_rows,
     split_bucket,
 )
-from attrix.session import spread
+from attrix.ml.silhouette import silhouette_sums
+from attrix.session import spread, stash
 
 SEED = 42
 
@@ -419,11 +420,29 @@ def feature_importance(df: DataFrame, target: str, features: list[str],
 
 
 def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col: str = "cluster",
-                         reference: int = 1000, seed: int = SEED, scale: bool = True) -> DataFrame:
+                         reference: int | None = None, seed: int = SEED, scale: bool = True) -> DataFrame:
     """Euclidean silhouette (the reference's metric), noise (-1) removed, 0 with fewer
     than two clusters: ``silhouette, clusters, error, exact``.
 
-    Every row is scored against a seeded sample of at most ``reference`` rows a cluster
+    All pairs of rows are measured (``ml/silhouette.py``): ``exact``, error 0.  Only a caller
+    that gives ``reference`` gets an estimate instead (:func:`_silhouette_estimate`)."""
+    src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
+    cols = scaled_cols(features, scaler_stats(src, features)) if scale else [F.col(c).cast("double") for c in features]
+    zc = [f"z{i}" for i in range(len(features))]
+    pts = src.select(F.col(cluster_col).cast("string").alias("c"), *[e.alias(z) for z, e in zip(zc, cols)])
+    if reference is not None:
+        return _silhouette_estimate(pts, zc, reference, seed)
+    spark = labelled.sparkSession
+    pts = stash(spread(pts), "silhouette")
+    sizes = {r["c"]: r["n"] for r in pts.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row a cluster
+    if len(sizes) < 2:
+        return spark.createDataFrame([(0.0, len(sizes), 0.0, True)], "silhouette double, clusters long, error double, exact boolean")
+    return silhouette_sums(pts, zc, sizes).select((F.col("total") / F.col("rows")).alias("silhouette"), F.lit(len(sizes)).cast("long").alias("clusters"),
+                                                 F.lit(0.0).alias("error"), F.lit(True).alias("exact"))
+
+
+def _silhouette_estimate(pts: DataFrame, zc: list[str], reference: int, seed: int) -> DataFrame:
+    """Every row is scored against a seeded sample of at most ``reference`` rows a cluster
     (those of smallest hash; clusters x ``reference`` rows are broadcast, whatever the
     table's size), kept as eight blocks.  Clusters that fit into the sample are measured
     exactly, and with all of them the score is exact (``exact``, error 0); otherwise
@@ -431,14 +450,10 @@ def silhouette_euclidean(labelled: DataFrame, features: list[str], cluster_col:
     distance to itself is left out."""
     import pandas as pd
 
-    from attrix.session import ship_package, stash
+    from attrix.session import ship_package
 
-    spark = labelled.sparkSession
+    spark = pts.sparkSession
     ship_package(spark)
-    src = complete_rows(labelled, features).where(F.col(cluster_col) != -1)
-    cols = scaled_cols(features, scaler_stats(src, features)) if scale else [F.col(c).cast("double") for c in features]
-    zc = [f"z{i}" for i in range(len(features))]
-    pts = src.select(F.col(cluster_col).cast("string").alias("c"), *[e.alias(z) for z, e in zip(zc, cols)])
     pts = stash(spread(pts).withColumn("h", F.xxhash64(*zc, F.lit(seed))).withColumn("id", F.monotonically_increasing_id()), "silhouette")
     sizes = {r["c"]: r["n"] for r in pts.groupBy("c").agg(F.count("*").alias("n")).collect()}  # one row a cluster
     names = sorted(sizes)
