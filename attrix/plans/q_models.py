@@ -136,7 +136,7 @@ QUERIES = {
     "silhouette_euclidean": lambda s, sf: finalize(M.silhouette_euclidean(
         M.cluster(table(s, sf, "part"), PART_F, "kmeans", k=3, keep=["p_partkey"],
                   restarts=10).labelled, PART_F)),
-    "silhouette_labels": lambda s, sf: finalize(M.silhouette_euclidean(emb(s, sf), EMB_F, "label", reference=4000), 6),
+    "silhouette_labels": lambda s, sf: finalize(M.silhouette_euclidean(emb(s, sf), EMB_F, "label"), 6),
     "isoforest_threshold": _iso_threshold,
     "bisecting": _bisecting,
     "silhouette": _silhouette,
