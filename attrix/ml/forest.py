@@ -42,10 +42,14 @@ TREE = "tree int, node int, feat binary, bin binary, left binary, leaf binary, c
 def thresholds(values: np.ndarray, bins: int) -> np.ndarray:
     """Borders of one feature from a sample, as MLlib sets them: between all distinct
     values if they are few, else where the counts come nearest to equal shares."""
-    v, n = np.unique(values, return_counts=True)
+    return counted_thresholds(*np.unique(values, return_counts=True), bins)
+
+
+def counted_thresholds(v: np.ndarray, n: np.ndarray, bins: int) -> np.ndarray:
+    """The same from distinct values, sorted, and their counts."""
     if len(v) <= bins:
         return (v[:-1] + v[1:]) / 2
-    stride, out, count = len(values) / bins, [], n[0]
+    stride, out, count = n.sum() / bins, [], n[0]
     target = stride
     for i in range(1, len(v)):
         before, count = count, count + n[i]

@@ -30,11 +30,11 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrix.ml import forest
+from attrix.ml import boost, forest
 from attrix.ml.basics import (
     binarize_target,
     classification_report,
@@ -205,8 +205,13 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
     cols = features + [target]
     src = complete_rows(df, cols).select(*([key] if key else []), *cols)
     require_rows(src, "regression")
-    train, test = (spread(d) for d in _split(src, key, cols))
+    train, test = _split(src, key, cols)
     y = F.col(target).cast("double").alias("label")
+    if algorithm == "gbt":
+        train, test = (d.select(y, *[F.col(c).cast("double").alias(c) for c in features]) for d in (train, test))
+        model = boost.fit(train, features, "label", n_estimators, learning_rate, 3, seed)
+        return _reg_result(df.sparkSession, model.predict(test, ["label"]), model.importances(), "importance", features, model, src)
+    train, test = spread(train), spread(test)
     if algorithm == "rf":
         model = forest.fit(train, features, target, False, n_estimators, max_depth, len(features), seed)
         pred = model.predict(test.select(y, *features), ["label"])
@@ -228,20 +233,13 @@ def regress(df: DataFrame, target: str, features: list[str], algorithm: str = "l
             n, sy = tr.agg(F.count(F.lit(1)), F.stddev_samp("label")).first()
             est = LinearRegression(regParam=alpha * float(sy or 1.0) / n, elasticNetParam=0.0,
                                    solver="normal", standardization=False)
-        elif algorithm == "gbt":
-            est = GBTRegressor(maxIter=n_estimators, stepSize=learning_rate, maxDepth=3,
-                               seed=seed, checkpointInterval=10)
         else:
             raise ValueError(f"unknown regression algorithm {algorithm!r}")
         model = est.fit(tr)
     finally:
         tr.unpersist()
     pred = model.transform(prep(test)).select("label", "prediction")
-    if hasattr(model, "featureImportances"):
-        values, kind = model.featureImportances.toArray(), "importance"
-    else:
-        values, kind = model.coefficients.toArray(), "coefficient"
-    return _reg_result(df.sparkSession, pred, values, kind, features, model, src)
+    return _reg_result(df.sparkSession, pred, model.coefficients.toArray(), "coefficient", features, model, src)
 
 
 def _reg_result(spark, pred, values, kind, features, model, src) -> ModelResult:
