@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from attrix.functions.graph import components
 from attrix.llm import sketch
-from attrix.llm.text import BASES, U64, Words, chunks, id_and_text, lean_arrow, mix, record, rolling, stash, text_bytes
+from attrix.llm.text import BASES, U64, Words, chunks, id_and_text, lean_arrow, mix, record, rolling, shuffles_freed, stash, text_bytes
 
 K = 5
 NULL_ID = -(1 << 63)
@@ -300,10 +300,12 @@ def _far_pairs(lists: DataFrame, deltas: DataFrame) -> DataFrame:
             .select("u", "v").distinct())
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, class_id`` (smallest id of
-    the documents with the same set) and ``component_id`` (smallest id
-    reachable by links)."""
+def _classes(documents: DataFrame) -> DataFrame:
+    return documents.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"))
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written document rows, and the component of each linked ``node``."""
     rows = id_and_text(docs)
     sc = rows.sparkSession.sparkContext
     described = stash(lean_arrow(rows, _describe, "doc_id long, n long, a long, b long, token long, hits long"), "sets")
@@ -344,7 +346,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                 subsets=pa.array([lists[1][i] for i in has], pa.list_(pa.int64())),
                 members=pa.array([s.h[s.bounds[i]:s.bounds[i + 1]].tobytes() for i in has], pa.binary()))
 
-    classes = documents.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("node"))
+    classes = _classes(documents)
     offered = lean_arrow(rows, offer, "doc_id long, n long, own long, a long, b long, keys array<long>, subsets array<long>, "
                                      "members binary")
     sets = stash(offered.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "a", "b"], "left_semi")
@@ -384,7 +386,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             .join(tried, ["u", "v"], "left_anti"))
     more = _verify(rest, sets)
     label = components(links.unionByName(to_pivot).unionByName(more))
+    return documents, label
 
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, class_id`` (smallest id of
+    the documents with the same set) and ``component_id`` (smallest id
+    reachable by links)."""
+    with shuffles_freed(docs.sparkSession):
+        documents, label = _linked(docs)
+    classes = _classes(documents)
     named = classes.join(label, "node", "left").select(
         "a", "b", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
     out = documents.join(named, ["a", "b"], "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,23 @@ def lean_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return map_arrow(df, run, schema)
 
 
+#: A setting of Spark: shuffle files go when the query that wrote them ends, instead of
+#: when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark) -> Iterator[None]:
+    """For steps that end in ``stash`` or on the driver; a frame that is handed on, and may
+    be run again, is built afterwards."""
+    had = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if had is None else spark.conf.set(FREED, had)
+
+
 def give_back_memory() -> None:
     pa.default_memory_pool().release_unused()
     try:
